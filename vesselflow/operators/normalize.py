@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_string, dimensions_or_null, parse_provider_ts, trace_id
-from .validate import violation
+from .validate import first_of, violation
 
 POSITION_KINDS = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport")
 NAVIGATION_KIND = "PositionReport"
@@ -60,7 +60,7 @@ def normalize(frames: DataFrame) -> DataFrame:
         F.coalesce(parse_provider_ts(F.col("msg.MetaData.time_utc")), F.col("received_at").cast("timestamp_ntz")).alias("occurred_at"),
         usable.alias("_usable"),
     )
-    bad = F.when(~F.coalesce("_usable", F.lit(False)) | violation().isNotNull(), "invalid")
+    bad = first_of([F.when(~F.coalesce("_usable", F.lit(False)), "invalid"), F.when(violation().isNotNull(), "invalid")])
     return events.withColumn("drop_reason", bad).drop("_usable", "msg")
 
 

@@ -36,8 +36,20 @@ def keyed_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[
     return dealt.mapInArrow(run, schema)
 
 
-def dedup(events: DataFrame, ttl_seconds: int = 600) -> DataFrame:
-    """Adds `accepted`: the first sight of (mmsi, occurred_at) of either kind, and again once `ttl_seconds` have passed since the accepted arrival."""
+def _only(step):
+    """The same step for rows whose last input is true; others change nothing and are not flagged."""
+
+    def run(state, *values):
+        return step(state, *values[:-1]) if values[-1] else (state, False)
+
+    return run
+
+
+def dedup(events: DataFrame, ttl_seconds: int = 600, only: str | None = None) -> DataFrame:
+    """Adds `accepted`: the first sight of (mmsi, occurred_at) of either kind, and again once `ttl_seconds` have passed since the accepted arrival.
+
+    With `only`, rows where that column is not true take no part.
+    """
     ttl = ttl_seconds * 1_000_000
 
     def step(accepted_at, received):
@@ -45,7 +57,8 @@ def dedup(events: DataFrame, ttl_seconds: int = 600) -> DataFrame:
             return received, True
         return accepted_at, False
 
-    return keyed_fold(events, ["mmsi", "occurred_at"], ["received_at", "seq"], ["received_at"], lambda: None, step, "accepted")
+    inputs = ["received_at", *([only] if only else [])]
+    return keyed_fold(events, ["mmsi", "occurred_at"], ["received_at", "seq"], inputs, lambda: None, _only(step) if only else step, "accepted")
 
 
 @dataclass(frozen=True)
@@ -68,9 +81,10 @@ class Sampling:
         return (new, True) if occurred - state[0] >= window * 1_000_000 else (state, False)
 
 
-def adaptive_sample(positions: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
-    """Adds `emitted` to positions: a greedy fold over each vessel's arrivals."""
-    return keyed_fold(positions, ["mmsi"], ["seq"], ["occurred_at", "received_at", "sog", "nav_status"], lambda: None, sampling.step, "emitted")
+def adaptive_sample(positions: DataFrame, sampling: Sampling = Sampling(), only: str | None = None) -> DataFrame:
+    """Adds `emitted` to positions: a greedy fold over each vessel's arrivals; with `only`, of the rows where that column is true."""
+    inputs = ["occurred_at", "received_at", "sog", "nav_status", *([only] if only else [])]
+    return keyed_fold(positions, ["mmsi"], ["seq"], inputs, lambda: None, _only(sampling.step) if only else sampling.step, "emitted")
 
 
 def geo_buckets(points: DataFrame, precision: int = 4) -> DataFrame:

@@ -47,6 +47,11 @@ def _outside(column: str, low: float, high: float) -> Column:
     return F.coalesce(~F.col(column).between(low, high), F.lit(False))
 
 
+def first_of(reasons: list[Column]) -> Column:
+    """The first reason that is not null. An array keeps the optimiser from expanding tests of it into all their combinations."""
+    return F.try_element_at(F.array_compact(F.array(*reasons)), F.lit(1))
+
+
 def violation() -> Column:
     """The first field, in contract order, that breaks its bound; null for a sound event."""
     position = F.col("kind") == "position"
@@ -64,7 +69,7 @@ def violation() -> Column:
         ("destination", ~position & F.coalesce(F.length("destination") > 120, F.lit(False))),
         ("occurred_at", F.col("occurred_at").isNull()),
     ]
-    return F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules])
+    return first_of([F.when(bad, F.lit(name)) for name, bad in rules])
 
 
 def validate_canonical(events: DataFrame) -> DataFrame:

@@ -26,24 +26,17 @@ def ingest(events: DataFrame, polygons: DataFrame, version: str | None, config:
     In order: contract, duplicates, coverage, land, sampling. A later drop has
     still used its dedup key; only positions are tested for place and sampled.
     """
-    checked = validate.validate_canonical(events)
-    once = quality.dedup(checked.where("valid"), config.dedup_ttl_s)
+    once = quality.dedup(validate.validate_canonical(events), config.dedup_ttl_s, only="valid")
     placed = validate.in_coverage(once)
-    live = placed.where("accepted and in_zone")
-    moving = live.where("kind = 'position'")
-    judged = geo.geo_result(geo.geo_verdict(moving, polygons, version, config.tolerance_m), config.fail_open, config.geo_enabled)
-    afloat = quality.adaptive_sample(judged.where("not should_drop"), config.sampling)
-    sampled = F.when(F.col("emitted"), "published").otherwise("sampled")
-    of = lambda df, outcome: df.select("seq", "mmsi", "kind", "provider", "received_at", outcome.alias("outcome"))
-    early = chain([(~F.col("accepted"), F.lit("duplicate"))], F.lit("out_of_bbox"))
-    parts = [
-        of(checked.where("not valid"), F.lit("invalid")), of(placed.where("not (accepted and in_zone)"), early), of(live.where("kind != 'position'"), F.lit("published")),
-        of(judged.where("should_drop"), F.lit("on_land")), of(afloat, sampled),
+    judged = geo.geo_result(geo.geo_verdict(placed, polygons, version, config.tolerance_m), config.fail_open, config.geo_enabled)
+    position = F.col("kind") == "position"
+    afloat = judged.withColumn("afloat", F.col("accepted") & F.col("in_zone") & position & ~F.col("should_drop"))
+    done = quality.adaptive_sample(afloat, config.sampling, only="afloat")
+    cases = [
+        (~F.col("valid"), F.lit("invalid")), (~F.col("accepted"), F.lit("duplicate")), (~F.col("in_zone"), F.lit("out_of_bbox")), (~position, F.lit("published")),
+        (F.col("should_drop"), F.lit("on_land")), (F.col("emitted"), F.lit("published")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return done.select("seq", "mmsi", "kind", "provider", "received_at", chain(cases, F.lit("sampled")).alias("outcome"))
 
 
 @dataclass

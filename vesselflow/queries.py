@@ -98,7 +98,7 @@ def history_of(spark, d) -> DataFrame:
 
 @query("S1_raw_feed", ", " + FRAMES_SQL + "SELECT CASE WHEN event_id % 19 <> 0 THEN message_type END AS message_type, count(*) AS n FROM frames GROUP BY 1")
 def s1(spark, d):
-    path = readers.to_text_file(raw_frames(spark, d).select("value"), "raw")
+    path = readers.to_text_file(frames_of(spark, d).select("value"), "raw")
     return readers.read_raw_feed(spark, path, "feed_a").groupBy(F.col("msg.MessageType").alias("message_type")).agg(F.count("*").alias("n"))
 
 
@@ -112,8 +112,10 @@ def sdn_file(spark, d) -> str:
         F.lit("</idList><akaList><aka><category>strong</category><lastName>"), F.element_at("aliases", 1), F.lit("</lastName></aka><aka><category>weak</category><lastName>"), F.element_at("aliases", 2),
         F.lit("</lastName></aka></akaList><vesselInfo><vesselFlag>"), "flag", F.lit("</vesselFlag></vesselInfo></sdnEntry>"),
     )
-    listed = e.select((F.col("source_entity_id").cast("int") % 8).alias("f"), entry.alias("x")).groupBy("f").agg(F.concat(F.lit("<sdnList>"), F.array_join(F.collect_list("x"), ""), F.lit("</sdnList>")).alias("value"))
-    return readers.to_text_file(listed.select("value").repartition(8, "value"), "sdn")
+    listed = e.select((F.col("source_entity_id").cast("int") % 8).alias("f"), entry.alias("x")).groupBy("f").agg(F.concat(F.lit("<sdnList>\n"), F.array_join(F.collect_list("x"), "\n"), F.lit("\n</sdnList>")).alias("value"))
+    path = readers.shared_path(spark, "sdn")
+    listed.write.partitionBy("f").text(path)  # a list to a file, each with its own root
+    return path
 
 
 @query("S2_read_sdn_xml", "WITH " + ENTITIES_SQL + "SELECT source_entity_id AS uid, name, 1 AS programs, CASE WHEN mmsi IS NULL THEN 1 ELSE 2 END AS ids, 2 AS akas FROM entities", False)
@@ -136,11 +138,11 @@ def poly_geometry() -> str:
     return "struct<type:string,coordinates:array<array<array<double>>>>"
 
 
-@query("S5_event_log", "SELECT CAST(received_at AS DATE) AS received_date, kind, count(*) AS n FROM feed WHERE received_at >= TIMESTAMP '2024-01-10 06:00:00' GROUP BY 1, 2")
+@query("S5_event_log", "SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS received_date, kind, count(*) AS n FROM feed WHERE received_at >= TIMESTAMP '2024-01-10 06:00:00' GROUP BY 1, 2")
 def s5(spark, d):
     path = readers.shared_path(spark, "log")
     readers.append_event_log(feed(spark, d), path)
-    return readers.read_event_log(spark, path, "2024-01-10 06:00:00").groupBy("received_date", "kind").agg(F.count("*").alias("n"))
+    return readers.read_event_log(spark, path, "2024-01-10 06:00:00").groupBy(F.col("received_date").cast("string").alias("received_date"), "kind").agg(F.count("*").alias("n"))
 
 
 @query("S6_trim_log", "SELECT seq, mmsi FROM feed ORDER BY seq DESC LIMIT 1000")
@@ -148,12 +150,12 @@ def s6(spark, d):
     return readers.trim_log(feed(spark, d), 1000).select("seq", "mmsi")
 
 
-@query("S7_write_history", HISTORY_SQL + f"SELECT mmsi, {sql_t('occurred_at')}, lon, lat, CAST(occurred_at AS DATE) AS occurred_date FROM hist")
+@query("S7_write_history", HISTORY_SQL + f"SELECT mmsi, {sql_t('occurred_at')}, lon, lat, CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS occurred_date FROM hist")
 def s7(spark, d):
     path = readers.shared_path(spark, "history")
     own = positions(spark, d)
     readers.write_history(own.where("seq % 2 = 0"), path)
-    return readers.write_history(own, path).select("mmsi", t("occurred_at"), "lon", "lat", "occurred_date")
+    return readers.write_history(own, path).select("mmsi", t("occurred_at"), "lon", "lat", F.col("occurred_date").cast("string").alias("occurred_date"))
 
 
 @query(
@@ -187,7 +189,7 @@ def s9(spark, d):
 
 @query("P1_raw_filter", ", " + FRAMES_SQL + "SELECT seq, drop_reason FROM frames")
 def p1(spark, d):
-    return validate.raw_filter(readers.parse_raw(raw_frames(spark, d), "feed_a")).select("seq", "drop_reason")
+    return validate.raw_filter(readers.parse_raw(frames_of(spark, d), "feed_a")).select("seq", "drop_reason")
 
 
 def _broken() -> dict:
@@ -267,8 +269,15 @@ _NORM_COLUMNS = ["seq", "kind", "mmsi", "lat", "sog", "nav_status", "ship_name",
 _NORM_LIST = ", ".join(_NORM_COLUMNS)
 
 
+def frames_of(spark, d) -> DataFrame:
+    """The raw frames, written first as they would arrive."""
+    path = readers.shared_path(spark, "frames")
+    raw_frames(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def clean_frames(spark, d) -> DataFrame:
-    return validate.raw_filter(readers.parse_raw(raw_frames(spark, d), "feed_a")).where("drop_reason is null").drop("drop_reason")
+    return validate.raw_filter(readers.parse_raw(frames_of(spark, d), "feed_a")).where("drop_reason is null").drop("drop_reason")
 
 
 @query("N1_normalize_position", _NORM_SQL + f"SELECT {_NORM_LIST}, occurred_at FROM norm WHERE kind = 'position' AND drop_reason IS NULL")
