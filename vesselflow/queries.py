@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as fn
 from .operators import fanout, geo, normalize, quality, quarantine, rollups, sanctions, state, validate, views
 from .plans import pipelines
+from .plans.geo_dataset import load_geo_dataset
 from .sources import readers
 from .sources.feed import BOXES_SQL, ENTITIES_SQL, FEED_SQL, FRAMES_SQL, entities, feed, now, polygons, positions, raw_frames, statics, table
 
@@ -138,6 +139,35 @@ def poly_geometry() -> str:
     return "struct<type:string,coordinates:array<array<array<double>>>>"
 
 
+def geojson_folder(spark, d, layer: str) -> str:
+    """A layer's polygons as GeoJSON files in a new folder."""
+    ring = F.transform(F.element_at("rings", 1), lambda p: F.array(p["lon"], p["lat"]))
+    poly = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.create_map(F.lit("fclass"), "layer").alias("properties"))
+    files = polygons(spark, d).where(F.col("layer") == layer).groupBy((F.col("polygon_id") % 3).alias("f")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(poly).alias("features"))).alias("value"))
+    path = readers.shared_path(spark, layer)
+    files.write.partitionBy("f").text(path)  # a collection to a file
+    return path
+
+
+@query("S4_read_override_dir", "WITH " + BOXES_SQL + "SELECT 'manual_allow' AS layer, w AS lon0 FROM boxes WHERE layer = 'manual_allow'", False)
+def s4(spark, d):
+    raw = geojson_folder(spark, d, "manual_allow")
+    path = spark._jvm.org.apache.hadoop.fs.Path(raw)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, folder in enumerate(x for x in fs.listStatus(path) if x.isDirectory()):  # Spark's writer names files itself
+        part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, path.suffix(f"/{i}.geojson"))
+    return readers.read_override_dir(spark, raw).select("layer", F.col("rings")[0][0]["lon"].alias("lon0"))
+
+
+@query("G8_load_geo_dataset", "WITH " + BOXES_SQL + "SELECT layer, w AS lon0, n AS lat2 FROM boxes WHERE layer <> 'manual_allow'", False)
+def g8(spark, d):
+    source = lambda layer, to: {"name": layer, "type": "geojson", "region": "all", "sourceLayer": layer, "targetTable": to, "geometryOperation": "clip", "path": geojson_folder(spark, d, layer), "includeFclasses": [layer]}
+    manifest = {"version": "boxes", "sources": [source("land", "land_polygons"), source("navigable_water", "navigable_water_polygons")]}
+    _, got = load_geo_dataset(spark, manifest, "20240131000000")
+    return got.select("layer", F.col("rings")[0][0]["lon"].alias("lon0"), F.col("rings")[0][2]["lat"].alias("lat2"))
+
+
 @query("S5_event_log", "SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS received_date, kind, count(*) AS n FROM feed WHERE received_at >= TIMESTAMP '2024-01-10 06:00:00' GROUP BY 1, 2")
 def s5(spark, d):
     path = readers.shared_path(spark, "log")
