@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker's memo holds before it is emptied.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 250_000
 #: Words joined for one call of the tokenizer.
 JOINED = 500
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _TAIL = "".join(c for c in string.punctuation if c not in "'<|>")
 
