@@ -78,7 +78,7 @@ def _code(c: Column) -> Column:
 
 def samples(rows: DataFrame, base: DataFrame) -> DataFrame:
     """(value, random): the labelled samples."""
-    first = rows.select("key", "text").orderBy("key").limit(SAMPLE_ROWS)
+    first = rows.join(F.broadcast(rows.select("key").orderBy("key").limit(SAMPLE_ROWS)), "key", "left_semi")
     words = first.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{7,}"), F.lit(0))).alias("w")).distinct()
     plain = words.select(F.col("w").alias("value")).union(words.select(F.concat("w", F.lit("_"), F.lower("w")))).union(words.select(F.concat("w", F.initcap("w"))))
     ids = rows.sparkSession.range(SAMPLE_DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
