@@ -6,11 +6,10 @@ SUBKEYS ** 2 tables need 2 * SUBKEYS * ROWS minima. At similarity 0.75 a pair
 meets in no table with probability 0.0009. Candidates are compared on their full
 shingle sets.
 
-Groups of copies are never paired off. Equal sets collapse first. Then members
-of a table key meet its smallest document; keys that still hold several
-components go on, with all their members if they are few, else against a few
-more leaders a round, until no key holds documents that were not compared or
-connected.
+Groups of copies are never paired off. Equal sets collapse first. Then each
+document meets one leader, the smallest document of its keys. Keys that still
+hold several components leave documents open; of these, pairs that exact bounds
+on the sets cannot rule out are compared.
 """
 
 from __future__ import annotations
@@ -27,11 +26,7 @@ SHINGLE = 5
 PERCENT = 75
 SUBKEYS = 14
 ROWS = 3
-#: Keys with at most so many members are compared whole after the first round.
-WHOLE = 24
-#: Leaders that a larger key compares its members with in one later round.
-LEADERS = 16
-#: A document's pairs are dealt over so many copies of a much-wanted leader.
+#: A much-wanted leader is copied, so that each copy has about so many pairs.
 PAIRS_A_COPY = 200
 
 _RNG = np.random.Generator(np.random.PCG64(75))
@@ -173,26 +168,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = written(members.where("leader < rep").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
     links = _confirmed(tried, involved)
     labels = components(links)
-    low, open_keys = 0, members.select("key", "rep")
-    while True:
-        known = open_keys.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        known = written(known, "known")
-        mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("key", "size")
-        mixed = written(mixed, "mixed")
-        state = written(known.join(mixed.hint("merge"), "key"), "open")
-        pairs = _next_pairs(state, low)
-        new = written(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if new.count():
-            found = _confirmed(new, involved)
-            tried = written(tried.union(new), "tried")
-            if found.count():
-                links = written(links.union(found), "links")
-                labels = components(links, labels)
-        left = state.where(F.col("size") > F.greatest(F.lit(low + LEADERS), F.lit(WHOLE))).select("key", "rep")
-        low += LEADERS
-        if not left.limit(1).count():
-            break
-        open_keys = written(left, "open")
+    open_ = _open(members, labels)
+    pairs = written(_across(open_, involved).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    if pairs.count():
+        links = written(links.union(_confirmed(pairs, involved)), "links")
+        labels = components(links, labels)
 
     by_set = reps.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("set_hash", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp"))
     joined = signs.join(by_set.hint("merge"), ["set_hash", "n_shingles"], "left")
@@ -206,26 +186,43 @@ def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return written(few, "involved").dropDuplicates(["doc_id"])
 
 
-def _next_pairs(state: DataFrame, low: int) -> DataFrame:
-    """Pairs of one key and different components: all of a small key's, else those of its next leaders.
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, comp) of every document in a key that still holds several components."""
+    known = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    known = written(known, "known")
+    mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
+    return written(known.join(mixed.hint("merge"), "key").select("rep", "comp").distinct(), "open")
+
+
+def _shingle_rows(batches):
+    for batch in slices(batches):
+        own = list(shingle_sets(batch.column("text")))
+        sizes = np.array([len(x) for x in own])
+        repeat = lambda c: np.repeat(batch.column(c).to_numpy(), sizes)
+        yield pa.record_batch([pa.array(repeat("rep")), pa.array(repeat("comp")), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "comp", "n", "shingle"])
+
+
+def _across(open_: DataFrame, involved: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open documents in different components that may be similar enough, and all that are.
 
-    A key's leaders are its members in id order; the ones at ranks from `low`
-    meet every later member. Ranks come from an aggregated sorted slice of the
-    smallest ids, not from a window over a hot key.
+    Members of a key whose overlap is too small are told apart by exact bounds,
+    without pairing them off. A document needs PERCENT of its shingles in
+    documents of other components. By ascending document frequency, two similar
+    documents share a shingle among the first n - ceil(tn) + 1 of the larger one
+    and the first n - ceil(2tn / (1 + t)) + 1 of the smaller. A shingle's most
+    frequent component is not paired with itself.
     """
-    small = state.where(F.col("size") <= WHOLE) if low == 0 else state.where("false")
-    grouped = small.groupBy("key").agg(F.collect_list(F.struct("rep", "comp")).alias("all"))
-    whole = grouped.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.rep < y.rep and x.comp != y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    large = state.where(F.col("size") > WHOLE)
-    ranked = _leaders(large, low)
-    led = large.join(ranked.hint("merge"), "key").where("leader.rep < rep and leader.comp != comp").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"))
-    return whole.union(led).distinct()
-
-
-def _leaders(large: DataFrame, low: int) -> DataFrame:
-    """The members of each key at ranks low .. low + LEADERS - 1, one row each."""
-    buckets = large.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    head = low + LEADERS
-    smallest = lambda c: F.slice(F.array_sort(c), 1, head)
-    parts = buckets.groupBy("key", "part").agg(smallest(F.collect_set(F.struct("rep", "comp"))).alias("few"))
-    return parts.groupBy("key").agg(smallest(F.flatten(F.collect_list("few"))).alias("few")).select("key", F.explode(F.slice("few", low + 1, LEADERS)).alias("leader"))
+    text = open_.join(involved.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep").select("rep", "comp", "text")
+    rows = written(text.mapInArrow(_shingle_rows, "rep long, comp long, n long, shingle long"), "shingles")
+    seen = written(rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "df"), "frequencies")
+    shared = rows.join(seen.hint("merge"), "shingle").groupBy("rep", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    enough = shared.where(F.size("s") * 100 >= PERCENT * F.col("n"))
+    # Shingles that no other component has come first in the order and match nothing.
+    head = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - (F.col("n") - F.size("s"))
+    short = F.col("n") - F.ceil(F.lit(2 * PERCENT) * F.col("n") / (100 + PERCENT)) + 1 - (F.col("n") - F.size("s"))
+    prefix = written(enough.select("rep", "comp", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), head).cast("int"))).alias("at", "x")).select("rep", "comp", "n", (F.col("at") < F.col("short")).alias("first"), "x.shingle"), "prefixes")
+    most = prefix.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "most")
+    few = written(prefix.join(written(most, "most").hint("merge"), "shingle").where("comp != most").drop("most"), "few")
+    x, y = few.alias("x"), prefix.alias("y")
+    fits = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n")) & F.when(F.col("x.n") < F.col("y.n"), F.col("x.first")).when(F.col("x.n") > F.col("y.n"), F.col("y.first")).otherwise(F.col("x.first") | F.col("y.first"))
+    return x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
