@@ -1,11 +1,11 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vectors are cut into index blocks. In a block each dimension's postings are
-ordered by quantised value, so the segments of a query come in order of impact:
-how much a value adds over the dimension's worst. Segments are processed from
-the highest impact down. The search of a block stops when the impacts left prove
-that all but a few vectors cannot reach the k-th sum so far; those few are
-rescored exactly.
+Vectors are cut into index blocks. A block keeps its postings in segments by
+quantised impact: the highest bits of every value first, then the next ones. A
+group of queries takes the segments of all dimensions level by level from the
+highest impact down, adding up quantised scores. A query stops when the impacts
+left prove that all but a few vectors cannot reach the k-th sum so far; those
+few are rescored exactly.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ K = 20
 SCALE = 64
 QUERY_EACH = 20
 BLOCK = 8192
-GROUP = 512
-#: Shares of a query's largest impact at which processed sums are looked at.
-LEVELS = (0.5, 0.38, 0.3, 0.24, 0.19, 0.15, 0.11, 0.08, 0.05, 0.025)
+GROUP = 256
+#: How many of a value's highest bits the levels have reached; a last level has the rest.
+LEVEL_BITS = (2, 3, 4, 5)
 #: The search stops when at most one in so many vectors is left to rescore.
 RESCORE_EACH = 8
 
@@ -53,60 +53,57 @@ def _pack(whole: DataFrame, parts: int) -> DataFrame:
 
 
 class Block:
-    """One index block: per dimension, postings ordered by value."""
+    """One index block: for each impact level, from the highest, the part of every posting's value at that level.
+
+    A dimension's values count from the block's lowest, so all parts are
+    positive. Level l holds the bits of the value from shift l up to the shift
+    of the level before.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(x.T, self.order, axis=1)
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores that hold the block's best k for a query, the query's own row left out."""
+        self.low = x.min(axis=0)
+        whole = x - self.low
+        self.high = whole.max(axis=0)
+        bits = int(self.high.max()).bit_length()
+        self.levels, done = [], np.zeros_like(whole)
+        for shift in sorted({max(0, bits - b) for b in LEVEL_BITS} | {0}, reverse=True):
+            upto = whole >> shift << shift
+            self.levels.append((upto - done, np.minimum(self.high, (1 << shift) - 1)))
+            done = upto
+
+    def search(self, wanted: np.ndarray, asked: np.ndarray, k: int):
+        """For each query id and vector: ids and scores that hold the block's best k, the query's own row left out."""
         n, width = self.x.shape
-        own_rows = np.flatnonzero(self.ids == own)
-        q = np.concatenate([q, np.zeros(max(0, width - len(q)), np.int64)])[:width]
-        low, high = self.sorted[:, 0], self.sorted[:, -1]
-        worst = np.minimum(q * low, q * high)
-        span = np.maximum(q * low, q * high) - worst
-        rows = np.arange(n)
+        q = np.zeros((len(asked), width), np.int64)
+        common = min(width, asked.shape[1])
+        q[:, :common] = asked[:, :common]
         few = max(4 * k, n // RESCORE_EACH)
-        if n > few and span.max() > 0:
-            sums = np.zeros(n, np.int64)
-            up = q > 0
-            done = np.where(up, n, 0)
-            use = np.flatnonzero(q)
-            for share in LEVELS:
-                least = share * span.max()
-                lists, values, left = [], [], 0
-                for d in use:
-                    s, own_q, w = self.sorted[d], q[d], worst[d]
-                    if span[d] >= least:
-                        # Values whose impact own_q * v - w is `least` or more stand at one end of the list.
-                        bound = (least + w) / own_q
-                        if own_q > 0:
-                            a, b = int(np.searchsorted(s, bound, "left")), int(done[d])
-                        else:
-                            a, b = int(done[d]), int(np.searchsorted(s, bound, "right"))
-                        if b > a:
-                            lists.append(self.order[d, a:b])
-                            values.append(own_q * s[a:b] - w)
-                            done[d] = a if own_q > 0 else b
-                    at = done[d] - 1 if own_q > 0 else done[d]
-                    if 0 <= at < n:
-                        left += int(own_q * s[at] - w)
-                if lists:
-                    sums += np.bincount(np.concatenate(lists), np.concatenate(values), n).astype(np.int64)
-                sums[own_rows] = -1
-                if n - len(own_rows) > k:
-                    reach = np.partition(sums, n - k)[n - k]
-                    can = sums + left >= reach
-                    if can.sum() <= few + len(own_rows):
-                        rows = np.flatnonzero(can)
-                        break
-        rows = rows[self.ids[rows] != own]
-        score = self.x[rows] @ q
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][best], score[best]
+        can = np.ones((len(q), n), bool)
+        if n > few:
+            size = np.abs(q).sum(axis=1).max() * max(int(self.high.max()), 1)
+            kind = np.float32 if size < 1 << 24 else np.float64 if size < 1 << 53 else np.int64
+            sums, open_ = np.zeros((len(q), n), kind), np.arange(len(q))
+            own = wanted[:, None] == self.ids[None, :]
+            lowest = np.array(-size - 1).astype(kind)
+            for part, left in self.levels:
+                sums[open_] += q[open_].astype(kind) @ part.T.astype(kind)
+                seen = np.where(own[open_], lowest, sums[open_])
+                # What is left adds to any two vectors' sums within this of each other.
+                apart = (np.abs(q[open_]) * left).sum(axis=1)
+                reach = np.partition(seen, n - k, axis=1)[:, n - k]
+                may = sums[open_] >= (reach - apart)[:, None].astype(kind)
+                proved = (may.sum(axis=1) <= few) & (reach > lowest)
+                can[open_[proved]] = may[proved]
+                open_ = open_[~proved]
+                if not len(open_):
+                    break
+        for i in range(len(q)):
+            rows = np.flatnonzero(can[i])
+            rows = rows[self.ids[rows] != wanted[i]]
+            score = self.x[rows] @ q[i]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            yield self.ids[rows][best], score[best]
 
 
 def _cells(k: int):
@@ -120,9 +117,9 @@ def _cells(k: int):
                     index, block = row["part"], Block(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1))
                 wanted = np.frombuffer(row["q_ids"], np.int64)
                 asked = np.frombuffer(row["q_vectors"], np.int64).reshape(len(wanted), -1)
-                out = [(own, *block.search(own, q, k)) for own, q in zip(wanted.tolist(), asked)]
-                count = [len(ids) for _, ids, _ in out]
-                yield pa.record_batch([pa.array(np.repeat(wanted, count)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], ["query_id", "vec_id", "score"])
+                out = list(block.search(wanted, asked, k))
+                count = [len(ids) for ids, _ in out]
+                yield pa.record_batch([pa.array(np.repeat(wanted, count)), pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], ["query_id", "vec_id", "score"])
 
     return run
 
