@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 GRAM = 3
 #: Diagonals this near to the one before belong to one match.
 NEAR = 4
@@ -66,6 +68,7 @@ def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     grams = split.where(F.size("w") >= GRAM).select("key", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("at", "gram"))
     known = F.broadcast(template_grams(docs.sparkSession, base, templates))
     votes = grams.join(known, "gram").groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "grams", "n", "label", "base").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
+    votes = written(votes, "votes")  # few rows; both kinds of match read them
     exact = votes.where(F.col("base") & (F.size("places") == F.col("grams"))).select("key", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n")).alias("end"), F.lit(1.0).alias("cover"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.col("low") - F.lag("high").over(order) > F.col("n")), F.lit(True)).cast("int")
