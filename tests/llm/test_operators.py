@@ -228,6 +228,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc > 0.85
 
 
+def test_toxicity_uses_all_marking_words_and_trains_on_toxic_windows():
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    usual, bad = [word() for _ in range(300)], [word() for _ in range(48)]
+    plain = lambda: list(rng.choice(usual, 25))
+    rows = [(f, " ".join(plain() + [b] + plain()), 1) for b in bad for f in [0] * 16 + [1] * 4] + [(k % 4 == 3, " ".join(plain() + plain()), 0) for k in range(1000)]
+    model = toxicity.fit(rows, 0.5)
+    hit, clean = (model.probability(model.features(x)) for x in ([" ".join(plain() + [b] + plain()) for b in bad], [" ".join(plain() + plain()) for _ in bad]))
+    assert np.mean(hit[:, None] > clean[None]) > 0.95
+    assert sum(b.encode() in model.marked for b in bad) > 32 and model.trained[: toxicity.DICTIONARY_BYTES] != model.ordinary[: toxicity.DICTIONARY_BYTES]
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs).collect()
     size = {}

@@ -1,12 +1,13 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
-
-The ordinary dictionary is trained on ordinary windows. The toxic one has the
-same ordinary part, so that ordinary words compress alike under both, and ends
-in the character segments that mark toxic training texts by their document
-frequencies; the ordinary one ends in as many bytes of ordinary words. A window's
-evidence is how many bytes shorter it gets with the toxic dictionary. Documents
-are judged by their windows' evidence over whole texts, calibrated by logistic
-regression on labelled rows that trained no dictionary.
+"""Toxicity by compression distance to zstandard dictionaries, one ordinary and two toxic.
+
+The ordinary dictionary is trained on ordinary windows, the first toxic one on
+all toxic windows. The second toxic one has the ordinary part, so that ordinary
+words compress alike under both, and ends in the character segments that mark
+toxic training texts by their document frequencies; the others end in as many
+bytes of ordinary words. A window's evidence is how many bytes shorter it gets
+with each toxic dictionary. Documents are judged by their windows' evidence over
+whole texts, calibrated by logistic regression on labelled rows that trained no
+dictionary.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ SAMPLE_CHARS = 12_000
 WINDOW = 200
 LEVEL = 13
 DICTIONARY_BYTES = 24_000
-SEGMENTS = 32
+#: Bytes of all marking segments together.
+MARK_BYTES = 2048
 SEGMENT_BYTES = range(5, 11)
-#: A toxic segment is in this many toxic training texts at least, and its log-odds exceed LEAST_ODDS.
-LEAST_TEXTS = 8
+#: A toxic segment's log-odds exceed LEAST_ODDS; times its toxic training texts, they reach LEAST_EVIDENCE.
 LEAST_ODDS = 2.3
+LEAST_EVIDENCE = 18.4
 PREDICT = 0.3
 #: Rows whose crc32(doc_id as text) mod 4 is this are held out of all training.
 HELD_OUT = 2
@@ -61,7 +63,8 @@ def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     df = Counter(w for s in sets for w in s)
     parts = {w: _segments(w) for w, n in df.items() if n >= 3}
     found = Counter(g for s in sets for g in set().union(*(parts[w] for w in s if w in parts)))
-    found = {g: n for g, n in found.items() if n >= LEAST_TEXTS}
+    most = math.log(2 * (len(ordinary) + 1))  # the log-odds of a segment of all toxic and no ordinary texts
+    found = {g: n for g, n in found.items() if n * most >= LEAST_EVIDENCE}
     other: Counter = Counter()
     memo: dict[bytes, tuple] = {}
     for text in ordinary:
@@ -72,51 +75,60 @@ def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             own.update(memo[w])
         other.update(own)
     odds = {g: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((other[g] + 0.5) / (len(ordinary) + 1)) for g, n in found.items()}
-    ranked = sorted((g for g in found if odds[g] > LEAST_ODDS), key=lambda g: (-found[g] * odds[g], -len(g), g))
-    out, seen = [], set()
+    ranked = sorted((g for g in found if odds[g] > LEAST_ODDS and found[g] * odds[g] >= LEAST_EVIDENCE), key=lambda g: (-found[g] * odds[g], -len(g), g))
+    out, seen, size = [], set(), 0
     for g in ranked:
         inner = {g[i : i + 5] for i in range(len(g) - 4)}
-        if not inner & seen:
+        if not inner & seen and size + len(g) <= MARK_BYTES:
             out.append(g)
             seen |= inner
-        if len(out) == SEGMENTS:
-            break
+            size += len(g)
     return out
 
 
+def dictionary(samples: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES * 4 // 3, samples, level=9).as_bytes()[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # too few samples to train on: the samples themselves
+        return b"".join(samples)[-DICTIONARY_BYTES:]
+
+
 class Model:
-    """Two dictionaries and the calibration; compressors are made where they are used."""
+    """The dictionaries and the calibration; compressors are made where they are used."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = toxic, ordinary
-        self.mean, self.scale, self.weights = np.zeros(5), np.ones(5), np.zeros(6)
-        self._pair = None
+    def __init__(self, trained: bytes, marked: bytes, ordinary: bytes):
+        self.trained, self.marked, self.ordinary = trained, marked, ordinary
+        self.mean, self.scale, self.weights = np.zeros(10), np.ones(10), np.zeros(11)
+        self._own = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
+        return self.__dict__ | {"_own": None}
 
     def compressors(self):
-        if self._pair is None:
+        if self._own is None:
             how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=DICTIONARY_BYTES, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._pair = []
-            for raw in (self.toxic, self.ordinary):
+            self._own = []
+            for raw in (self.trained, self.marked, self.ordinary):
                 own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 own.precompute_compress(compression_params=how)
-                self._pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=own))
-        return self._pair
+                self._own.append(zstandard.ZstdCompressor(compression_params=how, dict_data=own))
+        return self._own
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: the windows' mean evidence, its maximum, sum over root of the count, shares of windows with 2 and with 3 bytes."""
-        toxic, ordinary = (c.compress for c in self.compressors())
-        counts, gains = [], []
+        """Per text and toxic dictionary: the windows' mean evidence, its maximum, sum over root of the count, shares of windows with 2 and with 3 bytes."""
+        trained, marked, ordinary = (c.compress for c in self.compressors())
+        counts, sizes = [], []
         for text in texts:
             own = windows(plain(text))
             counts.append(len(own))
-            gains += [len(ordinary(w)) - len(toxic(w)) for w in own]
-        count, gain = np.array(counts), np.array(gains, np.float64)
+            sizes += [(len(trained(w)), len(marked(w)), len(ordinary(w))) for w in own]
+        count, size = np.array(counts), np.array(sizes, np.float64)
         at = np.cumsum(count) - count
-        total = np.add.reduceat(gain, at)
-        return np.stack([total / count, np.maximum.reduceat(gain, at), total / np.sqrt(count), np.add.reduceat(gain >= 2, at) / count, np.add.reduceat(gain >= 3, at) / count], axis=1)
+        out = []
+        for gain in (size[:, 2] - size[:, 0], size[:, 2] - size[:, 1]):
+            total = np.add.reduceat(gain, at)
+            out += [total / count, np.maximum.reduceat(gain, at), total / np.sqrt(count), np.add.reduceat(gain >= 2, at) / count, np.add.reduceat(gain >= 3, at) / count]
+        return np.stack(out, axis=1)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
@@ -143,20 +155,16 @@ def fit(rows: list[tuple[int, str, int]], share: float) -> Model:
     """
     train, rest = [r for r in rows if r[0] == 0], [r for r in rows if r[0] != 0]
     if len({r[2] for r in train}) < 2 or len({r[2] for r in rest}) < 2:
-        model = Model(b"\0" * 16, b"\0" * 16)
+        model = Model(b"\0" * 16, b"\0" * 16, b"\0" * 16)
         model.weights[-1] = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return model
     toxic, ordinary = ([plain(t) for _, t, y in train if y == k] for k in (1, 0))
-    samples = [w for t in ordinary for w in windows(t)][:20_000]
-    try:
-        base = zstandard.train_dictionary(DICTIONARY_BYTES * 4 // 3, samples, level=9).as_bytes()[-DICTIONARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: the samples themselves
-        base = b"".join(samples)[-DICTIONARY_BYTES:]
+    base = dictionary([w for t in ordinary for w in windows(t)][:20_000])
     marks = b"".join(reversed(marking_segments(toxic, ordinary))) + b" "
     bad = {w for t in toxic for w in t.split()}
     common = Counter(w for t in ordinary for w in set(t.split()) if len(w) > 3 and w not in bad)
-    usual = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:400])
-    model = Model(base + marks, base + usual[: len(marks)] + b" ")
+    usual = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:400])[: len(marks)] + b" "
+    model = Model(dictionary([w for t in toxic for w in windows(t)]) + usual, base + marks, base + usual)
     y = np.array([r[2] for r in rest])
     model.calibrate(model.features([r[1] for r in rest]), y, share)
     return model
