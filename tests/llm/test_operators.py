@@ -240,6 +240,14 @@ def test_toxicity_uses_all_marking_words_and_trains_on_toxic_windows():
     assert sum(b.encode() in model.marked for b in bad) > 32 and model.trained[: toxicity.DICTIONARY_BYTES] != model.ordinary[: toxicity.DICTIONARY_BYTES]
 
 
+def test_samples_take_a_repeated_document_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None), (2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    assert sorted(quality.sample(docs, labels, "quality")) == [("other", 0), ("text 0", 1)]
+    monkeypatch.setattr(toxicity, "fit", lambda rows, share: [r[1:] for r in rows])
+    assert sorted(toxicity.train(docs, labels)) == [("other", 0), ("text 0", 1)]
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs).collect()
     size = {}

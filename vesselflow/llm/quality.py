@@ -122,13 +122,14 @@ def fit(rows: list[tuple[str, int]], epochs: int = 60, rate: float = 200.0) -> M
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample of labelled texts: the first `rows` by a hash of the id, none longer than `chars`.
 
-    A broadcast of the chosen ids, so bounded, picks their texts. A null label
-    or text is no example; the smallest of several labels for one id counts.
+    A broadcast of the chosen ids, so bounded, picks their texts, one for each
+    id before any is collected. A null label or text is no example; the smallest
+    of several labels or texts for one id counts.
     """
     usable = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = usable.select("doc_id", "label", F.xxhash64(F.col("doc_id"), F.lit(label)).alias("h")).orderBy("h", "doc_id").limit(rows)
-    found = texts(docs).where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "label")
-    return [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: (r.h, r.doc_id, r.text))]
+    found = texts(docs).where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: (r.h, r.doc_id))]
 
 
 def _repeats(doc: np.ndarray, value: np.ndarray) -> np.ndarray:

@@ -175,14 +175,15 @@ def fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a bounded sample of labelled rows that are not held out."""
+    """A model from a bounded sample of labelled documents that are not held out; of a repeated doc_id the smallest text."""
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id")) != HELD_OUT)
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     few = [usable.where(F.col("label") == k).select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
     found = texts(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few[0].union(few[1])), "doc_id")
-    rows = found.select("h", "doc_id", "text", "label", F.when(fold(F.col("doc_id")) == 3, 1).otherwise(0).alias("fold")).collect()
+    once = found.groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    rows = once.select("h", "doc_id", "text", "label", F.when(fold(F.col("doc_id")) == 3, 1).otherwise(0).alias("fold")).collect()
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    return fit([(r.fold, r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.text))], share)
+    return fit([(r.fold, r.text, r.label) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))], share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT) -> DataFrame:
