@@ -248,6 +248,12 @@ def test_samples_take_a_repeated_document_once(spark, monkeypatch):
     assert sorted(toxicity.train(docs, labels)) == [("other", 0), ("text 0", 1)]
 
 
+def test_substring_dedup_keeps_rows_without_id(spark):
+    df = spark.createDataFrame([(None, PASSAGE), (7, PASSAGE), (None, PASSAGE), (8, PASSAGE), (None, None)], "doc_id long, text string")
+    expect(substring.remove_repeats(df), ("doc_id", "n_words", "n_removed", "kept_text"), [(None, 60, 0, PASSAGE)] * 2 + [(7, 60, 0, PASSAGE), (8, 60, 60, ""), (None, 0, 0, "")])
+    assert got_rows(substring.factors(df.where("doc_id is null")), "doc_id") == []
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs).collect()
     size = {}

@@ -164,10 +164,11 @@ def factors(docs: DataFrame, window: int = WINDOW, range_chars: int = RANGE_CHAR
     """The long factors of every document: doc_id, start, length (words), ref_doc, ref_start.
 
     Null text has no words. Rows that share a doc_id are one document, which
-    never repeats itself. An empty table gives no rows.
+    never repeats itself. Rows of null doc_id have no factors and are no
+    reference. An empty table gives no rows.
     """
     arrow_rows(docs.sparkSession)
-    rows = texts(docs)
+    rows = texts(docs).where("doc_id is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(max(64, chars // range_chars))
     cells = rows.mapInArrow(lambda batches: _index(batches, parts, window), CELL)
@@ -213,8 +214,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row.
 
     A word goes if a window over it also starts in a document of smaller doc_id.
-    Null text has no words; repeated rows give the same result each; an empty
-    table gives no rows.
+    Null text has no words; repeated rows give the same result each; rows of
+    null doc_id lose nothing and take nothing from others; an empty table gives
+    no rows.
     """
     own = written(spans(factors(docs, window)), "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
