@@ -315,6 +315,12 @@ def test_licenses_merge_diagonals(spark):
     assert got.labels == "mit" and got.n_base == 0 and 0.6 <= got.score < 1
 
 
+def test_licenses_find_a_passage_in_a_long_chain(spark):
+    texts = ["GNU General Public License, GNU General Public License, GNU General Public License version 3", "cc by sa, cc by sa, cc by sa 4 0", "gnu general public license " * 30 + "version 3", "gnu general public"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("gpl-3", 1.0), 1: ("cc-by-sa", 1.0), 2: ("gpl-3", 1.0), 3: ("", 0.0)}
+
+
 def base_secrets(t):
     out = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):

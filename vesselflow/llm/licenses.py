@@ -4,8 +4,9 @@ All word 3-grams of the documents are hashed and joined to the 3-grams of the
 license templates, a fixed small table. Hits vote for (document, template,
 diagonal), the document's place less the template's. Diagonals near each other
 merge, so inserted or missing words do not break a match, and a template counts
-where its merged votes cover enough of it within its own length. A base phrase
-stands where one diagonal has all its 3-grams.
+where the merged votes of some stretch, from any diagonal's first vote over twice
+the template's length, cover enough of it. A base phrase stands where one
+diagonal has all its 3-grams.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """Verified matches: key, label, base, start, end (words), cover (share of the template)."""
+    """Verified matches, some inside others: key, label, base, start, end (words), cover (share of the template)."""
     split = _keyed(docs).select("key", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
     grams = split.where(F.size("w") >= GRAM).select("key", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("at", "gram"))
     known = F.broadcast(template_grams(docs.sparkSession, base, templates))
@@ -73,9 +74,12 @@ def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.col("low") - F.lag("high").over(order) > F.col("n")), F.lit(True)).cast("int")
     merged = votes.where(~F.col("base")).withColumn("apart", apart).withColumn("match", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = merged.groupBy("key", "template", "match", "grams", "n", "label", "base").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.min("low").alias("start"), (F.max("high") + GRAM).alias("end"))
-    cover = F.col("covered") / F.col("grams")
-    loose = found.where((cover >= COVER) & (F.col("end") - F.col("start") <= 2 * F.col("n"))).select("key", "label", "base", "start", "end", cover.alias("cover"))
+    reach = 2 * max((len(phrase.split()) for phrase, _ in templates), default=0)
+    ahead = Window.partitionBy("key", "template", "match").orderBy("low").rangeBetween(0, reach)
+    votes_ahead = F.collect_list(F.struct("high", "places")).over(ahead)
+    inside = merged.withColumn("votes", F.filter(votes_ahead, lambda v: v["high"] + GRAM - F.col("low") <= 2 * F.col("n")))
+    cover = F.size(F.array_distinct(F.flatten("votes.places"))) / F.col("grams")
+    loose = inside.select("key", "label", "base", F.col("low").alias("start"), (F.array_max("votes.high") + GRAM).alias("end"), cover.alias("cover")).where(F.col("cover") >= COVER)
     return exact.unionByName(loose)
 
 
