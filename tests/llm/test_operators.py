@@ -352,6 +352,15 @@ def test_markov_model_finds_random_strings(spark):
     assert got == {0: "markov:4:24", 1: "markov:4:28", 2: "", 3: ""}
 
 
+def test_secret_with_a_fixed_pattern_inside_is_masked_whole(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10**6, "see qX7vR2mZ9kLp4TsW0123456789abcdef8nBZk93HqPwL0dXv here"), (10**6 + 1, "see 0123456789abcdef0123456789abcdef here")], "doc_id long, text string")
+    got = {r.doc_id - 10**6: r.spans for r in secret_scan.scan(docs.union(extra)).where("doc_id >= 1000000").collect()}
+    assert got == {0: "markov:4:52,hex:20:37", 1: "hex:4:36"}
+    clean = secret_scan.redact(docs.union(extra)).where("doc_id >= 1000000").collect()
+    assert {r.text for r in clean} == {"see [SECRET] here"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (900, 24)).astype(np.float32)

@@ -118,14 +118,14 @@ def mean_ratio(value: Column, ratio: list[float]) -> Column:
 
 
 def all_spans(rows: DataFrame) -> DataFrame:
-    """key, kind, start, end of every secret: the fixed patterns' spans, and judged tokens that touch none of these."""
+    """key, kind, start, end of every secret: the fixed patterns' spans, and judged tokens that none of these covers whole."""
     base = written(base_spans(rows), "secrets")
     ratio, limit = fit(samples(rows, base))
     tokens = _matches(rows.where(F.col("text").rlike(TOKEN)), TOKEN)
     judged = tokens.where(mean_ratio(F.col("value"), ratio) > limit).select("key", F.lit(3).alias("kind"), "start", "end")
     mine, theirs = judged.alias("m"), base.select("key", "start", "end").distinct().alias("b")
-    touch = (F.col("m.key") == F.col("b.key")) & (F.col("m.start") < F.col("b.end")) & (F.col("b.start") < F.col("m.end"))
-    return written(base.select("key", "kind", "start", "end").distinct().union(mine.join(theirs.hint("merge"), touch, "left_anti").distinct()), "secrets")
+    covered = (F.col("m.key") == F.col("b.key")) & (F.col("m.start") >= F.col("b.start")) & (F.col("m.end") <= F.col("b.end"))
+    return written(base.select("key", "kind", "start", "end").distinct().union(mine.join(theirs.hint("merge"), covered, "left_anti").distinct()), "secrets")
 
 
 def _digest(some: Column) -> Column:
