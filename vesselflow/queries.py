@@ -113,9 +113,9 @@ def sdn_file(spark, d) -> str:
         F.lit("</idList><akaList><aka><category>strong</category><lastName>"), F.element_at("aliases", 1), F.lit("</lastName></aka><aka><category>weak</category><lastName>"), F.element_at("aliases", 2),
         F.lit("</lastName></aka></akaList><vesselInfo><vesselFlag>"), "flag", F.lit("</vesselFlag></vesselInfo></sdnEntry>"),
     )
-    listed = e.select((F.col("source_entity_id").cast("int") % 8).alias("f"), entry.alias("x")).groupBy("f").agg(F.concat(F.lit("<sdnList>\n"), F.array_join(F.collect_list("x"), "\n"), F.lit("\n</sdnList>")).alias("value"))
+    listed = e.select(F.floor(F.col("source_entity_id").cast("long") / 10_000).alias("f"), entry.alias("x")).groupBy("f").agg(F.concat(F.lit("<sdnList>\n"), F.array_join(F.collect_list("x"), "\n"), F.lit("\n</sdnList>")).alias("value"))
     path = readers.shared_path(spark, "sdn")
-    listed.write.partitionBy("f").text(path)  # a list to a file, each with its own root
+    listed.write.partitionBy("f").text(path)  # a list of 10,000 ids at most to a file, each with its own root
     return path
 
 
