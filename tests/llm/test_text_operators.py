@@ -228,16 +228,39 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc > 0.85
 
 
-def test_toxicity_uses_all_marking_words_and_trains_on_toxic_windows():
+def test_toxic_score_from_compressed_lengths():
+    """Two dictionaries, each trained; the score recomputed from plain compressed lengths; rare toxic words count."""
+    import zstandard
+
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
     usual, bad = [word() for _ in range(300)], [word() for _ in range(48)]
     plain = lambda: list(rng.choice(usual, 25))
     rows = [(f, " ".join(plain() + [b] + plain()), 1) for b in bad for f in [0] * 16 + [1] * 4] + [(k % 4 == 3, " ".join(plain() + plain()), 0) for k in range(1000)]
     model = toxicity.fit(rows, 0.5)
-    hit, clean = (model.probability(model.features(x)) for x in ([" ".join(plain() + [b] + plain()) for b in bad], [" ".join(plain() + plain()) for _ in bad]))
-    assert np.mean(hit[:, None] > clean[None]) > 0.95
-    assert sum(b.encode() in model.marked for b in bad) > 32 and model.trained[: toxicity.DICTIONARY_BYTES] != model.ordinary[: toxicity.DICTIONARY_BYTES]
+    texts = [" ".join(plain() + [b] + plain()) for b in bad], [" ".join(plain() + plain()) for _ in bad]
+    hit, clean = (model.probability(model.features(x)) for x in texts)
+    assert np.mean(hit[:, None] > clean[None]) > 0.95 and (hit >= 0.3).mean() > 0.9 and (clean < 0.3).mean() > 0.9
+    assert all(b.encode() in model.toxic for b in bad)
+    assert model.toxic[: toxicity.ORDINARY_BYTES] == model.ordinary[: toxicity.ORDINARY_BYTES] and not model.ordinary[toxicity.ORDINARY_BYTES :].strip(b"\0")
+
+    def length(window, raw):
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=toxicity.WINDOW, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(window))
+
+    for text, score in [(texts[0][0] * 3, None), (texts[1][1], clean[1]), (texts[0][2], hit[2])]:
+        own = f" {text} ".encode()
+        gain = [length(own[i : i + 200], model.ordinary) - length(own[i : i + 200], model.toxic) for i in range(0, len(own), 200)]
+        n = len(gain)
+        x = np.array([sum(gain) / n, max(gain), sum(gain) / n**0.5, sum(g >= 2 for g in gain) / n, sum(g >= 3 for g in gain) / n, np.log(n)])
+        want = 1 / (1 + np.exp(-np.clip(((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1], -30, 30)))
+        assert abs(model.probability(model.features([text]))[0] - want) < 1e-9 and (score is None or abs(score - want) < 1e-9)
+
+
+def test_toxicity_of_rows_without_id_and_of_ties(spark, labels):
+    df = spark.createDataFrame([(None, PASSAGE), (1, PASSAGE), (1, PASSAGE), (2, LONG * 3)], "doc_id long, text string")
+    got = [(r.doc_id, r.held_out, r.score) for r in toxicity.toxicity(df, labels).collect()]
+    assert len(got) == 4 and [h for i, h, _ in got if i is None] == [False] and len({s for i, _, s in got if i != 2}) == 1
 
 
 def test_samples_take_a_repeated_document_once(spark, monkeypatch):

@@ -11,10 +11,10 @@ from ._shared import arrow_rows, texts
 from ._text import IS_SPACE, LOWER, mix, ngrams, slices, utf8, word_hashes, words
 
 BITS = 18
-#: Labelled rows that train the classifier: this many at most, the first ones by a hash of their id.
+#: The bound of training: so many labelled rows, the first ones by a hash of their id, with their whole texts.
 SAMPLE_ROWS = 3000
-#: A longer text is not taken into the sample.
-SAMPLE_CHARS = 20_000
+#: Features of sample rows that one step of training holds beside the sample.
+STEP_FEATURES = 1 << 20
 #: One in so many sample rows calibrates instead of training.
 CALIBRATE_EACH = 4
 #: Documents under this probability of good quality are not kept.
@@ -95,32 +95,51 @@ def fit(rows: list[tuple[str, int]], epochs: int = 60, rate: float = 200.0) -> M
     y = np.array([label for _, label in rows], np.float64)
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 40.0 if not len(y) or y[0] == 1 else -40.0)
-    parts = [features(pa.array([text for text, _ in rows[i : i + 50]], pa.string())) for i in range(0, len(rows), 50)]
-    own = [ids[cut[k] : cut[k + 1]] for ids, cut in parts for k in range(len(cut) - 1)]
+    ids, share = _shares(text for text, _ in rows)
     held = np.arange(len(rows)) % CALIBRATE_EACH == 0
     held &= np.array([len(set(y[~held])) == 2]).all()
-    train = [np.unique(x, return_counts=True) for x, h in zip(own, held) if not h]
-    flat = np.concatenate([i for i, _ in train])
-    share = np.concatenate([c / c.sum() for _, c in train]) if len(flat) else np.zeros(0)
-    row = np.repeat(np.arange(len(train)), [len(i) for i, _ in train])
     goal = y[~held]
     balance = np.where(goal == 1, len(goal) / (2 * max(goal.sum(), 1)), len(goal) / (2 * max(len(goal) - goal.sum(), 1)))
+    steps = _steps(ids, share, np.flatnonzero(~held))
     weights, bias, seen = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8)
     for _ in range(epochs):
-        score = np.bincount(row, share * weights[flat], len(train)) + bias
-        error = (sigmoid(score) - goal) * balance / len(train)
-        slope = np.bincount(flat, share * error[row], 1 << BITS)
+        slope, drift = np.zeros(1 << BITS), 0.0
+        for first, n, flat, part, row in steps:
+            score = np.bincount(row, part * weights[flat], n) + bias
+            error = (sigmoid(score) - goal[first : first + n]) * balance[first : first + n] / len(goal)
+            slope += np.bincount(flat, part * error[row], 1 << BITS)
+            drift += error.sum()
         seen += slope * slope
         weights -= slope / np.sqrt(seen) * (rate / 100)
-        bias -= error.sum()
-    cut = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-    score = _means(weights, np.concatenate(own), cut)
+        bias -= drift
+    score = np.concatenate([np.bincount(row, part * weights[flat], n) for _, n, flat, part, row in _steps(ids, share, np.arange(len(rows)))])
     use = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
     return Model(weights.astype(np.float32), *platt(score[use], y[use]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts: the first `rows` by a hash of the id, none longer than `chars`.
+def _shares(texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each text's distinct feature ids and their shares of all its features."""
+    ids, share = [], []
+    for text in texts:
+        own, count = np.unique(features(pa.array([text], pa.string()))[0], return_counts=True)
+        ids.append(own.astype(np.int32))
+        share.append((count / max(count.sum(), 1)).astype(np.float32))
+    return ids, share
+
+
+def _steps(ids: list[np.ndarray], share: list[np.ndarray], rows: np.ndarray) -> list[tuple]:
+    """Consecutive `rows` with about STEP_FEATURES features each: (first, rows, feature ids, shares, row of each feature)."""
+    out, size = [], np.cumsum([len(ids[k]) for k in rows])
+    cuts = [0, *(np.flatnonzero(np.diff(size // STEP_FEATURES)) + 1).tolist(), len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        own = rows[a:b]
+        if len(own):
+            out.append((a, b - a, np.concatenate([ids[k] for k in own]), np.concatenate([share[k] for k in own]), np.repeat(np.arange(b - a, dtype=np.int32), [len(ids[k]) for k in own])))
+    return out
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
+    """A bounded sample of labelled texts: the first `rows` by a hash of the id.
 
     A broadcast of the chosen ids, so bounded, picks their texts, one for each
     id before any is collected. A null label or text is no example; the smallest
@@ -128,7 +147,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     """
     usable = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = usable.select("doc_id", "label", F.xxhash64(F.col("doc_id"), F.lit(label)).alias("h")).orderBy("h", "doc_id").limit(rows)
-    found = texts(docs).where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    found = texts(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
     return [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: (r.h, r.doc_id))]
 
 
@@ -198,9 +217,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     A document is kept if it does not fail the fixed rules (under MIN_WORDS
     words, or over REPEAT_PERCENT of them in repeated windows) and the
-    classifier gives it `threshold` or more. Null text has no words and fails.
-    Repeated rows give the same result each; an empty table gives no rows;
-    without labels only the rules decide.
+    classifier gives it `threshold` or more. Null text has no words and fails;
+    very long texts are scored whole, one at a time. Equal texts tie. Repeated
+    rows give the same result each; other columns, whatever their names, are left
+    out; an empty table gives no rows; without labels only the rules decide.
     """
     spark = docs.sparkSession
     arrow_rows(spark)

@@ -1,13 +1,14 @@
-"""Toxicity by compression distance to zstandard dictionaries, one ordinary and two toxic.
-
-The ordinary dictionary is trained on ordinary windows, the first toxic one on
-all toxic windows. The second toxic one has the ordinary part, so that ordinary
-words compress alike under both, and ends in the character segments that mark
-toxic training texts by their document frequencies; the others end in as many
-bytes of ordinary words. A window's evidence is how many bytes shorter it gets
-with each toxic dictionary. Documents are judged by their windows' evidence over
-whole texts, calibrated by logistic regression on labelled rows that trained no
-dictionary.
+"""Toxicity by compression distance to two zstandard dictionaries, an ordinary and a toxic one.
+
+Both begin with a dictionary trained on ordinary windows. The toxic one ends in
+a dictionary trained on toxic texts, reduced to their marking segments; the
+ordinary one ends in as many zero bytes, which match nothing, so ordinary words
+compress alike under both and only toxic wording makes a difference. (A toxic
+dictionary trained on unreduced windows is filled with ordinary words and hardly
+separates; README has figures.) A window's evidence is how many bytes shorter it
+gets with the toxic dictionary. Documents are judged by their windows' evidence
+over whole texts, calibrated by logistic regression on labelled rows that trained
+no dictionary.
 """
 
 from __future__ import annotations
@@ -23,22 +24,22 @@ from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, texts
 
-#: Labelled rows that train, of each label: this many at most, the first ones by a hash of their id.
+#: The bound of training: so many labelled rows of each label, the first ones by a hash of their id, with their whole texts.
 SAMPLE_ROWS = 1500
-#: A longer text is not taken into the sample.
-SAMPLE_CHARS = 12_000
 WINDOW = 200
 LEVEL = 13
-DICTIONARY_BYTES = 24_000
-#: Bytes of all marking segments together.
-MARK_BYTES = 2048
-SEGMENT_BYTES = range(5, 11)
-#: A toxic segment's log-odds exceed LEAST_ODDS; times its toxic training texts, they reach LEAST_EVIDENCE.
+ORDINARY_BYTES = 16_000
+TOXIC_BYTES = 2_000
+#: Of these, what goes to frequent wording that training leaves out.
+MISSED_BYTES = 500
+SEGMENT_BYTES = range(5, 9)
+#: A marking segment's log-odds exceed LEAST_ODDS; times its toxic training texts, they reach LEAST_EVIDENCE.
 LEAST_ODDS = 2.3
 LEAST_EVIDENCE = 18.4
 PREDICT = 0.3
 #: Rows whose crc32(doc_id as text) mod 4 is this are held out of all training.
 HELD_OUT = 2
+FEATURES = 6
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -57,12 +58,11 @@ def _segments(word: bytes) -> set[bytes]:
     return {word[i : i + n] for n in SEGMENT_BYTES for i in range(len(word) - n + 1)}
 
 
-def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Character segments whose document frequency is much higher in toxic texts, best first, none overlapping another much."""
+def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Character segments of toxic texts' words whose document frequency is much higher there than in ordinary texts."""
     sets = [set(t.split()) for t in toxic]
-    df = Counter(w for s in sets for w in s)
-    parts = {w: _segments(w) for w, n in df.items() if n >= 3}
-    found = Counter(g for s in sets for g in set().union(*(parts[w] for w in s if w in parts)))
+    parts = {w: _segments(w) for w in set().union(*sets)}
+    found = Counter(g for s in sets for g in set().union(*(parts[w] for w in s)))
     most = math.log(2 * (len(ordinary) + 1))  # the log-odds of a segment of all toxic and no ordinary texts
     found = {g: n for g, n in found.items() if n * most >= LEAST_EVIDENCE}
     other: Counter = Counter()
@@ -75,30 +75,52 @@ def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             own.update(memo[w])
         other.update(own)
     odds = {g: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((other[g] + 0.5) / (len(ordinary) + 1)) for g, n in found.items()}
-    ranked = sorted((g for g in found if odds[g] > LEAST_ODDS and found[g] * odds[g] >= LEAST_EVIDENCE), key=lambda g: (-found[g] * odds[g], -len(g), g))
-    out, seen, size = [], set(), 0
-    for g in ranked:
-        inner = {g[i : i + 5] for i in range(len(g) - 4)}
-        if not inner & seen and size + len(g) <= MARK_BYTES:
-            out.append(g)
-            seen |= inner
-            size += len(g)
-    return out
-
-
-def dictionary(samples: list[bytes]) -> bytes:
+    return {g for g in found if odds[g] > LEAST_ODDS and found[g] * odds[g] >= LEAST_EVIDENCE}
+
+
+def reduced(text: bytes, marks: set[bytes], memo: dict[bytes, bytes]) -> bytes:
+    """The parts of a text's words that marking segments cover, joined by one space."""
+    out = []
+    for word in text.split():
+        if word not in memo:
+            own = b" " + word + b" "
+            hit = bytearray(len(own))
+            for g in _segments(word) & marks:
+                at = own.find(g)
+                while at >= 0:
+                    hit[at : at + len(g)] = b"x" * len(g)
+                    at = own.find(g, at + 1)
+            memo[word] = bytes(c if h else 32 for c, h in zip(own, hit))
+        out.append(memo[word])
+    return b" " + b" ".join(b" ".join(out).split()) + b" "
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """The content of a trained dictionary, `size` bytes at most; of too few samples to train on, the samples themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES * 4 // 3, samples, level=9).as_bytes()[-DICTIONARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: the samples themselves
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+        return zstandard.train_dictionary(size * 4 // 3 + 300, samples, level=9).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def missed(wording: list[bytes], trained: bytes) -> bytes:
+    """The most frequent pieces of wording that training left out of its dictionary, MISSED_BYTES at most."""
+    count = Counter(w for t in wording for w in set(t.split()) if w not in trained)
+    out, size = [], 0
+    for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        if size + len(w) + 1 > MISSED_BYTES:
+            break
+        out.append(w)
+        size += len(w) + 1
+    return b" ".join(reversed(out)) + b" "
 
 
 class Model:
     """The dictionaries and the calibration; compressors are made where they are used."""
 
-    def __init__(self, trained: bytes, marked: bytes, ordinary: bytes):
-        self.trained, self.marked, self.ordinary = trained, marked, ordinary
-        self.mean, self.scale, self.weights = np.zeros(10), np.ones(10), np.zeros(11)
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = toxic, ordinary
+        self.mean, self.scale, self.weights = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
         self._own = None
 
     def __getstate__(self):
@@ -106,29 +128,26 @@ class Model:
 
     def compressors(self):
         if self._own is None:
-            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=DICTIONARY_BYTES, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._own = []
-            for raw in (self.trained, self.marked, self.ordinary):
+            for raw in (self.toxic, self.ordinary):
+                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
                 own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 own.precompute_compress(compression_params=how)
                 self._own.append(zstandard.ZstdCompressor(compression_params=how, dict_data=own))
         return self._own
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text and toxic dictionary: the windows' mean evidence, its maximum, sum over root of the count, shares of windows with 2 and with 3 bytes."""
-        trained, marked, ordinary = (c.compress for c in self.compressors())
-        counts, sizes = [], []
+        """Per text: the windows' mean evidence, its maximum, sum over root of the count, shares of windows with 2 and with 3 bytes, log of the count."""
+        toxic, ordinary = (c.compress for c in self.compressors())
+        counts, gains = [], []
         for text in texts:
             own = windows(plain(text))
             counts.append(len(own))
-            sizes += [(len(trained(w)), len(marked(w)), len(ordinary(w))) for w in own]
-        count, size = np.array(counts), np.array(sizes, np.float64)
+            gains += [len(ordinary(w)) - len(toxic(w)) for w in own]
+        count, gain = np.array(counts), np.array(gains, np.float64)
         at = np.cumsum(count) - count
-        out = []
-        for gain in (size[:, 2] - size[:, 0], size[:, 2] - size[:, 1]):
-            total = np.add.reduceat(gain, at)
-            out += [total / count, np.maximum.reduceat(gain, at), total / np.sqrt(count), np.add.reduceat(gain >= 2, at) / count, np.add.reduceat(gain >= 3, at) / count]
-        return np.stack(out, axis=1)
+        total = np.add.reduceat(gain, at)
+        return np.stack([total / count, np.maximum.reduceat(gain, at), total / np.sqrt(count), np.add.reduceat(gain >= 2, at) / count, np.add.reduceat(gain >= 3, at) / count, np.log(count)], axis=1)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
@@ -155,16 +174,16 @@ def fit(rows: list[tuple[int, str, int]], share: float) -> Model:
     """
     train, rest = [r for r in rows if r[0] == 0], [r for r in rows if r[0] != 0]
     if len({r[2] for r in train}) < 2 or len({r[2] for r in rest}) < 2:
-        model = Model(b"\0" * 16, b"\0" * 16, b"\0" * 16)
+        model = Model(b"\0" * 16, b"\0" * 16)
         model.weights[-1] = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return model
     toxic, ordinary = ([plain(t) for _, t, y in train if y == k] for k in (1, 0))
-    base = dictionary([w for t in ordinary for w in windows(t)][:20_000])
-    marks = b"".join(reversed(marking_segments(toxic, ordinary))) + b" "
-    bad = {w for t in toxic for w in t.split()}
-    common = Counter(w for t in ordinary for w in set(t.split()) if len(w) > 3 and w not in bad)
-    usual = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:400])[: len(marks)] + b" "
-    model = Model(dictionary([w for t in toxic for w in windows(t)]) + usual, base + marks, base + usual)
+    base = dictionary([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    marks, memo = marking_segments(toxic, ordinary), {}
+    wording = [own for own in (reduced(t, marks, memo) for t in toxic) if own.strip()]
+    tail = dictionary(wording, TOXIC_BYTES - MISSED_BYTES)
+    tail = missed(wording, tail) + tail
+    model = Model(base + tail, base + b"\0" * len(tail))
     y = np.array([r[2] for r in rest])
     model.calibrate(model.features([r[1] for r in rest]), y, share)
     return model
@@ -179,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id")) != HELD_OUT)
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     few = [usable.where(F.col("label") == k).select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
-    found = texts(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few[0].union(few[1])), "doc_id")
+    found = texts(docs).join(F.broadcast(few[0].union(few[1])), "doc_id")
     once = found.groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
     rows = once.select("h", "doc_id", "text", "label", F.when(fold(F.col("doc_id")) == 3, 1).otherwise(0).alias("fold")).collect()
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
@@ -190,8 +209,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT) ->
     """doc_id, held_out, score and predicted for every row of (doc_id, text).
 
     The score depends on the text alone; null text is empty and scored like any
-    other. Repeated rows give the same score each; an empty table gives no rows;
-    without labels of both kinds every score is their share of toxic ones.
+    other, a very long one window by window, whole. Rows of null doc_id are
+    scored and never held out. Equal texts tie. Repeated rows give the same score
+    each; other columns, whatever their names, are left out; an empty table gives
+    no rows; without labels of both kinds every score is their share of toxic ones.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -206,4 +227,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT) ->
                 yield pa.record_batch([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
