@@ -64,8 +64,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(docs):
-    sets = {i: shingles(t) for i, t in rows_of(docs)}
+def brute_groups(rows):
+    sets = {i: shingles(t) for i, t in rows}
     top = {i: i for i in sets}
 
     def find(i):
@@ -79,8 +79,33 @@ def test_near_duplicates(docs):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
-    want = [(i, len(sets[i]), find(i), find(i) == i) for i, _ in rows_of(docs)]
-    expect(neardup.near_duplicates(docs), ("doc_id", "n_shingles", "component_id", "kept"), want)
+    return [(i, len(sets[i]), find(i), find(i) == i) for i, _ in rows]
+
+
+def test_near_duplicates(docs):
+    expect(neardup.near_duplicates(docs), ("doc_id", "n_shingles", "component_id", "kept"), brute_groups(rows_of(docs)))
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_duplicates_of_edited_copies(spark, with_base):
+    """Copies with one to seven edits each, of which many are just under the threshold to all others."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(110)]
+    rows = [(0, " ".join(base))] * with_base
+    for k in range(1, 160):
+        own = list(base)
+        for at in rng.choice(len(base), rng.integers(1, 8), replace=False):
+            own[at] = f"e{rng.integers(0, 40)}"
+        if k % 7 == 0:
+            del own[int(rng.integers(0, len(own)))]
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expect(neardup.near_duplicates(df), ("doc_id", "n_shingles", "component_id", "kept"), brute_groups(rows))
+
+
+def test_near_duplicates_of_rows_without_id(spark):
+    df = spark.createDataFrame([(None, PASSAGE), (4, PASSAGE), (None, PASSAGE), (3, PASSAGE + " x")], "doc_id long, text string")
+    expect(neardup.near_duplicates(df), ("doc_id", "component_id", "kept"), [(None, None, True)] * 2 + [(4, 3, False), (3, 3, True)])
 
 
 def test_near_duplicates_large_keys(spark):

@@ -6,16 +6,22 @@ SUBKEYS ** 2 tables need 2 * SUBKEYS * ROWS minima. At similarity 0.75 a pair
 meets in no table with probability 0.0009. Candidates are compared on their full
 shingle sets.
 
-Groups of copies are never paired off. Equal sets collapse first. Then each
-document meets one leader, the smallest document of its keys. Keys that still
-hold several components leave documents open; of these, pairs that exact bounds
-on the sets cannot rule out are compared.
+Groups of copies are never paired off. Equal sets collapse first. Then, for a few
+rounds, each key offers its members one hub, and a document meets the best hub of
+its keys. A hub is the member with the most key-mates over all its keys: an
+original has more of them than its edited copies have, so one round links most of
+a group. A round's pairs are no more than its documents. Keys that still hold
+several components leave documents open; of these, pairs that exact bounds on the
+sets cannot rule out are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +32,11 @@ SHINGLE = 5
 PERCENT = 75
 SUBKEYS = 14
 ROWS = 3
-#: A much-wanted leader is copied, so that each copy has about so many pairs.
+#: Rounds in which documents meet hubs, each round with the next hub of a key.
+HUB_ROUNDS = 2
+#: Open documents of one component that have a core of common shingles, at the least.
+CORE_LEAST = 8
+#: A much-wanted hub is copied, so that each copy has about so many pairs.
 PAIRS_A_COPY = 200
 
 _RNG = np.random.Generator(np.random.PCG64(75))
@@ -71,7 +81,7 @@ def _signatures(batches):
         for own in shingle_sets(batch.column("text")):
             sizes.append(len(own))
             if len(own):
-                whole.append(int(mix(np.add.reduce(own) ^ mix(np.bitwise_xor.reduce(own, keepdims=True) + np.uint64(len(own))))[0].astype(np.int64)))
+                whole.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sub = minima(own).reshape(2 * SUBKEYS, ROWS, 1)
                 total = _ROLE.copy()
                 for r in range(ROWS):
@@ -81,7 +91,7 @@ def _signatures(batches):
                 whole.append(None)
                 keys.append(None)
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "set_hash", "keys"],
         )
 
@@ -141,17 +151,48 @@ def _confirmed(pairs: DataFrame, involved: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
 
-    Null or blank text has no shingles and no links. Repeated rows give the same
-    result each; rows that share a doc_id are taken to share their text. Copies
-    with equal sets are one node. An empty table gives no rows.
+    Null or blank text has no shingles and no links; a very long one has all its
+    shingles. Repeated rows give the same result each; rows that share a doc_id
+    are taken to share their text. Rows of null doc_id link with nothing. Copies
+    with equal sets (by 128 bits of all their shingles) are one node, and of ties
+    the smallest doc_id names the group. Other columns, whatever their names, are
+    left out. An empty table gives no rows.
     """
     arrow_rows(docs.sparkSession)
     rows = texts(docs)
-    signs = written(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash long, keys array<long>"), "signatures")
-    sets = signs.where("set_hash is not null")
-    reps = sets.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
-    reps = written(reps.select("set_hash", F.col("n_shingles").alias("n"), "rep", "keys"), "sets")
+    signs = written(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, set_hash binary, keys array<long>"), "signatures")
+    sets = signs.where("set_hash is not null and doc_id is not null")
+    reps = sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
+    reps = written(reps.select("set_hash", "rep", "keys"), "sets")
+
+    members = _members(reps)
+    involved = _involved(rows, members.select(F.col("rep").alias("doc_id")).distinct())
+    links, labels, last = None, None, None
+    for _ in range(HUB_ROUNDS):
+        open_ = _open(members, labels)
+        last = _next_hubs(open_, last)
+        pairs = written(_proposals(open_, last), "pairs")
+        if not pairs.count():
+            break
+        found = _confirmed(pairs, involved)
+        links = found if links is None else written(links.union(found), "links")
+        labels = components(links, labels)
+
+    rest = written(_open(members, labels).select("rep", "comp").distinct(), "open")
+    pairs = written(_across(rest, involved), "pairs")
+    if pairs.count():
+        links = _confirmed(pairs, involved) if links is None else written(links.union(_confirmed(pairs, involved)), "links")
+        labels = components(links, labels)
 
+    by_set = reps.select("set_hash", "rep", F.col("rep").alias("comp"))
+    if labels is not None:
+        by_set = reps.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("set_hash", "rep", F.coalesce("comp", "rep").alias("comp"))
+    joined = signs.join(by_set.select(F.col("set_hash").alias("own"), "comp").hint("merge"), (F.col("set_hash") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(key, rep, degree) of table keys that several sets share; `degree` counts the set's mates over all its keys."""
     # Sub-keys that no other set has cannot be part of a shared table key.
     sub = reps.select("rep", F.posexplode("keys").alias("slot", "sub"))
     shared = written(sub.groupBy("sub").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sub"), "shared")
@@ -160,23 +201,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     tables = met.select("rep", F.explode("one").alias("i"), "two").select("rep", "i", F.explode("two").alias("j")).select(F.xxhash64("i", "j").alias("key"), "rep")
     tables = written(tables, "keys")
-    leaders = written(tables.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"), "leaders")
-    members = written(tables.join(leaders.hint("merge"), "key").select("key", "rep", "leader"), "members")
-    involved = _involved(rows, members.select(F.col("rep").alias("doc_id")).distinct())
+    sizes = written(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = written(tables.join(sizes.hint("merge"), "key"), "members")
+    degrees = written(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
+    return written(members.select("key", "rep").join(degrees.hint("merge"), "rep").select("key", "rep", "degree"), "members")
 
-    # First each document meets one leader, then, where keys still hold several components, the others.
-    tried = written(members.where("leader < rep").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
-    links = _confirmed(tried, involved)
-    labels = components(links)
-    open_ = _open(members, labels)
-    pairs = written(_across(open_, involved).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    if pairs.count():
-        links = written(links.union(_confirmed(pairs, involved)), "links")
-        labels = components(links, labels)
 
-    by_set = reps.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("set_hash", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp"))
-    joined = signs.join(by_set.hint("merge"), ["set_hash", "n_shingles"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, rep, degree, comp) of the members of every key that still holds several components."""
+    if labels is None:
+        return members.withColumn("comp", F.col("rep"))
+    known = members.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", "degree", F.coalesce("comp", "rep").alias("comp"))
+    known = written(known, "known")
+    mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
+    return written(known.join(mixed.hint("merge"), "key").select("key", "rep", "degree", "comp"), "open")
+
+
+def _next_hubs(open_: DataFrame, last: DataFrame | None) -> DataFrame:
+    """(key, hub, comp): of each open key the best hub, or the best one that comes after its last hub."""
+    order = F.struct("degree", (-F.col("rep")).alias("back"), "comp")
+    if last is not None:
+        open_ = open_.join(last.select("key", F.col("degree").alias("was"), F.col("hub").alias("tried")).hint("merge"), "key", "left")
+        open_ = open_.where("was is null or degree < was or (degree = was and rep > tried)")
+    best = open_.groupBy("key").agg(F.max(order).alias("x"))
+    return written(best.select("key", F.col("x.degree").alias("degree"), (-F.col("x.back")).alias("hub"), F.col("x.comp").alias("hub_comp")), "hubs")
+
+
+def _proposals(open_: DataFrame, hubs: DataFrame) -> DataFrame:
+    """One pair (a, b) for each document b whose keys offer hubs of other components: with the best of these."""
+    met = open_.select("key", "rep", "comp").join(hubs.hint("merge"), "key").where("comp <> hub_comp")
+    best = met.groupBy("rep").agg(F.max(F.struct("degree", (-F.col("hub")).alias("back"))).alias("x"))
+    return best.select((-F.col("x.back")).alias("a"), F.col("rep").alias("b"))
 
 
 def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,14 +241,6 @@ def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return written(few, "involved").dropDuplicates(["doc_id"])
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, comp) of every document in a key that still holds several components."""
-    known = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    known = written(known, "known")
-    mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
-    return written(known.join(mixed.hint("merge"), "key").select("rep", "comp").distinct(), "open")
-
-
 def _shingle_rows(batches):
     for batch in slices(batches):
         own = list(shingle_sets(batch.column("text")))
@@ -202,27 +249,88 @@ def _shingle_rows(batches):
         yield pa.record_batch([pa.array(repeat("rep")), pa.array(repeat("comp")), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "comp", "n", "shingle"])
 
 
+def _may_match(batches):
+    """Rows (rep, comp, n, s): those for which some other size v has enough shared shingles that occur in sets of at least and at most v shingles."""
+    for batch in batches:
+        keep = []
+        column = batch.column("s")
+        flat, cut = column.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+        low, high = (pc.struct_field(flat, c).to_numpy() for c in ("low_n", "high_n"))
+        for k, n in enumerate(batch.column("n").to_pylist()):
+            lo, hi = np.sort(low[cut[k] : cut[k + 1]]), np.sort(high[cut[k] : cut[k + 1]])
+            both = np.minimum(np.searchsorted(lo, lo, side="right") - np.searchsorted(hi, lo, side="left"), lo)
+            keep.append(bool(((100 + PERCENT) * both >= PERCENT * (n + lo)).any()))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+_SHARED = "rep long, comp long, n long, s array<struct<df:long,shingle:long,low_n:long,high_n:long>>"
+
+
 def _across(open_: DataFrame, involved: DataFrame) -> DataFrame:
     """Pairs (a, b) of open documents in different components that may be similar enough, and all that are.
 
     Members of a key whose overlap is too small are told apart by exact bounds,
-    without pairing them off. A document needs PERCENT of its shingles in
-    documents of other components. By ascending document frequency, two similar
-    documents share a shingle among the first n - ceil(tn) + 1 of the larger one
-    and the first n - ceil(2tn / (1 + t)) + 1 of the smaller. A shingle's most
-    frequent component is not paired with itself.
+    without pairing them off. A document needs a possible partner's size at which
+    enough of its shingles occur in documents of other components, whose sizes
+    allow that; what this settles no longer counts for others, so the bound is
+    taken twice. What is left meets by cores or by prefixes.
     """
     text = open_.join(involved.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep").select("rep", "comp", "text")
     rows = written(text.mapInArrow(_shingle_rows, "rep long, comp long, n long, shingle long"), "shingles")
-    seen = written(rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "df"), "frequencies")
-    shared = rows.join(seen.hint("merge"), "shingle").groupBy("rep", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    enough = shared.where(F.size("s") * 100 >= PERCENT * F.col("n"))
+    for _ in range(2):
+        seen = written(rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("low_n"), F.max("n").alias("high_n")).where("low < high").select("shingle", "df", "low_n", "high_n"), "frequencies")
+        shared = rows.join(seen.hint("merge"), "shingle").groupBy("rep", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "low_n", "high_n"))).alias("s"))
+        enough = written(shared.mapInArrow(_may_match, _SHARED), "enough")
+        rows = enough.select("rep", "comp", "n", F.explode("s.shingle").alias("shingle"))
     # Shingles that no other component has come first in the order and match nothing.
-    head = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - (F.col("n") - F.size("s"))
-    short = F.col("n") - F.ceil(F.lit(2 * PERCENT) * F.col("n") / (100 + PERCENT)) + 1 - (F.col("n") - F.size("s"))
-    prefix = written(enough.select("rep", "comp", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), head).cast("int"))).alias("at", "x")).select("rep", "comp", "n", (F.col("at") < F.col("short")).alias("first"), "x.shingle"), "prefixes")
+    gone = F.col("n") - F.size("s")
+    head = (F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - gone).alias("head")
+    short = (F.col("n") - F.ceil(F.lit(2 * PERCENT) * F.col("n") / (100 + PERCENT)) + 1 - gone).alias("short")
+    flat = written(enough.select("rep", "comp", "n", head, short, F.posexplode("s.shingle").alias("at", "shingle")), "shared")
+    large = written(enough.groupBy("comp").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_LEAST), "large")
+    if not large.count():
+        return _by_prefixes(flat).distinct()
+    core, like = _cores(flat, large)
+    return _by_cores(flat, core, like).union(_by_prefixes(flat.join(like.select("rep").hint("merge"), "rep", "left_anti"))).distinct()
+
+
+def _pair() -> list:
+    return [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+
+
+def _sizes_fit():
+    return F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n")
+
+
+def _cores(flat: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The core (comp, shingle) of each large component, what half of its open documents have, and the documents
+    (rep, comp, n, outside) near it: those with no more shingles outside, as an array, than a prefix would have."""
+    own = flat.join(large.hint("merge"), "comp")
+    core = written(own.groupBy("comp", "shingle").agg(F.count("*").alias("df"), F.first("m").alias("m")).where("2 * df >= m").select("comp", "shingle"), "cores")
+    apart = own.join(core.withColumn("inside", F.lit(True)).hint("merge"), ["comp", "shingle"], "left")
+    outside = F.collect_list(F.when(F.col("inside").isNull(), F.col("shingle"))).alias("outside")
+    return core, written(apart.groupBy("rep", "comp", "n", "head").agg(outside).where(F.size("outside") <= F.col("head")).select("rep", "comp", "n", "outside"), "near")
+
+
+def _by_cores(flat: DataFrame, core: DataFrame, like: DataFrame) -> DataFrame:
+    """Pairs with a document y near its component's core: x has a shingle of y outside that core, or else
+    the shingles that x has of the core are enough for a document of y's size."""
+    y = like.select("rep", "comp", "n", F.explode("outside").alias("shingle")).alias("y")
+    apart = flat.alias("x").join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit()).select(*_pair())
+    met = flat.alias("x").join(core.alias("y").hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")))
+    common = met.groupBy("x.rep", "x.n", "y.comp").agg(F.count("*").alias("common"))
+    most = F.floor(F.col("common") * (100 + PERCENT) / PERCENT - F.col("n"))
+    common = written(common.withColumn("most", most).where(F.col("most") * 100 >= PERCENT * F.col("n")), "common")
+    within = common.alias("x").join(like.alias("y").hint("merge"), (F.col("x.comp") == F.col("y.comp")) & (F.col("y.n") <= F.col("x.most")) & _sizes_fit())
+    return apart.union(within.select(*_pair()))
+
+
+def _by_prefixes(flat: DataFrame) -> DataFrame:
+    """Pairs by prefixes: by ascending document frequency, two similar documents share a shingle among the first
+    n - ceil(tn) + 1 of the larger one and the first n - ceil(2tn / (1 + t)) + 1 of the smaller. A shingle's most
+    frequent component is not paired with itself."""
+    prefix = written(flat.where("at < head").select("rep", "comp", "n", (F.col("at") < F.col("short")).alias("first"), "shingle"), "prefixes")
     most = prefix.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "most")
     few = written(prefix.join(written(most, "most").hint("merge"), "shingle").where("comp != most").drop("most"), "few")
-    x, y = few.alias("x"), prefix.alias("y")
-    fits = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n")) & F.when(F.col("x.n") < F.col("y.n"), F.col("x.first")).when(F.col("x.n") > F.col("y.n"), F.col("y.first")).otherwise(F.col("x.first") | F.col("y.first"))
-    return x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    fits = (F.col("x.comp") != F.col("y.comp")) & _sizes_fit() & F.when(F.col("x.n") < F.col("y.n"), F.col("x.first")).when(F.col("x.n") > F.col("y.n"), F.col("y.first")).otherwise(F.col("x.first") | F.col("y.first"))
+    return few.alias("x").join(prefix.alias("y").hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & fits).select(*_pair())

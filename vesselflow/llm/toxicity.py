@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(fold(F.col("doc_id")) != HELD_OUT)
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     few = [usable.where(F.col("label") == k).select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
-    found = texts(docs).join(F.broadcast(few[0].union(few[1])), "doc_id")
+    found = texts(docs).where("text is not null").join(F.broadcast(few[0].union(few[1])), "doc_id")
     once = found.groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
     rows = once.select("h", "doc_id", "text", "label", F.when(fold(F.col("doc_id")) == 3, 1).otherwise(0).alias("fold")).collect()
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
