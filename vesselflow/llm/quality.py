@@ -95,47 +95,48 @@ def fit(rows: list[tuple[str, int]], epochs: int = 60, rate: float = 200.0) -> M
     y = np.array([label for _, label in rows], np.float64)
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 40.0 if not len(y) or y[0] == 1 else -40.0)
-    ids, share = _shares(text for text, _ in rows)
     held = np.arange(len(rows)) % CALIBRATE_EACH == 0
     held &= np.array([len(set(y[~held])) == 2]).all()
     goal = y[~held]
     balance = np.where(goal == 1, len(goal) / (2 * max(goal.sum(), 1)), len(goal) / (2 * max(len(goal) - goal.sum(), 1)))
-    steps = _steps(ids, share, np.flatnonzero(~held))
+    steps = list(_steps(text for (text, _), h in zip(rows, held) if not h))
     weights, bias, seen = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8)
     for _ in range(epochs):
-        slope, drift = np.zeros(1 << BITS), 0.0
-        for first, n, flat, part, row in steps:
-            score = np.bincount(row, part * weights[flat], n) + bias
-            error = (sigmoid(score) - goal[first : first + n]) * balance[first : first + n] / len(goal)
-            slope += np.bincount(flat, part * error[row], 1 << BITS)
+        slope, drift, at = np.zeros(1 << BITS), 0.0, 0
+        for ids, share, count in steps:
+            own = slice(at, at + len(count))
+            error = (sigmoid(_scores(weights, ids, share, count) + bias) - goal[own]) * balance[own] / len(goal)
+            slope += np.bincount(ids, share * np.repeat(error, count), 1 << BITS)
             drift += error.sum()
+            at += len(count)
         seen += slope * slope
         weights -= slope / np.sqrt(seen) * (rate / 100)
         bias -= drift
-    score = np.concatenate([np.bincount(row, part * weights[flat], n) for _, n, flat, part, row in _steps(ids, share, np.arange(len(rows)))])
+    score = np.zeros(len(rows))
+    score[~held] = np.concatenate([_scores(weights, *step) for step in steps])
+    if held.any():
+        score[held] = np.concatenate([_scores(weights, *step) for step in _steps(text for (text, _), h in zip(rows, held) if h)])
     use = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
     return Model(weights.astype(np.float32), *platt(score[use], y[use]))
 
 
-def _shares(texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each text's distinct feature ids and their shares of all its features."""
-    ids, share = [], []
+def _steps(texts):
+    """Consecutive texts with about STEP_FEATURES features: their distinct feature ids, shares of all of a text's features, counts of ids."""
+    ids, share, count = [], [], []
     for text in texts:
-        own, count = np.unique(features(pa.array([text], pa.string()))[0], return_counts=True)
+        own, times = np.unique(features(pa.array([text], pa.string()))[0], return_counts=True)
         ids.append(own.astype(np.int32))
-        share.append((count / max(count.sum(), 1)).astype(np.float32))
-    return ids, share
-
-
-def _steps(ids: list[np.ndarray], share: list[np.ndarray], rows: np.ndarray) -> list[tuple]:
-    """Consecutive `rows` with about STEP_FEATURES features each: (first, rows, feature ids, shares, row of each feature)."""
-    out, size = [], np.cumsum([len(ids[k]) for k in rows])
-    cuts = [0, *(np.flatnonzero(np.diff(size // STEP_FEATURES)) + 1).tolist(), len(rows)]
-    for a, b in zip(cuts, cuts[1:]):
-        own = rows[a:b]
-        if len(own):
-            out.append((a, b - a, np.concatenate([ids[k] for k in own]), np.concatenate([share[k] for k in own]), np.repeat(np.arange(b - a, dtype=np.int32), [len(ids[k]) for k in own])))
-    return out
+        share.append((times / max(times.sum(), 1)).astype(np.float32))
+        count.append(len(own))
+        if sum(count) >= STEP_FEATURES:
+            yield np.concatenate(ids), np.concatenate(share), np.array(count)
+            ids, share, count = [], [], []
+    if count:
+        yield np.concatenate(ids), np.concatenate(share), np.array(count)
+
+
+def _scores(weights: np.ndarray, ids: np.ndarray, share: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(count)), count), share * weights[ids], len(count))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, texts
+from ._text import mix, ngrams
 
 #: The bound of training: so many labelled rows of each label, the first ones by a hash of their id, with their whole texts.
 SAMPLE_ROWS = 1500
@@ -53,46 +54,61 @@ def windows(own: bytes, size: int = WINDOW) -> list[bytes]:
     return [own[i : i + size] for i in range(0, len(own), size)]
 
 
-def _segments(word: bytes) -> set[bytes]:
-    word = b" " + word + b" "
-    return {word[i : i + n] for n in SEGMENT_BYTES for i in range(len(word) - n + 1)}
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(256))
+_BUCKETS = 22
 
 
-def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Character segments of toxic texts' words whose document frequency is much higher there than in ordinary texts."""
-    sets = [set(t.split()) for t in toxic]
-    parts = {w: _segments(w) for w in set().union(*sets)}
-    found = Counter(g for s in sets for g in set().union(*(parts[w] for w in s)))
+def _grams(text: bytes):
+    """(n, hash of each segment of n bytes, whether it lies within a word and the spaces beside it) of a plain text."""
+    data = np.frombuffer(text, np.uint8)
+    spaces = np.concatenate([[0], np.cumsum(data == 32)])
+    spread, at = _BYTE[data], np.array([0, len(data)])
+    for n in SEGMENT_BYTES:
+        if len(data) >= n:
+            yield n, ngrams(spread, at, n)[0], spaces[n - 1 :][: len(data) - n + 1] == spaces[1:][: len(data) - n + 1]
+
+
+def _segments(text: bytes) -> np.ndarray:
+    """The distinct hashes of a plain text's segments."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(own[within] for _, own, within in _grams(text))]))
+
+
+def _places(known: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of `own` would be in sorted `known`, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+    where = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return where, known[where] == own
+
+
+def marking_segments(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The sorted hashes of word segments whose document frequency is much higher in toxic texts than in ordinary ones."""
     most = math.log(2 * (len(ordinary) + 1))  # the log-odds of a segment of all toxic and no ordinary texts
-    found = {g: n for g, n in found.items() if n * most >= LEAST_EVIDENCE}
-    other: Counter = Counter()
-    memo: dict[bytes, tuple] = {}
+    # Buckets bound the frequencies from above, so that only what may be frequent enough is counted one by one.
+    bound = np.zeros(1 << _BUCKETS, np.int32)
+    for text in toxic:
+        bound[np.unique(_segments(text) >> np.uint64(64 - _BUCKETS))] += 1
+    often = bound * most >= LEAST_EVIDENCE
+    kept = [own[often[own >> np.uint64(64 - _BUCKETS)]] for own in map(_segments, toxic)]
+    found, count = np.unique(np.concatenate(kept), return_counts=True)
+    found, count = found[count * most >= LEAST_EVIDENCE], count[count * most >= LEAST_EVIDENCE]
+    other = np.zeros(len(found), np.int64)
     for text in ordinary:
-        own = set()
-        for w in set(text.split()):
-            if w not in memo:
-                memo[w] = tuple(g for g in _segments(w) if g in found)
-            own.update(memo[w])
-        other.update(own)
-    odds = {g: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((other[g] + 0.5) / (len(ordinary) + 1)) for g, n in found.items()}
-    return {g for g in found if odds[g] > LEAST_ODDS and found[g] * odds[g] >= LEAST_EVIDENCE}
+        where, hit = _places(found, _segments(text))
+        other[where[hit]] += 1
+    odds = np.log((count + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(ordinary) + 1))
+    return found[(odds > LEAST_ODDS) & (count * odds >= LEAST_EVIDENCE)]
 
 
-def reduced(text: bytes, marks: set[bytes], memo: dict[bytes, bytes]) -> bytes:
+def reduced(text: bytes, marks: np.ndarray) -> bytes:
     """The parts of a text's words that marking segments cover, joined by one space."""
-    out = []
-    for word in text.split():
-        if word not in memo:
-            own = b" " + word + b" "
-            hit = bytearray(len(own))
-            for g in _segments(word) & marks:
-                at = own.find(g)
-                while at >= 0:
-                    hit[at : at + len(g)] = b"x" * len(g)
-                    at = own.find(g, at + 1)
-            memo[word] = bytes(c if h else 32 for c, h in zip(own, hit))
-        out.append(memo[word])
-    return b" " + b" ".join(b" ".join(out).split()) + b" "
+    depth = np.zeros(len(text) + 1, np.int64)
+    for n, own, within in _grams(text):
+        where = np.flatnonzero(within & _places(marks, own)[1])
+        np.add.at(depth, where, 1)
+        np.add.at(depth, where + n, -1)
+    left = np.where(np.cumsum(depth[:-1]) > 0, np.frombuffer(text, np.uint8), np.uint8(32))
+    return b" " + b" ".join(left.tobytes().split()) + b" "
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -179,8 +195,8 @@ def fit(rows: list[tuple[int, str, int]], share: float) -> Model:
         return model
     toxic, ordinary = ([plain(t) for _, t, y in train if y == k] for k in (1, 0))
     base = dictionary([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
-    marks, memo = marking_segments(toxic, ordinary), {}
-    wording = [own for own in (reduced(t, marks, memo) for t in toxic) if own.strip()]
+    marks = marking_segments(toxic, ordinary)
+    wording = [own for own in (reduced(t, marks) for t in toxic) if own.strip()]
     tail = dictionary(wording, TOXIC_BYTES - MISSED_BYTES)
     tail = missed(wording, tail) + tail
     model = Model(base + tail, base + b"\0" * len(tail))
