@@ -6,11 +6,11 @@ SUBKEYS ** 2 tables need 2 * SUBKEYS * ROWS minima. At similarity 0.75 a pair
 meets in no table with probability 0.0009. Candidates are compared on their full
 shingle sets.
 
-Groups of copies are never paired off. Equal sets collapse first. Then, for a few
-rounds, each key offers its members one hub, and a document meets the best hub of
-its keys. A hub is the member with the most key-mates over all its keys: an
-original has more of them than its edited copies have, so one round links most of
-a group. A round's pairs are no more than its documents. Keys that still hold
+Groups of copies are never paired off. Equal sets collapse first. Then each key
+offers its members one hub, and a document meets the best hub of its keys, so
+there are no more pairs than documents. A hub is the member with the most
+key-mates over all its keys: an original has more of them than its edited copies
+have, so this links most of a group. Keys that still hold
 several components leave documents open; of these, pairs that exact bounds on the
 sets cannot rule out are compared.
 """
@@ -32,8 +32,6 @@ SHINGLE = 5
 PERCENT = 75
 SUBKEYS = 14
 ROWS = 3
-#: Rounds in which documents meet hubs, each round with the next hub of a key.
-HUB_ROUNDS = 2
 #: Open documents of one component that have a core of common shingles, at the least.
 CORE_LEAST = 8
 #: A much-wanted hub is copied, so that each copy has about so many pairs.
@@ -130,13 +128,13 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
         labels = nodes.join(first.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     labels = written(labels, "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "comp").hint("merge"), "v").select(F.col("u").alias("node"), "comp")
-        low = near.union(labels).groupBy("node").agg(F.min("comp").alias("comp"))
+        near = both.join(labels.select(F.col("node").alias("v"), "comp").hint("merge"), "v").select(F.col("u").alias("node"), "comp", F.lit(None).cast("long").alias("was"))
+        low = near.union(labels.select("node", "comp", F.col("comp").alias("was"))).groupBy("node").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
         jump = low.alias("x").join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")).hint("merge"), "comp", "left")
-        new = written(jump.select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
-        if not new.join(labels.withColumnRenamed("comp", "old").hint("merge"), "node").where("comp != old").limit(1).count():
-            return new
-        labels = new
+        new = written(jump.select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "was"), "labels")
+        labels = new.select("node", "comp")
+        if not new.where("comp <> was").limit(1).count():
+            return labels
 
 
 def _confirmed(pairs: DataFrame, involved: DataFrame) -> DataFrame:
@@ -167,32 +165,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = _members(reps)
     involved = _involved(rows, members.select(F.col("rep").alias("doc_id")).distinct())
-    links, labels, last = None, None, None
-    for _ in range(HUB_ROUNDS):
-        open_ = _open(members, labels)
-        last = _next_hubs(open_, last)
-        pairs = written(_proposals(open_, last), "pairs")
-        if not pairs.count():
-            break
-        found = _confirmed(pairs, involved)
-        links = found if links is None else written(links.union(found), "links")
-        labels = components(links, labels)
+    tried = written(_proposals(members), "pairs")
+    links = _confirmed(tried, involved)
+    labels = components(links)
 
-    rest = written(_open(members, labels).select("rep", "comp").distinct(), "open")
+    rest = written(_open(members, labels), "open")
     pairs = written(_across(rest, involved), "pairs")
     if pairs.count():
-        links = _confirmed(pairs, involved) if links is None else written(links.union(_confirmed(pairs, involved)), "links")
+        links = written(links.union(_confirmed(pairs, involved)), "links")
         labels = components(links, labels)
 
-    by_set = reps.select("set_hash", "rep", F.col("rep").alias("comp"))
-    if labels is not None:
-        by_set = reps.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("set_hash", "rep", F.coalesce("comp", "rep").alias("comp"))
+    by_set = reps.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("set_hash", "rep", F.coalesce("comp", "rep").alias("comp"))
     joined = signs.join(by_set.select(F.col("set_hash").alias("own"), "comp").hint("merge"), (F.col("set_hash") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """(key, rep, degree) of table keys that several sets share; `degree` counts the set's mates over all its keys."""
+    """(key, rep, degree) of table keys which several sets share; `degree` counts the set's mates over all its keys."""
     # Sub-keys that no other set has cannot be part of a shared table key.
     sub = reps.select("rep", F.posexplode("keys").alias("slot", "sub"))
     shared = written(sub.groupBy("sub").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sub"), "shared")
@@ -207,31 +196,19 @@ def _members(reps: DataFrame) -> DataFrame:
     return written(members.select("key", "rep").join(degrees.hint("merge"), "rep").select("key", "rep", "degree"), "members")
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, rep, degree, comp) of the members of every key that still holds several components."""
-    if labels is None:
-        return members.withColumn("comp", F.col("rep"))
-    known = members.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", "degree", F.coalesce("comp", "rep").alias("comp"))
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, comp) of the members of keys that still hold several components."""
+    known = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     known = written(known, "known")
     mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
-    return written(known.join(mixed.hint("merge"), "key").select("key", "rep", "degree", "comp"), "open")
-
-
-def _next_hubs(open_: DataFrame, last: DataFrame | None) -> DataFrame:
-    """(key, hub, comp): of each open key the best hub, or the best one that comes after its last hub."""
-    order = F.struct("degree", (-F.col("rep")).alias("back"), "comp")
-    if last is not None:
-        open_ = open_.join(last.select("key", F.col("degree").alias("was"), F.col("hub").alias("tried")).hint("merge"), "key", "left")
-        open_ = open_.where("was is null or degree < was or (degree = was and rep > tried)")
-    best = open_.groupBy("key").agg(F.max(order).alias("x"))
-    return written(best.select("key", F.col("x.degree").alias("degree"), (-F.col("x.back")).alias("hub"), F.col("x.comp").alias("hub_comp")), "hubs")
+    return known.join(mixed.hint("merge"), "key").select("rep", "comp").distinct()
 
 
-def _proposals(open_: DataFrame, hubs: DataFrame) -> DataFrame:
-    """One pair (a, b) for each document b whose keys offer hubs of other components: with the best of these."""
-    met = open_.select("key", "rep", "comp").join(hubs.hint("merge"), "key").where("comp <> hub_comp")
-    best = met.groupBy("rep").agg(F.max(F.struct("degree", (-F.col("hub")).alias("back"))).alias("x"))
-    return best.select((-F.col("x.back")).alias("a"), F.col("rep").alias("b"))
+def _proposals(members: DataFrame) -> DataFrame:
+    """One pair (a, b) for each document b that is not itself the best hub of all its keys: with the best one, of ties the smallest."""
+    hubs = written(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"))).alias("x")).select("key", "x"), "hubs")
+    best = members.select("key", "rep").join(hubs.hint("merge"), "key").groupBy("rep").agg(F.max("x").alias("x"))
+    return best.select((-F.col("x.back")).alias("a"), F.col("rep").alias("b")).where("a <> b")
 
 
 def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -305,7 +282,7 @@ def _sizes_fit():
 def _cores(flat: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The core (comp, shingle) of each large component, what half of its open documents have, and the documents
     (rep, comp, n, outside) near it: those with no more shingles outside, as an array, than a prefix would have."""
-    own = flat.join(large.hint("merge"), "comp")
+    own = flat.join(small_side(large), "comp")
     core = written(own.groupBy("comp", "shingle").agg(F.count("*").alias("df"), F.first("m").alias("m")).where("2 * df >= m").select("comp", "shingle"), "cores")
     apart = own.join(core.withColumn("inside", F.lit(True)).hint("merge"), ["comp", "shingle"], "left")
     outside = F.collect_list(F.when(F.col("inside").isNull(), F.col("shingle"))).alias("outside")
