@@ -137,6 +137,46 @@ def test_registry():
         r.get("b")
 
 
+def test_lines_of_a_file_become_polygons(spark, tmp_path):
+    from vesselflow.plans.geo_dataset import load_geo_dataset
+
+    feature = lambda kind, xy, **p: {"type": "Feature", "geometry": {"type": kind, "coordinates": xy}, "properties": p}
+    collection = lambda *f: json.dumps({"type": "FeatureCollection", "features": f})
+    (tmp_path / "land.geojson").write_text(collection(feature("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]])))
+    (tmp_path / "water.geojson").write_text(collection(feature("LineString", [[0.2, 0.2], [0.2, 0.8]], width=" 2000 "), feature("MultiLineString", [[[0.4, 0.4], [0.6, 0.4], [0.6, 0.6]], [[0.9, 0.9], [0.9, 0.8]]], width="wide")))
+    assert readers.read_geojson(spark, str(tmp_path / "water.geojson"), "x").where("size(line) > 1").count() == 3
+    source = lambda name, table, how, **x: {"name": name, "type": "geojson", "region": "r", "sourceLayer": name, "targetTable": table, "geometryOperation": how, "path": str(tmp_path / f"{name}.geojson"), **x}
+    version, polygons = load_geo_dataset(spark, {"sources": [source("land", "land_polygons", "clip"), source("water", "navigable_water_polygons", "buffer_line", defaultLineBufferMeters=300.0)]}, "20240101000000")
+    assert {r["layer"]: r["count"] for r in polygons.groupBy("layer").count().collect()} == {"land": 1, "navigable_water": 4}
+    meters = lambda m: m / 111_320
+    points = [(0.2 + meters(990), 0.5), (0.2 + meters(1020), 0.5), (0.2, 0.8 + meters(980)), (0.5, 0.4 - meters(290)), (0.5, 0.4 - meters(310)), (0.6 + meters(200), 0.4 - meters(200)), (0.6 + meters(230), 0.4 - meters(230)), (0.9, 0.85)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "seq long, lon double, lat double")
+    got = [r.reason for r in geo.geo_verdict(df, polygons, version).orderBy("seq").collect()]
+    assert got == ["navigable_water", "deep_land", "navigable_water", "navigable_water", "deep_land", "navigable_water", "deep_land", "navigable_water"]
+
+
+def test_detail_rows_and_hashes_of_other_letters(spark):
+    import hashlib
+
+    schema = "mmsi string, vessel_id long, sanctions_status string, sanctions_checked_at timestamp_ntz, sanctions_matches array<string>"
+    old = spark.createDataFrame([("1", None, "clear", at(10), []), ("2", 2, "clear", None, []), ("3", 3, "clear", at(5), ["x"])], schema)
+    new = spark.createDataFrame([("1", 11, "sanctioned", at(9), ["e"]), ("2", 12, "candidate", at(0), ["e"]), ("3", 13, "clear", at(5), []), ("4", 14, "clear", at(1), []), ("5", 15, "clear", None, [])], schema)
+    got = {r.mmsi: (r.vessel_id, r.sanctions_status, r.sanctions_matches) for r in fanout.fold_detail(old, new).collect()}
+    assert got == {"1": (None, "clear", []), "2": (12, "candidate", ["e"]), "3": (13, "clear", []), "4": (14, "clear", [])}
+    rows = spark.createDataFrame([("9000001", "São José-1", "sao jose 1"), (None, "ÅNGSTRÖM", "angstrom"), ("1", "PLAIN", "plain")], "imo string, name string, want string")
+    for r in rows.withColumn("h", fn.profile_hash(F.col("imo"), F.col("name"))).collect():
+        assert r.h == hashlib.sha1(f'{{"imo":"{r.imo or ""}","name":"{r.want}"}}'.encode()).hexdigest()[:16]
+
+
+def test_labels_written_down_independently(spark):
+    """Values of the published AIS code tables, not read from the library's own tables."""
+    types = {30: "Fishing", 31: "Towing", 36: "Sailing", 37: "Pleasure Craft", 51: "SAR Vessel", 52: "Tug", 60: "Passenger", 69: "Passenger", 70: "Cargo", 80: "Tanker", 99: "Other", 0: "Unknown"}
+    status = {0: "Under way (engine)", 1: "At anchor", 2: "Not under command", 5: "Moored", 6: "Aground", 7: "Engaged in fishing", 8: "Under way sailing", 15: "Undefined", 16: "Unknown"}
+    for codes, label in ((types, fn.ship_type_label), (status, fn.nav_status_label)):
+        got = spark.createDataFrame([(k,) for k in codes], "code int").withColumn("label", label(F.col("code"))).collect()
+        assert {r.code: r.label for r in got} == codes
+
+
 def test_override_folder(spark, tmp_path):
     assert readers.read_override_dir(spark, str(tmp_path / "none")).count() == 0
     shape = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}, "properties": {"name": "x"}}, {"type": "Feature", "geometry": None, "properties": {}}]}
@@ -166,22 +206,27 @@ def test_streams_equal_batches(spark, tmp_path):
     from vesselflow.sources.feed import positions as feed_positions
     from vesselflow.streaming import stateful
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # State with processing-time timeouts asks for empty batches without end, and a run over what is available would never be done.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own = feed_positions(spark, "/root/testdata/sf0.001").where("user_id < 12")
     own.coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
     how = quality.Sampling(moving_s=12 * 3600, stationary_s=48 * 3600, state_ttl_s=10**9)
     run = stateful.sample_stream(read(), how).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start(str(tmp_path / "sampled"))
-    run.awaitTermination()
+    assert run.awaitTermination(120)
     got = {r.seq for r in spark.read.parquet(str(tmp_path / "sampled")).collect()}
     assert got == {r.seq for r in quality.adaptive_sample(own, how).where("emitted").collect()}
 
-    stateful.persist_stream(read(), str(tmp_path / "store"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    stateful.persist_stream(read(), str(tmp_path / "store"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
     latest = readers.current_version(spark, str(tmp_path / "store/latest"))
     key = lambda df: sorted(tuple(r) for r in df.select("mmsi", "lon", "occurred_at").collect())
     assert key(latest) == key(state.upsert_latest(None, own))
     assert spark.read.parquet(str(tmp_path / "store/history")).count() == state.append_history(None, own).count()
 
-    seen = stateful.dedup_within_watermark(read().withColumn("occurred_at", F.col("occurred_at").cast("timestamp")))
-    seen.select("seq").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start(str(tmp_path / "dedup")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "dedup")).count() <= own.count()
+    twice = own.union(own)
+    twice.coalesce(1).write.parquet(str(tmp_path / "twice"))
+    again = spark.readStream.schema(own.schema).parquet(str(tmp_path / "twice"))
+    seen = stateful.dedup_within_watermark(again.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), "100000 days")
+    seen.select("mmsi", "occurred_at").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start(str(tmp_path / "dedup")).awaitTermination(120)
+    key = lambda df: sorted((r.mmsi, r.at) for r in df.select("mmsi", F.col("occurred_at").cast("timestamp").cast("string").alias("at")).collect())
+    assert key(spark.read.parquet(str(tmp_path / "dedup"))) == key(quality.dedup(twice, 10**10).where("accepted"))

@@ -152,7 +152,7 @@ def normalize_name(name: Column) -> Column:
 
 def profile_hash(imo: Column, name: Column) -> Column:
     """First 16 hex digits of the sha1 of the profile as JSON, the name normalised."""
-    text = F.concat(F.lit('{"imo":"'), F.coalesce(imo, F.lit("")), F.lit('","name":"'), normalize_name_ascii(name), F.lit('"}'))
+    text = F.concat(F.lit('{"imo":"'), F.coalesce(imo, F.lit("")), F.lit('","name":"'), normalize_name(name), F.lit('"}'))
     return F.substring(F.sha1(text), 1, 16)
 
 

@@ -97,6 +97,14 @@ def fold_snapshot(state: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("mmsi", *[pick(newer, c) for c in ("lon", "lat", "sog", "occurred_at")], F.coalesce("r.name", "s.name").alias("name"), *[pick(checked, c) for c in ("sanctions_status", "sanctions_checked_at")])
 
 
+def fold_detail(state: DataFrame, details: DataFrame) -> DataFrame:
+    """Known vessels (mmsi, vessel_id, sanctions_*) with the sanctions of detail rows that are checked and not older; `details` has a row a vessel."""
+    s, r = state.alias("s"), details.alias("r")
+    newer = F.col("r.sanctions_checked_at").isNotNull() & (F.col("s.sanctions_checked_at").isNull() | (F.col("r.sanctions_checked_at") >= F.col("s.sanctions_checked_at")))
+    both = s.join(r, "mmsi", "full_outer").where(newer | F.col("s.mmsi").isNotNull())
+    return both.select("mmsi", *[F.when(newer, F.col(f"r.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in ("vessel_id", "sanctions_status", "sanctions_checked_at", "sanctions_matches")])
+
+
 def prune_stale(state: DataFrame, now: Column, max_age_hours: int = 24) -> DataFrame:
     """Vessels active within the age; a vessel without any time stays."""
     activity = F.coalesce("last_seen_at", "occurred_at", "static_occurred_at")

@@ -166,11 +166,32 @@ def clip_polygons(features: DataFrame, boxes: list[dict], tile: float = 4.0) ->
 
 
 def buffer_lines(features: DataFrame, default_m: float = 75.0) -> DataFrame:
-    """Adds radius_m: half a plain positive width, else the default. The line stays; membership is a distance."""
-    width = F.when(F.col("width").rlike(r"^\d+(\.\d+)?$"), F.col("width").try_cast("double"))
+    """Adds radius_m: half a plain positive width, else the default. The line stays."""
+    width = F.when(F.col("width").rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim("width").try_cast("double"))
     return features.withColumn("radius_m", F.when(width > 0, width / 2).otherwise(F.lit(default_m)))
 
 
+#: Chords of a half circle at a buffered segment's end.
+CHORDS = 16
+
+
+def line_buffers(lines: DataFrame) -> DataFrame:
+    """Adds rings to (line, radius_m, ...): a row for each segment, the polygon of points within radius_m of it.
+
+    A segment's polygon has half circles of CHORDS chords around its ends, on the
+    plane that touches at its middle; together a line's polygons cover its buffer.
+    A line of one point gives its circle; rows without a line go.
+    """
+    segments = F.expr("if(size(line) = 1, array(named_struct('a', line[0], 'b', line[0])), transform(sequence(1, size(line) - 1), i -> named_struct('a', line[i - 1], 'b', line[i])))")
+    own = lines.where("size(line) > 0").withColumn("_seg", F.explode(segments))
+    east, north = _meters("((_seg.a.lat + _seg.b.lat) / 2)")
+    own = own.withColumn("_east", F.expr(east)).withColumn("_north", F.expr(north))
+    own = own.withColumn("_turn", F.expr("atan2((_seg.b.lat - _seg.a.lat) * _north, (_seg.b.lon - _seg.a.lon) * _east)"))
+    half = f"transform(sequence(0, {CHORDS}), i -> named_struct('lon', $p.lon + radius_m * cos(_turn + $f + i * pi() / {CHORDS}) / _east, 'lat', $p.lat + radius_m * sin(_turn + $f + i * pi() / {CHORDS}) / _north))"
+    back, front = half.replace("$p", "_seg.a").replace("$f", "pi() / 2"), half.replace("$p", "_seg.b").replace("$f", "-pi() / 2")
+    return own.withColumn("_ring", F.expr(f"concat({back}, {front})")).withColumn("rings", F.expr("array(concat(_ring, array(_ring[0])))")).drop("_seg", "_east", "_north", "_turn", "_ring")
+
+
 def near_line(radius: Column) -> Column:
     """The point is within `radius` of the line in the column `line`."""
     return boundary_distance("array(line)") <= radius

@@ -20,6 +20,8 @@ def checksum(spark: SparkSession, path: str) -> str:
 def load_geo_dataset(spark: SparkSession, manifest: dict, stamp: str, override_dir: str | None = None, zones=None) -> tuple[str, DataFrame]:
     """(version_id, polygons) of all the manifest's sources, clipped to the coverage if zones are given.
 
+    Lines of a buffer_line source become the polygons around them, of half their
+    width or else the source's default radius.
     A source whose checksum differs is an error, and so is a version without
     land or water: whatever was active stays.
     """
@@ -30,7 +32,11 @@ def load_geo_dataset(spark: SparkSession, manifest: dict, stamp: str, override_d
         if s.get("checksumSha256") and checksum(spark, s["path"]) != s["checksumSha256"]:
             raise ValueError(f"source {s['name']!r} has another checksum")
         rows = read_geojson(spark, s["path"], LAYER_OF[s["targetTable"]], s["name"]).withColumn("fclass", F.col("properties")["fclass"])
-        rows = geo.fclass_filter(rows, s.get("includeFclasses")).where("rings is not null").select("layer", "source", "rings")
+        rows = geo.fclass_filter(rows, s.get("includeFclasses"))
+        if s["geometryOperation"] == "buffer_line":
+            wide = geo.buffer_lines(rows.where("line is not null").drop("rings").withColumn("width", F.col("properties")["width"]), float(s["defaultLineBufferMeters"]))
+            rows = geo.line_buffers(wide)
+        rows = rows.where("rings is not null").select("layer", "source", "rings")
         out = rows if out is None else out.unionByName(rows)
     if override_dir:
         out = out.unionByName(read_override_dir(spark, override_dir).select("layer", "source", "rings"))

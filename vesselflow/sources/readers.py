@@ -74,7 +74,7 @@ _RING = T.ArrayType(T.ArrayType(_D))
 def read_geojson(spark: SparkSession, path, layer: str, source: str = "geojson") -> DataFrame:
     """Features with a geometry: layer, source, geometry_type, rings (arrays of lon/lat), line, properties.
 
-    Multipart polygons give a row for each part. Coordinates are read as text
+    Multipart polygons and lines give a row for each part. Coordinates are read as text
     first, since their depth depends on the geometry's type.
     """
     feature = _struct(type=_S, geometry=_struct(type=_S, coordinates=_S), properties=T.MapType(_S, _S))
@@ -83,7 +83,9 @@ def read_geojson(spark: SparkSession, path, layer: str, source: str = "geojson")
     one = F.array(F.from_json(text, T.ArrayType(_RING)))
     many = F.from_json(text, T.ArrayType(T.ArrayType(_RING)))
     parts = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
-    out = rows.select(kind.alias("geometry_type"), F.when(kind == "LineString", F.from_json(text, _RING)).alias("line"), F.col("f.properties").alias("properties"), F.explode_outer(parts).alias("part"))
+    lines = F.when(kind == "LineString", F.array(F.from_json(text, _RING))).when(kind == "MultiLineString", F.from_json(text, T.ArrayType(_RING)))
+    shape = F.coalesce(F.transform(parts, lambda p: F.struct(p.alias("part"), F.lit(None).cast(_RING).alias("line"))), F.transform(lines, lambda x: F.struct(F.lit(None).cast(T.ArrayType(_RING)).alias("part"), x.alias("line"))))
+    out = rows.select(kind.alias("geometry_type"), F.col("f.properties").alias("properties"), F.explode_outer(shape).alias("s")).select("geometry_type", "properties", "s.part", "s.line")
     point = lambda p: F.struct(F.element_at(p, 1).alias("lon"), F.element_at(p, 2).alias("lat"))
     rings = F.transform("part", lambda ring: F.transform(ring, point))
     return out.select(F.lit(layer).alias("layer"), F.lit(source).alias("source"), "geometry_type", rings.alias("rings"), F.transform("line", point).alias("line"), "properties")
@@ -134,10 +136,12 @@ def write_history(positions: DataFrame, path: str) -> DataFrame:
     new = first_of_key(positions, HISTORY_KEY, POSITION_COLUMNS).withColumn("occurred_date", F.to_date("occurred_at"))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        days = F.broadcast(new.select("occurred_date").distinct())
-        there = spark.read.parquet(path).join(days, "occurred_date", "left_semi").select(HISTORY_KEY)
-        new = new.join(there, HISTORY_KEY, "left_anti")
-    new.write.mode("append").partitionBy("occurred_date").parquet(path)
+        held = new.persist()
+        there = spark.read.parquet(path).join(held.select("occurred_date").distinct(), "occurred_date", "left_semi").select(HISTORY_KEY)
+        held.join(there, HISTORY_KEY, "left_anti").write.mode("append").partitionBy("occurred_date").parquet(path)
+        held.unpersist()
+    else:
+        new.write.mode("append").partitionBy("occurred_date").parquet(path)
     return spark.read.parquet(path)
 
 

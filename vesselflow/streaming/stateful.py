@@ -11,8 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.quality import Sampling
 from ..operators.state import upsert_latest
@@ -24,36 +23,25 @@ def dedup_within_watermark(events: DataFrame, ttl: str = "600 seconds") -> DataF
     return events.withWatermark("occurred_at", ttl).dropDuplicatesWithinWatermark(["mmsi", "occurred_at"])
 
 
-class _Sampler(StatefulProcessor):
-    def __init__(self, sampling: Sampling):
-        self.sampling = sampling
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("occurred", T.LongType()), T.StructField("received", T.LongType()), T.StructField("nav", T.IntegerType())])
-        self.last = handle.getValueState("last", schema, self.sampling.state_ttl_s * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.last.get()) if self.last.exists() else None
-        table = pd.concat(list(rows)).sort_values("seq")
+def sample_stream(positions: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
+    """(mmsi, seq) of emitted positions. Rows of a micro-batch are taken by seq; a vessel's state goes after its time-to-live."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        state = tuple(kept.get) if kept.exists else None
+        table = pd.concat(list(frames)).sort_values("seq")
         keep = []
         for at, received, sog, nav in zip(table.occurred_us, table.received_us, table.sog, table.nav_status):
-            nav = None if pd.isna(nav) else int(nav)
-            state, emit = self.sampling.step(state, int(at), int(received), None if pd.isna(sog) else float(sog), nav)
+            state, emit = sampling.step(state, int(at), int(received), None if pd.isna(sog) else float(sog), None if pd.isna(nav) else int(nav))
             keep.append(emit)
-        if state is not None:
-            self.last.update(state)
-        out = table[keep]
-        if len(out):
-            yield pd.DataFrame({"mmsi": key[0], "seq": out.seq})
+        kept.update(state)
+        kept.setTimeoutDuration(sampling.state_ttl_s * 1000)
+        yield pd.DataFrame({"mmsi": key[0], "seq": table[keep].seq})
 
-    def close(self) -> None:
-        pass
-
-
-def sample_stream(positions: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
-    """(mmsi, seq) of emitted positions; needs the RocksDB state store. Rows of a micro-batch are taken by seq."""
     own = positions.select("mmsi", "seq", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("occurred_us"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us"), "sog", "nav_status")
-    return own.groupBy("mmsi").transformWithStateInPandas(_Sampler(sampling), "mmsi string, seq long", "Append", "ProcessingTime")
+    return own.groupBy("mmsi").applyInPandasWithState(run, "mmsi string, seq long", "occurred long, received long, nav int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def persist_stream(positions: DataFrame, folder: str, checkpoint: str):
