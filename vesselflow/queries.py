@@ -16,6 +16,7 @@ from .functions import scalars as fn
 from .operators import fanout, geo, normalize, quality, quarantine, rollups, sanctions, state, validate, views
 from .plans import pipelines
 from .plans.geo_dataset import load_geo_dataset
+from .plans.registry import Registry
 from .sources import readers
 from .sources.feed import BOXES_SQL, ENTITIES_SQL, FEED_SQL, FRAMES_SQL, entities, feed, now, polygons, positions, raw_frames, statics, table
 
@@ -743,6 +744,20 @@ def m1(spark, d):
     return sanctions.match_sanctions(vessels_of(spark, d), entities(spark, d)).select("mmsi", "entity_id", "method", "position")
 
 
+@query("P8_track_params", HISTORY_SQL + "SELECT mmsi, count(*) AS n FROM hist WHERE occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-12' GROUP BY mmsi")
+def p8(spark, d):
+    start, end, _ = validate.track_params(datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 12))
+    return views.track_points(history_of(spark, d), day(str(start)), day(str(end))).groupBy("mmsi").agg(F.count("*").alias("n"))
+
+
+@query("R1_registry", _NORM_SQL + "SELECT kind, drop_reason, count(*) AS n FROM norm GROUP BY kind, drop_reason")
+def r1(spark, d):
+    providers = Registry("provider")
+    providers.register("feed", normalize.normalize)
+    providers.register("feed", lambda frames: frames.limit(0))  # the name is taken
+    return providers.get("feed")(clean_frames(spark, d)).groupBy("kind", "drop_reason").agg(F.count("*").alias("n"))
+
+
 @query("M2_normalize_name", "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer", False)
 def m2(spark, d):
     return table(spark, d, "customer").select("c_custkey", fn.normalize_name(F.col("c_name")).alias("name"))
@@ -867,6 +882,19 @@ def x5(spark, d):
     return fanout.fold_snapshot(old, latest_of(spark, d).withColumns(nothing)).select("mmsi", "lon", t("occurred_at"))
 
 
+_DETAIL_NEWER = "k % 4 <> 0 AND (o.at IS NULL OR d.at >= o.at)"
+
+
+@query("X5_fold_detail", LATEST_SQL + f", old AS (SELECT mmsi, max(occurred_at) AS at FROM positions WHERE seq % 3 = 0 GROUP BY mmsi), det AS (SELECT mmsi, CAST(substr(mmsi, 2, 8) AS BIGINT) AS k, occurred_at - to_days(CAST(CAST(substr(mmsi, 2, 8) AS BIGINT) % 5 AS INTEGER)) AS at FROM latest) SELECT mmsi, CASE WHEN {_DETAIL_NEWER} THEN k END AS vessel_id, CASE WHEN {_DETAIL_NEWER} THEN 'clear' ELSE 'candidate' END AS sanctions_status FROM det d FULL JOIN old o USING (mmsi) WHERE o.at IS NOT NULL OR k % 4 <> 0")
+def x5_detail(spark, d):
+    k = F.substring("mmsi", 2, 8).cast("long")
+    none = F.lit(None).cast("array<string>").alias("sanctions_matches")
+    old = positions(spark, d).where("seq % 3 = 0").groupBy("mmsi").agg(F.max("occurred_at").alias("sanctions_checked_at")).select("mmsi", F.lit(None).cast("long").alias("vessel_id"), F.lit("candidate").alias("sanctions_status"), "sanctions_checked_at", none)
+    checked = F.when(k % 4 != 0, F.col("occurred_at") - F.make_dt_interval((k % 5).cast("int")))
+    details = latest_of(spark, d).select("mmsi", k.alias("vessel_id"), F.lit("clear").alias("sanctions_status"), checked.alias("sanctions_checked_at"), none)
+    return fanout.fold_detail(old, details).select("mmsi", "vessel_id", "sanctions_status")
+
+
 @query("X6_prune_stale", _LIVE_SQL + f"SELECT mmsi FROM live WHERE coalesce(last_seen_at, occurred_at, static_occurred_at) IS NULL OR {NOW_SQL} - coalesce(last_seen_at, occurred_at, static_occurred_at) <= INTERVAL 24 HOUR")
 def x6(spark, d):
     return fanout.prune_stale(live_of(spark, d), now()).select("mmsi")
