@@ -409,6 +409,12 @@ def test_secret_with_a_fixed_pattern_inside_is_masked_whole(spark):
     assert {r.text for r in clean} == {"see [SECRET] here"}
 
 
+def test_masking_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, SECRET, 7, "a", "b", "c"), (2, None, 8, "a", "b", "c")], "doc_id long, text string, n_chars long, _secret_key string, secrets string, key string")
+    got = secret_scan.redact(df).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "[SECRET]\"", 9, "a", "b", "c"), (2, None, 8, "a", "b", "c")]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (900, 24)).astype(np.float32)

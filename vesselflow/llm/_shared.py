@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table that may be broadcast; beyond it the join shuffles.
@@ -39,6 +39,11 @@ def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for a row's id and text, so that rows of one key are taken to be equal."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), text, doc_id).alias("b"))
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id and text, and no other column that a caller's table may have."""
     return docs.select("doc_id", *columns, F.col("text").cast("string").alias("text"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import row_key, written
 
 GRAM = 3
 #: Diagonals this near to the one before belong to one match.
@@ -60,7 +60,7 @@ def template_grams(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select("doc_id", text.alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
 
 
 def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:

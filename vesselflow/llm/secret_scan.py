@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_side, written
+from ._shared import row_key, small_side, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -43,7 +43,7 @@ def _base(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _base(F.col("text")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select("doc_id", _base(F.col("text")).alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
 
 
 def _matches(rows: DataFrame, pattern: str, value_group: int = 0) -> DataFrame:
@@ -153,16 +153,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by MASK; overlapping spans become one. The columns of `docs` stay."""
+    """The documents with every secret replaced by MASK; overlapping spans become one.
+
+    The columns of `docs` stay, whatever their names; n_chars follows the text.
+    Null text stays null, very long texts are masked whole, repeated rows alike;
+    an empty table gives no rows.
+    """
     columns = docs.columns
-    rows = docs.withColumn("_secret_key", F.xxhash64("doc_id", _base(F.col("text"))))
-    found = all_spans(keyed(docs)).groupBy(F.col("key").alias("_secret_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_secrets"))
+    rows = docs.select(F.struct(*columns).alias("doc"), F.col("text").cast("string").alias("text"), row_key(F.col("doc_id"), _base(F.col("text"))).alias("key"))
+    found = all_spans(keyed(docs)).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("secrets"))
     step = F.expr(
-        "aggregate(_secrets, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', "
+        "aggregate(secrets, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', "
         f"if(s.start < a.at, a.out, concat(a.out, substring(text, int(a.at + 1), int(s.start - a.at)), '{MASK}'))), "
         "a -> concat(a.out, substring(text, int(a.at + 1))))"
     )
-    out = rows.join(small_side(written(found, "found")), "_secret_key", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(step))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(columns)
+    out = rows.join(small_side(written(found, "found")), "key", "left").withColumn("masked", F.when(F.col("secrets").isNull(), F.col("text")).otherwise(step))
+    new = {"text": F.col("masked"), "n_chars": F.when(F.col("secrets").isNull(), F.col("doc").getField("n_chars")).otherwise(F.length("masked").cast("long")) if "n_chars" in columns else None}
+    return out.select([new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in columns])
