@@ -31,17 +31,27 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets masked."""
+    """Every document, its secrets masked; null and empty texts stay, repeated rows are masked alike, columns of any name stay, an empty table gives none."""
     return secret_scan.redact(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each pass over a document; documents that the mix does not take go."""
+    """The mix: a row for each pass over a document; documents that the mix does not take go.
+
+    Null and empty texts have no words and go; very long texts count whole;
+    repeated rows count each; a null source is one of its own; an empty table
+    gives none. The columns of `docs` stay.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all mixed rows."""
+    """The packed pieces of all mixed rows.
+
+    A null or empty text is its end token alone; very long texts are cut into
+    pieces; repeated rows are packed each; columns other than doc_id and text
+    are left out, whatever their names; an empty table gives none.
+    """
     return packing.best_fit(docs)
 
 
