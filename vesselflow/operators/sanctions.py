@@ -86,13 +86,18 @@ def match_sanctions(vessels: DataFrame, entities: DataFrame, name_mode: str = "r
     An entity counts once, with its first method. Positions order a vessel's
     matches by method, then (source, source_entity_id, entity_id).
     """
-    rank = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(METHODS) for x in (m, i)]), F.col("method"))
-    ids = candidates_by_imo(vessels, entities).unionByName(candidates_by_mmsi(vessels, entities))
-    unmatched = vessels.join(ids.select("mmsi").distinct(), "mmsi", "left_anti")
-    found = ids.unionByName(candidates_by_name(unmatched, entities, name_mode)).withColumn("rank", rank)
+    key = normalize_name if name_mode == "normalized" else lambda c: c
+    tagged = lambda rank, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"))
+    usable = F.when(normalize_name(F.col("name")) != "", key(F.col("name")))
+    own = vessels.select("mmsi", F.inline(F.array(tagged(0, F.col("imo")), tagged(1, F.col("mmsi")), tagged(2, usable)))).where("k is not null")
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    keys = F.concat(F.array(tagged(0, F.col("imo")), tagged(1, F.col("mmsi"))), F.transform(names, lambda x: tagged(2, key(x))))
+    listed = entities.select("entity_id", "source", "source_entity_id", F.col("name").alias("entity_name"), F.inline(keys)).where("k is not null")
+    found = own.join(listed.hint("merge"), ["rank", "k"]).withColumn("method", F.element_at(F.array(*map(F.lit, METHODS)), F.col("rank") + 1))
     once = found.groupBy("mmsi", "entity_id", "source", "source_entity_id", "entity_name").agg(F.min("rank").alias("rank"), F.min_by("method", "rank").alias("method"))
     order = Window.partitionBy("mmsi").orderBy("rank", "source", "source_entity_id", "entity_id")
-    return once.withColumn("position", F.row_number().over(order)).drop("rank")
+    best = F.min("rank").over(order)  # the first in order has the least rank
+    return once.withColumn("best", best).where("rank < 2 or best = 2").withColumn("position", F.row_number().over(order)).drop("rank", "best")
 
 
 def status_of(vessels: DataFrame, matches: DataFrame) -> DataFrame:

@@ -21,21 +21,17 @@ ZONES = (
 )
 
 
-def _is_object(path: str) -> Column:
-    return F.coalesce(F.get_json_object("raw", path).startswith("{"), F.lit(False))
-
-
 def raw_filter(frames: DataFrame) -> DataFrame:
     """Adds drop_reason to (raw, msg): why a frame is not taken, null if it is."""
     kind = F.col("msg.MessageType")
-    payload = reduce(lambda a, b: a | b, [(kind == k) & _is_object(f"$.Message.{k}") for k in ACCEPTED])
+    payload = reduce(lambda a, b: a | b, [(kind == k) & F.col(f"msg.Message.{k}").isNotNull() for k in ACCEPTED])
     return frames.withColumn(
         "drop_reason",
         chain(
             [
                 (F.col("msg").isNull() | kind.isNull(), F.lit("invalid")),
                 (~kind.isin(*ACCEPTED), F.lit("non_vessel_mmsi")),
-                (~(_is_object("$.Message") & payload), F.lit("invalid")),
+                (~F.coalesce(payload, F.lit(False)), F.lit("invalid")),
                 (~F.coalesce(F.col("msg.MetaData.MMSI"), F.lit("")).rlike(r"^\d{9}$"), F.lit("non_vessel_mmsi")),
             ],
             F.lit(None).cast("string"),

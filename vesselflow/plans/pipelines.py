@@ -1,4 +1,4 @@
-"""Compositions: ingest (D5), persist (E6) and enrich (M8), each one declarative plan."""
+"""Compositions: ingest (D5) and persist (E6), each one declarative plan, and enrich (M8), which writes the vessels to check once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import chain
 from ..operators import geo, quality, sanctions, state, validate
+from ..sources.readers import written
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,8 @@ def enrich(facts: DataFrame, vessels: DataFrame, entities: DataFrame, checks: Da
     """
     newest = facts.groupBy("mmsi").agg(F.max_by(F.struct("imo", "name"), "seq").alias("x")).select("mmsi", "x.*")
     jobs = sanctions.enrichment_trigger(newest, checks, now)
-    own = vessels.join(jobs.select("mmsi", "trigger", "profile_hash"), "mmsi")
+    # Matching, status and the update all read the vessels to check, so these are derived once.
+    own = written(vessels.join(jobs.select("mmsi", "trigger", "profile_hash"), "mmsi"), "due")
     judged = sanctions.status_of(own, sanctions.match_sanctions(own, entities, name_mode)).withColumn("checked_at", now)
     done = sanctions.apply_enrichment(own, judged).where("outcome = 'applied'")
     return done.join(judged.select("mmsi", "n_matches"), "mmsi").select("mmsi", "imo", "name", "trigger", "profile_hash", "status", "checked_at", "n_matches")

@@ -783,10 +783,10 @@ def m5(spark, d):
     return vessels_of(spark, d).select("mmsi", fn.profile_hash(F.col("imo"), F.col("name")).alias("profile_hash"))
 
 
-def checks_of(spark, d) -> DataFrame:
-    """What earlier runs knew: of every fourth vessel nothing, of others their hash or another."""
+def checks_of(vessels: DataFrame) -> DataFrame:
+    """What earlier runs knew of checked vessels: of every fourth nothing, of others their hash or another."""
     n = F.substring("mmsi", 2, 8).cast("long")
-    own = checked_vessels(spark, d).where(n % 4 != 0)
+    own = vessels.where(n % 4 != 0)
     return own.select("mmsi", F.when(n % 4 == 1, "0000").otherwise(fn.profile_hash(F.col("imo"), F.col("name"))).alias("profile_hash"), "checked_at")
 
 
@@ -797,8 +797,8 @@ jobs AS (SELECT mmsi, imo, name, status, checked_at, profile_hash, CASE WHEN r =
 
 @query("M6_enrichment_trigger", _TRIGGER_SQL + "SELECT mmsi, trigger, profile_hash FROM jobs WHERE trigger IS NOT NULL")
 def m6(spark, d):
-    own = checked_vessels(spark, d)
-    return sanctions.enrichment_trigger(own, checks_of(spark, d), now()).select("mmsi", "trigger", "profile_hash")
+    own = readers.written(checked_vessels(spark, d), "vessels")
+    return sanctions.enrichment_trigger(own, checks_of(own), now()).select("mmsi", "trigger", "profile_hash")
 
 
 @query("M7_apply_enrichment", _CHECKED_SQL + f"SELECT mmsi, CASE WHEN checked_at IS NULL OR checked_at < TIMESTAMP '2024-01-20' THEN 'applied' ELSE 'noop' END AS outcome, CASE WHEN checked_at IS NULL OR checked_at < TIMESTAMP '2024-01-20' THEN 'candidate' ELSE status END AS status FROM checked")
@@ -809,14 +809,15 @@ def m7(spark, d):
 
 @query("M8_enrich", _MATCH_SQL + _TRIGGER_SQL[len(LATEST_SQL + VESSELS_SQL):] + "SELECT mmsi, trigger, s.status, s.n_matches FROM jobs JOIN (SELECT mmsi, status, n_matches FROM statuses) s USING (mmsi) WHERE trigger IS NOT NULL")
 def m8(spark, d):
-    own = checked_vessels(spark, d)
+    own = readers.written(checked_vessels(spark, d), "vessels")
     facts = own.select("mmsi", "imo", "name", F.lit(1).alias("seq"))
-    return pipelines.enrich(facts, own, entities(spark, d), checks_of(spark, d), now()).select("mmsi", "trigger", "status", "n_matches")
+    return pipelines.enrich(facts, own, entities(spark, d), checks_of(own), now()).select("mmsi", "trigger", "status", "n_matches")
 
 
 @query("M9_reconcile", _TRIGGER_SQL + f", due AS (SELECT * FROM jobs WHERE {_DUE} ORDER BY checked_at NULLS FIRST, updated_at, mmsi LIMIT 500) SELECT count(*) AS scanned, count(trigger) AS enqueued, count(*) - count(trigger) AS skipped FROM due")
 def m9(spark, d):
-    return sanctions.reconcile(checked_vessels(spark, d), checks_of(spark, d), now())
+    own = readers.written(checked_vessels(spark, d), "vessels")
+    return sanctions.reconcile(own, checks_of(own), now())
 
 
 # --- fan-out and live view ---------------------------------------------------
