@@ -1,8 +1,9 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 All word 3-grams of the documents are hashed and joined to the 3-grams of the
-license templates, a fixed small table. Hits vote for (document, template,
-diagonal), the document's place less the template's. Diagonals near each other
+license templates, a fixed small table; a hash that no template has is left out
+before the join, and a hit counts only if its words are the template's. Hits vote
+for (document, template, diagonal), the document's place less the template's. Diagonals near each other
 merge, so inserted or missing words do not break a match, and a template counts
 where the merged votes of some stretch, from any diagonal's first vote over twice
 the template's length, cover enough of it. A base phrase stands where one
@@ -49,13 +50,13 @@ TEMPLATES = (
 
 
 def template_grams(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """gram, template, place, grams (of the template), n (its words), label, base."""
+    """gram, said (its words), template, place, grams (of the template), n (its words), label, base."""
     rows = []
     for i, (phrase, label) in enumerate((*base, *templates)):
         own = phrase.split()
         rows += [(i, k, len(own) - GRAM + 1, len(own), label, i < len(base), *own[k : k + GRAM]) for k in range(len(own) - GRAM + 1)]
     df = spark.createDataFrame(rows, "template int, place int, grams int, n int, label string, base boolean, a string, b string, c string")
-    return df.select(F.xxhash64("a", "b", "c").alias("gram"), "template", "place", "grams", "n", "label", "base")
+    return df.select(F.xxhash64("a", "b", "c").alias("gram"), F.array("a", "b", "c").alias("said"), "template", "place", "grams", "n", "label", "base")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -66,9 +67,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """Verified matches, some inside others: key, label, base, start, end (words), cover (share of the template)."""
     split = _keyed(docs).select("key", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
-    grams = split.where(F.size("w") >= GRAM).select("key", F.posexplode(F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> xxhash64(w[i], w[i + 1], w[i + 2]))")).alias("at", "gram"))
-    known = F.broadcast(template_grams(docs.sparkSession, base, templates))
-    votes = grams.join(known, "gram").groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "grams", "n", "label", "base").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
+    known = template_grams(docs.sparkSession, base, templates)
+    own = sorted({r.gram for r in known.select("gram").collect()})  # of the fixed templates
+    hashed = F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> struct(i as at, xxhash64(w[i], w[i + 1], w[i + 2]) as gram))")
+    hits = F.transform(F.filter(hashed, lambda x: x["gram"].isin(own)), lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.slice("w", x["at"] + 1, GRAM).alias("said")))
+    # A test of the words' number in where() would be pushed below the split and split each text again.
+    grams = split.select("key", F.inline(F.when(F.size("w") >= GRAM, hits)))
+    same = (F.col("g.gram") == F.col("t.gram")) & (F.col("g.said") == F.col("t.said"))
+    found = grams.alias("g").join(F.broadcast(known).alias("t"), same).drop(F.col("t.gram"), F.col("t.said"))
+    votes = found.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "grams", "n", "label", "base").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
     votes = written(votes, "votes")  # few rows; both kinds of match read them
     exact = votes.where(F.col("base") & (F.size("places") == F.col("grams"))).select("key", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n")).alias("end"), F.lit(1.0).alias("cover"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
