@@ -21,13 +21,16 @@ K = 20
 SCALE = 64
 QUERY_EACH = 20
 BLOCK = 8192
-GROUP = 256
+#: Queries packed together; each index block goes once to each such group.
+GROUP = 4096
+#: Queries of a group that a block scores at once.
+AT_ONCE = 256
 #: How many of a value's highest bits the levels have reached; a last level has the rest.
 LEVEL_BITS = (2, 3, 4, 5)
 #: The search stops when at most one in so many vectors is left to rescore.
 RESCORE_EACH = 8
 
-PACKED = "part long, ids binary, vectors binary, width int"
+PACKED = "part long, ids binary, vectors binary, bytes int"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,11 +50,16 @@ def _pack(whole: DataFrame, parts: int) -> DataFrame:
         for i, r in enumerate(rows):
             x[i, : len(r)] = r
         ids = table.column("vec_id").to_numpy()
-        return pa.table([pa.array([part]), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["part", "ids", "vectors", "width"])
+        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+        return pa.table([pa.array([part]), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary()), pa.array([np.dtype(kind).itemsize], pa.int32())], ["part", "ids", "vectors", "bytes"])
 
     return whole.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(run, PACKED)
 
 
+def _unpack(vectors: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(vectors, f"i{width}").reshape(n, -1).astype(np.int64)
+
+
 class Block:
     """One index block: for each impact level, from the highest, the part of every posting's value at that level.
 
@@ -114,12 +122,14 @@ def _cells(k: int):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if index != row["part"]:
                     ids = np.frombuffer(row["ids"], np.int64)
-                    index, block = row["part"], Block(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1))
-                wanted = np.frombuffer(row["q_ids"], np.int64)
-                asked = np.frombuffer(row["q_vectors"], np.int64).reshape(len(wanted), -1)
-                out = list(block.search(wanted, asked, k))
-                count = [len(ids) for ids, _ in out]
-                yield pa.record_batch([pa.array(np.repeat(wanted, count)), pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], ["query_id", "vec_id", "score"])
+                    index, block = row["part"], Block(ids, _unpack(row["vectors"], len(ids), row["bytes"]))
+                every = np.frombuffer(row["q_ids"], np.int64)
+                vectors = _unpack(row["q_vectors"], len(every), row["q_bytes"])
+                for at in range(0, len(every), AT_ONCE):
+                    wanted = every[at : at + AT_ONCE]
+                    out = list(block.search(wanted, vectors[at : at + AT_ONCE], k))
+                    count = [len(ids) for ids, _ in out]
+                    yield pa.record_batch([pa.array(np.repeat(wanted, count)), pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -136,10 +146,10 @@ def top_k(vectors: DataFrame, k: int = K, query_each: int = QUERY_EACH, block: i
     asked = whole.where(F.col("vec_id") % query_each == 0)
     blocks, groups = (max(1, -(-df.count() // size)) for df, size in ((whole, block), (asked, group)))
     index = written(_pack(whole, blocks), "index")
-    queries = written(_pack(asked, groups), "queries").select(F.col("part").alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    queries = written(_pack(asked, groups), "queries").select(F.col("part").alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("bytes").alias("q_bytes"))
     cells = index.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    spread = cells.join(queries.hint("merge"), "g").join(index.select("part", "ids", "vectors").hint("merge"), "part")
+    spread = cells.join(queries.hint("merge"), "g").join(index.select("part", "ids", "vectors", "bytes").hint("merge"), "part")
     dealt = spread.repartition(max(1, min(blocks * groups, 100_000)), "part", "g").sortWithinPartitions("part")
-    found = dealt.select("part", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    found = dealt.select("part", "ids", "vectors", "bytes", "q_ids", "q_vectors", "q_bytes").mapInArrow(_cells(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
