@@ -57,9 +57,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where words begin and end, and how many come before each row (with the total at the end)."""
-    word = ~IS_SPACE[data]
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and how many come before each row (with the total at the end); `between` marks the bytes that are in no word."""
+    word = ~between[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -100,3 +100,25 @@ def ngrams(hashes: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray,
         total += hashes[k : k + length] * _ORDER[k]
     where = np.repeat(before[:-1] - out[:-1], counts) + np.arange(out[-1])
     return mix(total[where]), out
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for `length[0]` places, then the next range."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins and ends there."""
+    length = end - start
+    out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+    to = np.cumsum(length + 1) - (length + 1)
+    out[ranges(to, length)] = data[ranges(start, length)]
+    return out.tobytes(), to, to + length
+
+
+def text_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words as a text column."""
+    length = end - start
+    own = data[ranges(start, length)]
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(own.tobytes())])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, secret_scan, substring, token_counts, topk, toxicity
+from . import collocations, licenses, mixing, neardup, packing, periodic, quality, secret_scan, simhash, substring, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32 of the doc_id ends in 0, the words from one place on repeat a stretch of them.
+
+    Each copy is cut from the words as an array, so the text is split a few times
+    and not once a word.
+    """
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"), g.alias("g"))
+    cut = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    a = F.expr("int(g % n)")
+    p = F.expr("1 + int(floor((n - a) / (3 + g % 8)))")
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, p))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("int((n - a) div p + 1)"))), F.lit(1), F.expr("n - a"))
+    text = F.when(F.col("p").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text"))
+    return placed.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    better = "x.length * y.period > y.length * x.period or (x.length * y.period = y.length * x.period and (x.start < y.start or (x.start = y.start and x.period < y.period)))"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (y, x) -> case when y is null or {better} then x else y end)")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    own = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), lines.alias("lines"), "collapsed")
+    return own.select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -81,7 +120,22 @@ each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i F
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
+COLLOCATION_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+f AS (SELECT lang, k, ws[i : i + k - 1] AS g, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k)) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k AS size, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+each AS (SELECT *, g[1 : k] AS left_g, g[k + 1 : size] AS right_g FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+cuts AS (SELECT c.lang, c.size, c.g, c.a, c.k, x.f AS l, y.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM each c JOIN f x ON x.lang = c.lang AND x.g = c.left_g JOIN f y ON y.lang = c.lang AND y.g = c.right_g),
+low AS (SELECT lang, size, g, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL),
+longer AS (SELECT lang, g, max(a) AS most FROM (SELECT lang, g[1 : 2] AS g, a FROM cand WHERE size = 3 UNION ALL SELECT lang, g[2 : 3], a FROM cand WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT low.lang, array_to_string(low.g, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN longer b ON b.lang = low.lang AND b.g = low.g WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op9_substring_dedup": REPEATS_SQL}
+    return {"op12_phrase_collocations": COLLOCATION_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op9_substring_dedup": REPEATS_SQL}
