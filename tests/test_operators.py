@@ -77,7 +77,7 @@ def test_verdict_order_and_holes(spark):
     assert {r.reason for r in geo.geo_verdict(df, polygons, None).collect()} == {"dataset_unavailable", "invalid_coordinates"}
     assert {r.reason for r in geo.geo_verdict(df.limit(8), polygons, "other").collect()} == {"not_land"}
     pieces = geo.clip_polygons(polygons.where("polygon_id in (1, 4)"), [{"west": 0.5, "south": 0.5, "east": 3.5, "north": 3.5}]).orderBy("polygon_id").collect()
-    assert [(p.polygon_id, len(p.rings)) for p in pieces] == [(1, 1), (4, 2)]
+    assert [(p.polygon_id, len(p.rings), len(p.rings[0])) for p in pieces] == [(1, 1, 5), (4, 1, 7)]  # the cut goes through the hole
     assert geo.sufficient(geo.layer_counts(polygons, "v")) and not geo.sufficient(geo.layer_counts(polygons, "w"))
 
 
@@ -85,11 +85,15 @@ def test_lines_and_manifest(spark):
     line = spark.createDataFrame([(1, 0.0005, 0.0, [(0.0, -1.0), (0.0, 1.0)], "120"), (2, 0.0005, 0.0, [(0.0, -1.0), (0.0, 1.0)], "about 9")], "id long, lon double, lat double, line array<struct<lon:double,lat:double>>, width string")
     got = geo.buffer_lines(line).withColumn("near", geo.near_line(F.col("radius_m"))).orderBy("id").collect()
     assert [(r.radius_m, r.near) for r in got] == [(60.0, True), (75.0, True)] and geo.buffer_lines(line, 30.0).where(geo.near_line(F.col("radius_m"))).count() == 1
-    good = {"name": "a", "type": "geojson", "region": "x", "sourceLayer": "l", "targetTable": "land_polygons", "geometryOperation": "clip", "path": "p"}
-    assert geo.check_manifest({"sources": [good]}) == [good]
-    for bad in ({**good, "name": ""}, {**good, "targetTable": "x"}, {**good, "path": None}, {**good, "geometryOperation": "buffer_line"}):
+    good = {"name": "a", "type": "land", "region": "x", "targetTable": "geo_land_polygons", "path": "p"}
+    for s in (good, {**good, "geometryOperation": "polygon"}, {**good, "geometryOperation": "line_buffer", "defaultLineBufferMeters": 150}, {**good, "path": None, "url": "u"}):
+        assert geo.check_manifest({"metadataVersion": "m", "sources": [s]}) == [s]
+    for bad in ({**good, "name": ""}, {**good, "targetTable": "x"}, {**good, "path": None}, {**good, "geometryOperation": "clip"}, {**good, "defaultLineBufferMeters": 0}, {**good, "region": None}):
         with pytest.raises(ValueError):
-            geo.check_manifest({"sources": [bad]})
+            geo.check_manifest({"metadataVersion": "m", "sources": [bad]})
+    for bad in ({"sources": [good]}, {"metadataVersion": "m"}, {"metadataVersion": "m", "sources": []}):
+        with pytest.raises(ValueError):
+            geo.check_manifest(bad)
 
 
 def test_names_and_statuses(spark):
@@ -145,8 +149,10 @@ def test_lines_of_a_file_become_polygons(spark, tmp_path):
     (tmp_path / "land.geojson").write_text(collection(feature("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]])))
     (tmp_path / "water.geojson").write_text(collection(feature("LineString", [[0.2, 0.2], [0.2, 0.8]], width=" 2000 "), feature("MultiLineString", [[[0.4, 0.4], [0.6, 0.4], [0.6, 0.6]], [[0.9, 0.9], [0.9, 0.8]]], width="wide")))
     assert readers.read_geojson(spark, str(tmp_path / "water.geojson"), "x").where("size(line) > 1").count() == 3
-    source = lambda name, table, how, **x: {"name": name, "type": "geojson", "region": "r", "sourceLayer": name, "targetTable": table, "geometryOperation": how, "path": str(tmp_path / f"{name}.geojson"), **x}
-    version, polygons = load_geo_dataset(spark, {"sources": [source("land", "land_polygons", "clip"), source("water", "navigable_water_polygons", "buffer_line", defaultLineBufferMeters=300.0)]}, "20240101000000")
+    source = lambda name, table, **x: {"name": name, "type": name, "region": "r", "targetTable": table, "path": str(tmp_path / f"{name}.geojson"), "license": "l", "attribution": "a", **x}
+    manifest = {"metadataVersion": "m", "description": "d", "sources": [source("land", "geo_land_polygons", sourceLayer="s"), source("water", "geo_navigable_water_polygons", geometryOperation="line_buffer", defaultLineBufferMeters=300)]}
+    version, polygons = load_geo_dataset(spark, manifest, "20240101000000")
+    assert version.startswith("m-20240101000000-") and {(r.source_layer, r.region) for r in polygons.collect()} == {("s", "r"), ("water", "r")}
     assert {r["layer"]: r["count"] for r in polygons.groupBy("layer").count().collect()} == {"land": 1, "navigable_water": 4}
     meters = lambda m: m / 111_320
     points = [(0.2 + meters(990), 0.5), (0.2 + meters(1020), 0.5), (0.2, 0.8 + meters(980)), (0.5, 0.4 - meters(290)), (0.5, 0.4 - meters(310)), (0.6 + meters(200), 0.4 - meters(200)), (0.6 + meters(230), 0.4 - meters(230)), (0.9, 0.85)]

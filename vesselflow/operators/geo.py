@@ -1,20 +1,24 @@
-"""Land and water verdicts (G1-G13): polygons meet points through grid cells.
+"""Land and water verdicts (G1-G13): polygons are cut into grid tiles, and points meet the tiles of their cell.
 
-A polygon is listed under every grid cell that its box, widened by the
-tolerance, touches; a point has one cell. The equi-join on cells replaces a
-spatial index, and only then are rings tested. Polygons are pre-cut by cell
-counts, never broadcast unchecked: Spark's size limit decides.
+A tile holds the polygon's rings cut to its cell, nothing at all where the polygon
+covers the cell, and the edges that may be within the tolerance of its points. All
+tiles of a cell make one row of the index, so a point meets one row at most: the
+verdict is one join and a chain of tests, in batch and in streams alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import chain
+from . import polygons as cut
 
 CELL = 0.5
 TOLERANCE_M = 500.0
@@ -23,18 +27,24 @@ LAYERS = ("manual_allow", "navigable_water", "land")
 # WGS84 ellipsoid.
 SEMI_MAJOR_M, ECCENTRICITY_2 = 6378137.0, 0.00669437999014
 
-_EDGES = "transform(sequence(1, size(r) - 1), i -> named_struct('a', r[i - 1], 'b', r[i]))"
+RINGS = "array<array<struct<lon:double,lat:double>>>"
 
 
-def _expr(template: str, rings: str, lon: str, lat: str) -> Column:
-    return F.expr(template.replace("$edges", f"flatten(transform({rings}, r -> {_EDGES}))").replace("$x", lon).replace("$y", lat))
+def _edges(rings: str) -> str:
+    return f"flatten(transform({rings}, r -> transform(sequence(1, size(r) - 1), i -> named_struct('a', r[i - 1], 'b', r[i]))))"
+
+
+def _on_edge(edges: str, x: str, y: str) -> str:
+    return f"exists({edges}, e -> (e.b.lon - e.a.lon) * ({y} - e.a.lat) = (e.b.lat - e.a.lat) * ({x} - e.a.lon) and {x} between least(e.a.lon, e.b.lon) and greatest(e.a.lon, e.b.lon) and {y} between least(e.a.lat, e.b.lat) and greatest(e.a.lat, e.b.lat))"
+
+
+def _crossed(edges: str, x: str, y: str) -> str:
+    return f"size(filter({edges}, e -> (e.a.lat > {y}) != (e.b.lat > {y}) and {x} < (e.b.lon - e.a.lon) * ({y} - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon)) % 2 = 1"
 
 
 def covers(rings: str = "rings", lon: str = "lon", lat: str = "lat") -> Column:
     """The point lies in the polygon, holes left out, or on its boundary. Names are columns."""
-    on_edge = "exists($edges, e -> (e.b.lon - e.a.lon) * ($y - e.a.lat) = (e.b.lat - e.a.lat) * ($x - e.a.lon) and $x between least(e.a.lon, e.b.lon) and greatest(e.a.lon, e.b.lon) and $y between least(e.a.lat, e.b.lat) and greatest(e.a.lat, e.b.lat))"
-    crossed = "size(filter($edges, e -> (e.a.lat > $y) != (e.b.lat > $y) and $x < (e.b.lon - e.a.lon) * ($y - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon)) % 2 = 1"
-    return _expr(f"({on_edge}) or ({crossed})", rings, lon, lat)
+    return F.expr(f"({_on_edge(_edges(rings), lon, lat)}) or ({_crossed(_edges(rings), lon, lat)})")
 
 
 def _meters(lat: str) -> tuple[str, str]:
@@ -45,14 +55,16 @@ def _meters(lat: str) -> tuple[str, str]:
     return east, north
 
 
+def _distance(edges: str, x: str, y: str) -> str:
+    east, north = _meters(y)
+    local = f"transform({edges}, e -> named_struct('ax', (e.a.lon - {x}) * {east}, 'ay', (e.a.lat - {y}) * {north}, 'dx', (e.b.lon - e.a.lon) * {east}, 'dy', (e.b.lat - e.a.lat) * {north}))"
+    along = "if(s.dx = 0 and s.dy = 0, 0D, greatest(0D, least(1D, -(s.ax * s.dx + s.ay * s.dy) / (s.dx * s.dx + s.dy * s.dy))))"
+    return f"array_min(transform(transform({local}, s -> named_struct('s', s, 't', {along})), p -> sqrt(pow(p.s.ax + p.t * p.s.dx, 2) + pow(p.s.ay + p.t * p.s.dy, 2))))"
+
+
 def boundary_distance(rings: str = "rings", lon: str = "lon", lat: str = "lat") -> Column:
     """Metres from the point to the nearest edge, on the plane that touches at the point."""
-    east, north = _meters("$y")
-    local = (
-        "transform($edges, e -> named_struct('ax', (e.a.lon - $x) * EAST, 'ay', (e.a.lat - $y) * NORTH, 'dx', (e.b.lon - e.a.lon) * EAST, 'dy', (e.b.lat - e.a.lat) * NORTH))"
-    ).replace("EAST", east).replace("NORTH", north)
-    along = "if(s.dx = 0 and s.dy = 0, 0D, greatest(0D, least(1D, -(s.ax * s.dx + s.ay * s.dy) / (s.dx * s.dx + s.dy * s.dy))))"
-    return _expr(f"array_min(transform(transform({local}, s -> named_struct('s', s, 't', {along})), p -> sqrt(pow(p.s.ax + p.t * p.s.dx, 2) + pow(p.s.ay + p.t * p.s.dy, 2))))", rings, lon, lat)
+    return F.expr(_distance(_edges(rings), lon, lat))
 
 
 def boxed(polygons: DataFrame) -> DataFrame:
@@ -74,37 +86,64 @@ def _cell(x: Column) -> Column:
     return F.floor(x / CELL).cast("int")
 
 
-def cells(polygons: DataFrame, margin: float) -> DataFrame:
-    """A row for each grid cell that a polygon's widened box touches."""
-    span = lambda a, b: F.sequence(_cell(F.col(a) - margin), _cell(F.col(b) + margin))
-    return boxed(polygons).withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
+_TILE = "cx int, cy int, layer string, whole boolean, rings " + RINGS + ", edges array<struct<a:struct<lon:double,lat:double>,b:struct<lon:double,lat:double>>>, west double, south double, east double, north double"
+
+
+def _tiles(tolerance_m: float, size: float):
+    def run(batches):
+        for batch in batches:
+            layers = batch.column("layer").to_pylist()
+            for layer, rings in zip(layers, cut.read_rings(batch.column("rings"))):
+                if not any(map(len, rings)):
+                    continue
+                west, south, east, north = cut.box_of([r for r in rings if len(r)])
+                dy = 1.01 * tolerance_m / METERS_A_DEGREE
+                dx = dy / max(math.cos(math.radians(min(90.0, max(abs(south), abs(north)) + dy))), 0.01)
+                own = list(cut.tiles(rings, size, dx, dy))
+                if own:
+                    n = len(own)
+                    yield pa.record_batch(
+                        [
+                            pa.array([t[0] for t in own], pa.int32()), pa.array([t[1] for t in own], pa.int32()), pa.array([layer] * n, pa.string()), pa.array([t[2] == [] for t in own]),
+                            cut.write_rings([t[2] or [] for t in own]), cut.write_edges([t[3] for t in own]), *[pa.array([float(v)] * n) for v in (west, south, east, north)],
+                        ],
+                        ["cx", "cy", "layer", "whole", "rings", "edges", "west", "south", "east", "north"],
+                    )
 
+    return run
 
-def geo_verdict(points: DataFrame, polygons: DataFrame, version: str | None, tolerance_m: float = TOLERANCE_M, wide: bool = False) -> DataFrame:
-    """Adds verdict, reason and version_id to points (seq, lon, lat, ...).
+
+def geo_index(polygons: DataFrame, version: str, tolerance_m: float = TOLERANCE_M, size: float = CELL) -> DataFrame:
+    """The tiles of a dataset version by grid cell: cx, cy and tiles. Polygons without a usable ring have none."""
+    own = polygons.where(F.col("version_id") == version).select("layer", F.col("rings").cast(RINGS).alias("rings")).where("rings is not null")
+    each = own.mapInArrow(_tiles(tolerance_m, size), _TILE)
+    return each.groupBy("cx", "cy").agg(F.collect_list(F.struct("layer", "whole", "rings", "edges", "west", "south", "east", "north")).alias("tiles"))
+
+
+def geo_verdict(points: DataFrame, polygons: DataFrame | None, version: str | None, tolerance_m: float = TOLERANCE_M, wide: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """Adds verdict, reason and version_id to points (lon, lat, ...), which may be a stream.
 
     In order: bad coordinates, no active dataset, manual areas, water, the
-    shore's tolerance on both sides, land; anything else is allowed.
+    shore's tolerance on both sides, land; anything else is allowed. `index` is
+    the version's geo_index, of the same tolerance, if there is one already.
     """
     bad = F.col("lon").isNull() | F.col("lat").isNull() | ~F.col("lon").between(-180, 180) | ~F.col("lat").between(-90, 90)
     if version is None:
         return points.withColumn("verdict", F.when(bad, "reject").otherwise("allow")).withColumn("reason", F.when(bad, "invalid_coordinates").otherwise("dataset_unavailable")).withColumn("version_id", F.lit(None).cast("string"))
-    margin = 4 * tolerance_m / METERS_A_DEGREE
-    listed = cells(polygons.where(F.col("version_id") == version), margin).select("layer", "rings", "west", "south", "east", "north", "cx", "cy")
-    placed = points.where(~bad).select("seq", "lon", "lat", _cell(F.col("lon")).alias("cx"), _cell(F.col("lat")).alias("cy"))
-    hits = placed.join(listed, ["cx", "cy"]).withColumn("inside", covers()).withColumn("near", (F.col("layer") == "land") & within_distance(tolerance_m, wide))
-    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    flags = hits.groupBy("seq").agg(
-        has((F.col("layer") == "manual_allow") & F.col("inside")).alias("f_manual"), has((F.col("layer") == "navigable_water") & F.col("inside")).alias("f_water"), has(F.col("near")).alias("f_near"), has((F.col("layer") == "land") & F.col("inside")).alias("f_land")
-    )
-    found = points.join(flags, "seq", "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    listed = geo_index(polygons, version, tolerance_m) if index is None else index
+    cell = listed.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("tiles").alias("_tiles")).hint("merge")
+    found = points.join(cell, (_cell(F.col("lon")) == F.col("_cx")) & (_cell(F.col("lat")) == F.col("_cy")), "left")
+    inside = f"(t.whole or {_on_edge('t.edges', 'lon', 'lat')} or {_crossed(_edges('t.rings'), 'lon', 'lat')})"
+    d = tolerance_m / METERS_A_DEGREE
+    dx = f"{d!r} / greatest(cos(radians(lat)), 0.01)" if wide else repr(d)
+    near = f"size(t.edges) > 0 and lon between t.west - {dx} and t.east + {dx} and lat between t.south - {d!r} and t.north + {d!r} and {_distance('t.edges', 'lon', 'lat')} <= {tolerance_m!r}"
+    has = lambda layer, test: F.coalesce(F.expr(f"exists(_tiles, t -> t.layer = '{layer}' and {test})"), F.lit(False))
     reason = chain(
-        [(bad, F.lit("invalid_coordinates")), (flag("f_manual"), F.lit("manual_allow")), (flag("f_water"), F.lit("navigable_water")), (flag("f_near"), F.lit("coastal_tolerance")), (flag("f_land"), F.lit("deep_land"))],
+        [(bad, F.lit("invalid_coordinates")), (has("manual_allow", inside), F.lit("manual_allow")), (has("navigable_water", inside), F.lit("navigable_water")), (has("land", near), F.lit("coastal_tolerance")), (has("land", inside), F.lit("deep_land"))],
         F.lit("not_land"),
     )
     verdict = F.when(F.col("reason").isin("invalid_coordinates", "deep_land"), "reject").when(F.col("reason") == "coastal_tolerance", "uncertain").otherwise("allow")
-    return found.withColumn("reason", reason).withColumn("verdict", verdict).withColumn("version_id", F.when(~bad, F.lit(version))).drop("f_manual", "f_water", "f_near", "f_land")
+    return found.withColumn("reason", reason).withColumn("verdict", verdict).withColumn("version_id", F.when(~bad, F.lit(version))).drop("_cx", "_cy", "_tiles")
 
 
 def geo_result(verdicts: DataFrame, fail_open: bool = True, enabled: bool = True, available: bool = True) -> DataFrame:
@@ -116,53 +155,37 @@ def geo_result(verdicts: DataFrame, fail_open: bool = True, enabled: bool = True
     return verdicts.withColumn("should_drop", F.col("reason") == "deep_land")
 
 
-def _clip(points: list[tuple[float, float]], box: dict) -> list[tuple[float, float]]:
-    """A ring cut to a rectangle, one side after the other."""
-    for axis, bound, sign in ((0, box["west"], 1), (0, box["east"], -1), (1, box["south"], 1), (1, box["north"], -1)):
-        out = []
-        for a, b in zip(points, points[1:] + points[:1]):
-            ia, ib = sign * (a[axis] - bound) >= 0, sign * (b[axis] - bound) >= 0
-            if ia != ib:
-                t = (bound - a[axis]) / (b[axis] - a[axis])
-                cut = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
-                cut = (bound, cut[1]) if axis == 0 else (cut[0], bound)
-                out += [cut, b] if ib else [cut]
-            elif ib:
-                out.append(b)
-        points = out
-        if not points:
-            break
-    return points
-
-
-def clip_polygons(features: DataFrame, boxes: list[dict], tile: float = 4.0) -> DataFrame:
-    """The features' parts inside the coverage boxes, tiled so that no piece spans more than `tile` degrees.
-
-    Pieces without area go. Each piece keeps its features' other columns and
-    gets piece_id. Rings of holes are cut alike.
+#: Corners of a clipped piece at the most.
+CORNERS = 256
+
+
+def clip_polygons(features: DataFrame, boxes: list[dict], corners: int = CORNERS) -> DataFrame:
+    """The features' parts inside the union of the coverage boxes, valid and of at most `corners` corners each.
+
+    A row is one part: an anticlockwise outer ring and the clockwise rings of its
+    holes, with the feature's other columns and piece, its number in the feature.
+    Boxes that overlap count once. Rings that cross themselves or each other are
+    mended: a place is inside if it is inside an odd number of rings. Rings
+    without area or with coordinates that are no numbers go, and so do features
+    of which nothing is left. A feature is cut in one task, whole rings never move.
     """
-    ring = "array<array<struct<lon:double,lat:double>>>"
-    tiles = F.array(*[F.struct(*[F.lit(float(b[k])).alias(k) for k in ("west", "south", "east", "north")]) for b in boxes])
-    steps = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile))
-    cut = boxed(features).withColumn("b", F.explode(tiles)).withColumns({"w": F.greatest("west", "b.west"), "e": F.least("east", "b.east"), "s": F.greatest("south", "b.south"), "n": F.least("north", "b.north")}).where("w < e and s < n")
-    cut = cut.withColumn("tx", F.explode(steps("w", "e"))).withColumn("ty", F.explode(steps("s", "n")))
-    cut = cut.withColumns({"w": F.greatest(F.col("w"), F.col("tx") * tile), "e": F.least(F.col("e"), (F.col("tx") + 1) * tile), "s": F.greatest(F.col("s"), F.col("ty") * tile), "n": F.least(F.col("n"), (F.col("ty") + 1) * tile)}).where("w < e and s < n")
-
-    @F.udf(ring)
-    def piece(rings, w, s, e, n):
-        box = {"west": w, "south": s, "east": e, "north": n}
-        out = []
-        for r in rings:
-            own = _clip([(p.lon, p.lat) for p in r[:-1]], box)
-            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(own, own[1:] + own[:1]))
-            if abs(area) > 1e-12:
-                out.append([(x, y) for x, y in own + own[:1]])
-            elif not out:
-                return None
-        return out
-
-    keep = [c for c in features.columns if c != "rings"]
-    return cut.withColumn("rings", piece("rings", "w", "s", "e", "n")).where("rings is not null").select(*keep, "rings", F.xxhash64(F.to_json(F.struct("rings"))).alias("piece_id"))
+    area = cut.disjoint([{k: float(b[k]) for k in ("west", "south", "east", "north")} for b in boxes])
+    keep = [c for c in features.columns if c not in ("rings", "piece")]
+    own = features.where("rings is not null").select(*keep, F.col("rings").cast(RINGS).alias("rings"))
+    schema = T.StructType([*own.schema.fields, T.StructField("piece", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            at, number, out = [], [], []
+            for i, rings in enumerate(cut.read_rings(batch.column("rings"))):
+                for k, piece in enumerate(cut.pieces(rings, area, corners)):
+                    at.append(i)
+                    number.append(k)
+                    out.append(piece)
+            rows = batch.select(keep).take(pa.array(at, pa.int64()))
+            yield pa.record_batch([*rows.columns, cut.write_rings(out), pa.array(number, pa.int32())], [*keep, "rings", "piece"])
+
+    return own.mapInArrow(run, schema)
 
 
 def buffer_lines(features: DataFrame, default_m: float = 75.0) -> DataFrame:
@@ -211,32 +234,38 @@ def coverage_area(zones, margin_km: float = 50.0) -> list[dict]:
     return out
 
 
-REQUIRED = ("name", "type", "region", "sourceLayer", "targetTable", "geometryOperation")
-TARGETS = ("land_polygons", "navigable_water_polygons", "manual_override_polygons")
-OPERATIONS = ("clip", "buffer_line")
+# The manifest's tables, with their layers here, and its operations.
+TARGETS = {"geo_land_polygons": "land", "geo_navigable_water_polygons": "navigable_water", "geo_manual_overrides": "manual_allow"}
+OPERATIONS = ("polygon", "line_buffer")
+DEFAULT_BUFFER_M = 75.0
 
 
 def check_manifest(manifest: dict) -> list[dict]:
-    """The manifest's sources, each complete and with known targets and operations."""
-    sources = manifest.get("sources") or []
-    if not sources:
+    """The sources of a manifest, each with a known target; operation, layer name and buffer may be left out."""
+    if not manifest.get("metadataVersion"):
+        raise ValueError("the manifest has no metadataVersion")
+    sources = manifest.get("sources")
+    if not isinstance(sources, list) or not sources:
         raise ValueError("the manifest has no sources")
     for s in sources:
-        missing = [k for k in REQUIRED if not s.get(k)]
+        missing = [k for k in ("name", "type", "region", "targetTable") if not s.get(k)]
         if missing:
             raise ValueError(f"source {s.get('name')!r} lacks {', '.join(missing)}")
-        if s["targetTable"] not in TARGETS or s["geometryOperation"] not in OPERATIONS:
-            raise ValueError(f"source {s['name']!r} has an unknown target or operation")
+        if s["targetTable"] not in TARGETS:
+            raise ValueError(f"source {s['name']!r} has an unknown target table")
+        if s.get("geometryOperation") and s["geometryOperation"] not in OPERATIONS:
+            raise ValueError(f"source {s['name']!r} has an unknown operation")
         if not (s.get("path") or s.get("url")):
             raise ValueError(f"source {s['name']!r} has neither path nor url")
-        if s["geometryOperation"] == "buffer_line" and not float(s.get("defaultLineBufferMeters") or 0) > 0:
-            raise ValueError(f"source {s['name']!r} needs a positive defaultLineBufferMeters")
+        width = s.get("defaultLineBufferMeters")
+        if width is not None and not (isinstance(width, (int, float)) and math.isfinite(width) and width > 0):
+            raise ValueError(f"source {s['name']!r} has a defaultLineBufferMeters that is not positive")
     return sources
 
 
-def version_id(meta: str, stamp: str, sources: list[dict]) -> str:
-    """<meta>-<yyyymmddhhmmss>-<12 hex of the sources>."""
-    return f"{meta}-{stamp}-{hashlib.sha256(repr(sorted(map(str, sources))).encode()).hexdigest()[:12]}"
+def version_id(manifest: dict, stamp: str) -> str:
+    """<metadataVersion>-<yyyymmddhhmmss>-<12 hex of the manifest and the time>, so that reruns agree."""
+    return f"{manifest['metadataVersion']}-{stamp}-{hashlib.sha256((json.dumps(manifest, sort_keys=True) + stamp).encode()).hexdigest()[:12]}"
 
 
 def layer_counts(polygons: DataFrame, version: str) -> DataFrame:

@@ -25,11 +25,15 @@ def area(ring: np.ndarray) -> float:
 
 
 def clean(ring: np.ndarray) -> np.ndarray | None:
-    """The ring without repeated corners or closing point, or none if it has no area or is not finite."""
+    """The ring without repeated corners or closing point; none if it lies on a line or is not finite."""
     if len(ring) < 3 or not np.isfinite(ring).all():
         return None
     ring = ring[(ring != np.roll(ring, 1, axis=0)).any(axis=1)]
-    return ring if len(ring) >= 3 and (abs(area(ring)) > NO_AREA or crosses([ring])) else None
+    if len(ring) < 3:
+        return None
+    out = ring - ring[0]
+    far = out[(out**2).sum(axis=1).argmax()]
+    return ring if np.abs(out[:, 0] * far[1] - out[:, 1] * far[0]).max() > NO_AREA else None
 
 
 def _edges(rings: Rings) -> tuple[np.ndarray, np.ndarray]:
@@ -131,20 +135,16 @@ def _holds(ring: np.ndarray, x: float, y: float) -> bool:
     return bool((((a[:, 1] > y) != (b[:, 1] > y)) & (x < at)).sum() % 2)
 
 
-def _inner(ring: np.ndarray) -> tuple[float, float]:
-    """A place inside the ring: on the parallel halfway between two heights of its corners, between the first two crossings."""
-    heights = np.unique(ring[:, 1])
-    k = len(heights) // 2
-    y = (heights[k - 1] + heights[k]) / 2
+def _border(ring: np.ndarray) -> tuple[float, float]:
+    """The middle of the ring's longest edge: rings that do not cross may touch there at most by chance."""
     a, b = ring, np.roll(ring, -1, axis=0)
-    cut = (a[:, 1] > y) != (b[:, 1] > y)
-    x = np.sort(a[cut, 0] + (y - a[cut, 1]) / (b[cut, 1] - a[cut, 1]) * (b[cut, 0] - a[cut, 0]))
-    return float((x[0] + x[1]) / 2), float(y)
+    k = int(((b - a) ** 2).sum(axis=1).argmax())
+    return tuple(((a[k] + b[k]) / 2).tolist())
 
 
 def parts(rings: Rings) -> list[Rings]:
     """The polygon's parts, each an anticlockwise outer ring and the clockwise rings of its holes."""
-    places = [_inner(r) for r in rings]
+    places = [_border(r) for r in rings]
     holders = [[j for j, o in enumerate(rings) if j != i and _holds(o, *places[i])] for i in range(len(rings))]
     turned = lambda r, way: r if (area(r) > 0) == way else r[::-1]
     outer = [i for i in range(len(rings)) if len(holders[i]) % 2 == 0]

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import written
+
 
 def keyed_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start, step, column: str) -> DataFrame:
     """Adds a boolean `column`: `step(state, *inputs)` returns (state, flag) for a key's rows in order; `start()` makes a key's state."""
@@ -98,9 +100,9 @@ def geo_bucket_reuse(points: DataFrame, verdicts, precision: int = 4) -> DataFra
     `verdicts` maps points to points with verdict and reason. Results without a
     dataset version are not reused: such points are judged by themselves.
     """
-    bucketed = geo_buckets(points, precision)
+    bucketed = written(geo_buckets(points, precision), "buckets")
     first = bucketed.groupBy("bucket").agg(F.min_by(F.struct("seq", "lon", "lat"), "seq").alias("x")).select("bucket", "x.*")
-    judged = verdicts(first).where("version_id is not null").select("bucket", "verdict", "reason", F.col("seq").alias("judged_seq"))
-    joined = bucketed.join(judged, "bucket", "left")
-    alone = verdicts(joined.where("verdict is null").drop("verdict", "reason", "judged_seq")).drop("version_id").withColumn("judged_seq", F.col("seq"))
-    return joined.where("verdict is not null").unionByName(alone.select(joined.columns))
+    judged = written(verdicts(first).where("version_id is not null").select("bucket", "verdict", "reason", F.col("seq").alias("judged_seq")), "judged")
+    shared = bucketed.join(judged.hint("merge"), "bucket")
+    alone = verdicts(bucketed.join(judged.hint("merge"), "bucket", "left_anti")).withColumn("judged_seq", F.col("seq"))
+    return shared.unionByName(alone.select(shared.columns))

@@ -77,7 +77,7 @@ def candidates_by_name(vessels: DataFrame, entities: DataFrame, mode: str = "raw
     own = vessels.select("mmsi", F.col("name").alias("k")).where(normalize_name(F.col("k")) != "")
     if mode == "normalized":
         names, own = names.withColumn("k", normalize_name(F.col("k"))), own.withColumn("k", normalize_name(F.col("k")))
-    return own.join(names, "k").select("mmsi", "entity_id", "source", "source_entity_id", "entity_name", F.lit("name").alias("method")).distinct()
+    return own.join(names.hint("merge"), "k").select("mmsi", "entity_id", "source", "source_entity_id", "entity_name", F.lit("name").alias("method")).distinct()
 
 
 def match_sanctions(vessels: DataFrame, entities: DataFrame, name_mode: str = "raw") -> DataFrame:
@@ -86,13 +86,15 @@ def match_sanctions(vessels: DataFrame, entities: DataFrame, name_mode: str = "r
     An entity counts once, with its first method. Positions order a vessel's
     matches by method, then (source, source_entity_id, entity_id).
     """
-    key = normalize_name if name_mode == "normalized" else lambda c: c
     tagged = lambda rank, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"))
-    usable = F.when(normalize_name(F.col("name")) != "", key(F.col("name")))
-    own = vessels.select("mmsi", F.inline(F.array(tagged(0, F.col("imo")), tagged(1, F.col("mmsi")), tagged(2, usable)))).where("k is not null")
+    ids = [tagged(0, F.col("imo")), tagged(1, F.col("mmsi"))]
+    plain = normalize_name(F.when(F.col("rank") == 2, F.col("k")))  # of whole columns: names are listed first
+    keyed = lambda df: df.withColumn("k", F.when((F.col("rank") == 2), plain).otherwise(F.col("k"))) if name_mode == "normalized" else df
+    own = vessels.select("mmsi", F.inline(F.array(*ids, tagged(2, F.col("name"))))).where("k is not null")
+    own = keyed(own.where((F.col("rank") < 2) | (plain != "")))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    keys = F.concat(F.array(tagged(0, F.col("imo")), tagged(1, F.col("mmsi"))), F.transform(names, lambda x: tagged(2, key(x))))
-    listed = entities.select("entity_id", "source", "source_entity_id", F.col("name").alias("entity_name"), F.inline(keys)).where("k is not null")
+    keys = F.concat(F.array(*ids), F.transform(names, lambda x: tagged(2, x)))
+    listed = keyed(entities.select("entity_id", "source", "source_entity_id", F.col("name").alias("entity_name"), F.inline(keys)).where("k is not null"))
     found = own.join(listed.hint("merge"), ["rank", "k"]).withColumn("method", F.element_at(F.array(*map(F.lit, METHODS)), F.col("rank") + 1))
     once = found.groupBy("mmsi", "entity_id", "source", "source_entity_id", "entity_name").agg(F.min("rank").alias("rank"), F.min_by("method", "rank").alias("method"))
     order = Window.partitionBy("mmsi").orderBy("rank", "source", "source_entity_id", "entity_id")
