@@ -74,6 +74,12 @@ def boxed(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"west": of(F.array_min, "lon"), "east": of(F.array_max, "lon"), "south": of(F.array_min, "lat"), "north": of(F.array_max, "lat")})
 
 
+def ring_box() -> Column:
+    """The box of the column `rings` as a struct west, south, east, north."""
+    of = lambda f, c: f(F.transform(F.flatten("rings"), lambda p: p[c]))
+    return F.struct(of(F.array_min, "lon").alias("west"), of(F.array_min, "lat").alias("south"), of(F.array_max, "lon").alias("east"), of(F.array_max, "lat").alias("north"))
+
+
 def within_distance(meters: float, wide: bool = False) -> Column:
     """Boundary within `meters`, after the degree-box test; `wide` widens it by latitude as longitude degrees shrink."""
     d = meters / METERS_A_DEGREE

@@ -82,7 +82,7 @@ def partition_plan(existing: DataFrame, now: date, retention_days: int = 7, safe
     low, high = now - timedelta(days=retention_days + safety_days), now + timedelta(days=precreate_days)
     spark = existing.sparkSession
     wanted = spark.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("day")).select(partition_name(F.col("day"), table).alias("name"))
-    create = wanted.join(existing, "name", "left_anti").withColumn("action", F.lit("create"))
+    create = wanted.join(existing.hint("merge"), "name", "left_anti").withColumn("action", F.lit("create"))
     day = F.to_date(F.concat_ws("-", *[F.regexp_extract("name", PARTITION.pattern, k) for k in (1, 2, 3)]))
     drop = existing.where(F.col("name").rlike(PARTITION.pattern)).where(day < F.lit(low)).select("name", F.lit("drop").alias("action"))
     return create.unionByName(drop)

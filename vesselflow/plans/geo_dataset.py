@@ -19,7 +19,8 @@ def load_geo_dataset(spark: SparkSession, manifest: dict, stamp: str, override_d
 
     Lines of a line_buffer source become the polygons around them, of half their
     width or else the source's default radius; other sources give their polygons.
-    A source's layer name is its sourceLayer or else its type. Sources are read
+    A source's layer name is its sourceLayer or else its type. One whose layout is
+    "lines" has a feature to a line and is read by many tasks. Sources are read
     by path: one that has only a url is to be fetched first. A source whose
     checksum differs is an error, and so is a version without land or water:
     whatever was active stays.
@@ -32,7 +33,7 @@ def load_geo_dataset(spark: SparkSession, manifest: dict, stamp: str, override_d
             raise ValueError(f"source {s['name']!r} has only a url: fetch it and give its path")
         if s.get("checksumSha256") and checksum(spark, s["path"]) != s["checksumSha256"]:
             raise ValueError(f"source {s['name']!r} has another checksum")
-        rows = read_geojson(spark, s["path"], geo.TARGETS[s["targetTable"]], s["name"]).withColumn("fclass", F.col("properties")["fclass"])
+        rows = read_geojson(spark, s["path"], geo.TARGETS[s["targetTable"]], s["name"], s.get("layout") == "lines").withColumn("fclass", F.col("properties")["fclass"])
         rows = geo.fclass_filter(rows, s.get("includeFclasses"))
         if s.get("geometryOperation") == "line_buffer":
             wide = geo.buffer_lines(rows.where("line is not null").drop("rings").withColumn("width", F.col("properties")["width"]), float(s.get("defaultLineBufferMeters") or geo.DEFAULT_BUFFER_M))

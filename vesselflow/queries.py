@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as fn
 from .operators import fanout, geo, normalize, quality, quarantine, rollups, sanctions, state, validate, views
+from .operators.polygons import disjoint
 from .plans import pipelines
 from .plans.geo_dataset import load_geo_dataset
 from .plans.registry import Registry
 from .sources import readers
-from .sources.feed import BOXES_SQL, ENTITIES_SQL, FEED_SQL, FRAMES_SQL, entities, feed, now, polygons, positions, raw_frames, statics, table
+from .sources.feed import AREAS_SQL, BOXES_SQL, ENTITIES_SQL, FEED_SQL, FRAMES_SQL, areas, entities, feed, lines, now, polygons, positions, raw_frames, statics, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -125,48 +126,95 @@ def s2(spark, d):
     return readers.read_sdn_xml(spark, sdn_file(spark, d)).select("uid", F.col("lastName").alias("name"), F.size("programList.program").alias("programs"), F.size("idList.id").alias("ids"), F.size("akaList.aka").alias("akas"))
 
 
-@query("S3_read_geojson", "WITH " + BOXES_SQL + "SELECT CAST(polygon_id AS VARCHAR) AS id, layer AS fclass, w AS lon0, n AS lat2 FROM boxes", False)
-def s3(spark, d):
-    rows = polygons(spark, d).select(F.col("polygon_id"), "rings", "layer")
-    ring = F.transform(F.element_at("rings", 1), lambda p: F.array(p["lon"], p["lat"]))
-    poly = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.create_map(F.lit("id"), F.col("polygon_id").cast("string"), F.lit("fclass"), F.col("layer")).alias("properties"))
-    bare = F.struct(F.lit("Feature").alias("type"), F.lit(None).cast(poly_geometry()).alias("geometry"), F.create_map(F.lit("id"), F.lit("none"), F.lit("fclass"), F.lit("none")).alias("properties"))
-    path = readers.to_text_file(rows.groupBy((F.col("polygon_id") % 4).alias("f")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.concat(F.collect_list(poly), F.array(bare)).alias("features"))).alias("value")).select("value").repartition(4, "value"), "geojson")
-    got = readers.read_geojson(spark, path, "land")
-    return got.select(F.col("properties")["id"].alias("id"), F.col("properties")["fclass"].alias("fclass"), F.col("rings")[0][0]["lon"].alias("lon0"), F.col("rings")[0][2]["lat"].alias("lat2"))
+def _feature(kind: str, coordinates: F.Column, **properties: F.Column) -> F.Column:
+    """A GeoJSON Feature."""
+    named = F.map_filter(F.create_map(*[x for k, v in properties.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), named.alias("properties"))
 
 
-def poly_geometry() -> str:
-    return "struct<type:string,coordinates:array<array<array<double>>>>"
+def _polygon_feature() -> F.Column:
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
+    return _feature("Polygon", rings, id=F.col("polygon_id").cast("string"), fclass=F.col("layer"))
 
 
-def geojson_folder(spark, d, layer: str) -> str:
-    """A layer's polygons as GeoJSON files in a new folder."""
-    ring = F.transform(F.element_at("rings", 1), lambda p: F.array(p["lon"], p["lat"]))
-    poly = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.create_map(F.lit("fclass"), "layer").alias("properties"))
-    files = polygons(spark, d).where(F.col("layer") == layer).groupBy((F.col("polygon_id") % 3).alias("f")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(poly).alias("features"))).alias("value"))
-    path = readers.shared_path(spark, layer)
-    files.write.partitionBy("f").text(path)  # a collection to a file
-    return path
+def feature_lines(features: DataFrame, name: str) -> str:
+    """Features (a struct column f) a line each, as exports write them, in a new folder."""
+    bare = F.lit('{"type":"FeatureCollection","features":[\n{"type":"Feature","geometry":null,"properties":{"id":"none"}},\n')
+    return readers.to_text_file(features.select(F.concat(F.when(F.xxhash64(F.to_json("f")) % 7 == 0, bare).otherwise(""), F.to_json("f"), F.lit(",")).alias("value")), name)
 
 
-@query("S4_read_override_dir", "WITH " + BOXES_SQL + "SELECT 'manual_allow' AS layer, w AS lon0 FROM boxes WHERE layer = 'manual_allow'", False)
-def s4(spark, d):
-    raw = geojson_folder(spark, d, "manual_allow")
+@query("S3_read_geojson", "WITH " + BOXES_SQL + "SELECT CAST(polygon_id AS VARCHAR) AS id, layer AS fclass, w AS lon0, n AS lat2 FROM boxes", False)
+def s3(spark, d):
+    path = feature_lines(polygons(spark, d).select(_polygon_feature().alias("f")), "geojson")
+    got = readers.read_geojson(spark, path, "land", by_line=True)
+    return got.select(F.col("properties")["id"].alias("id"), F.col("properties")["fclass"].alias("fclass"), F.col("rings")[0][0]["lon"].alias("lon0"), F.col("rings")[0][2]["lat"].alias("lat2"))
+
+
+def override_folder(spark, d) -> str:
+    """The manual areas as GeoJSON collections of at most 200 ids, in a new folder of files named *.geojson."""
+    files = polygons(spark, d).where("layer = 'manual_allow'").groupBy(F.floor(F.col("polygon_id") / 200).alias("f")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(_polygon_feature()).alias("features"))).alias("value"))
+    raw = readers.shared_path(spark, "overrides")
+    files.write.partitionBy("f").text(raw)
     path = spark._jvm.org.apache.hadoop.fs.Path(raw)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for i, folder in enumerate(x for x in fs.listStatus(path) if x.isDirectory()):  # Spark's writer names files itself
         part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
         fs.rename(part, path.suffix(f"/{i}.geojson"))
-    return readers.read_override_dir(spark, raw).select("layer", F.col("rings")[0][0]["lon"].alias("lon0"))
+    return raw
+
+
+@query("S4_read_override_dir", "WITH " + BOXES_SQL + "SELECT 'manual_allow' AS layer, w AS lon0 FROM boxes WHERE layer = 'manual_allow'", False)
+def s4(spark, d):
+    return readers.read_override_dir(spark, override_folder(spark, d)).select("layer", F.col("rings")[0][0]["lon"].alias("lon0"))
+
+
+def _margin_sql() -> str:
+    """The zones with their margin of 50 km, as rows w, s, e, n."""
+    dx = lambda b: f"50000 / 111320.0 / cos(radians({max(abs(b['south']), abs(b['north']))}))"
+    dy = "50000 / 111320.0"
+    return "zone AS (" + " UNION ALL ".join(f"SELECT {b['west']} - {dx(b)} AS w, {b['south']} - {dy} AS s, {b['east']} + {dx(b)} AS e, {b['north']} + {dy} AS n" for _, b in validate.ZONES) + ")"
+
+
+#: The zones' union as the cells between all their borders; a place of any zone is in one cell.
+_UNION_SQL = _margin_sql() + """,
+xs AS (SELECT v AS w, lead(v) OVER (ORDER BY v) AS e FROM (SELECT w AS v FROM zone UNION SELECT e FROM zone)), ys AS (SELECT v AS s, lead(v) OVER (ORDER BY v) AS n FROM (SELECT s AS v FROM zone UNION SELECT n FROM zone)),
+cell AS (SELECT x.w, y.s, x.e, y.n FROM xs x, ys y WHERE x.e IS NOT NULL AND y.n IS NOT NULL AND EXISTS (SELECT 1 FROM zone z WHERE z.w <= x.w AND z.e >= x.e AND z.s <= y.s AND z.n >= y.n))
+"""
+
+
+def _overlap(w: str, s: str, e: str, n: str) -> str:
+    return f"greatest(least({e}, c.e) - greatest({w}, c.w), 0) * greatest(least({n}, c.n) - greatest({s}, c.s), 0)"
+
 
+def ring_area(rings: str = "rings") -> F.Column:
+    """Square degrees of a polygon whose holes run the other way; measured from the first corner."""
+    x, y = "(r[$i].lon - r[0].lon)", "(r[$i].lat - r[0].lat)"
+    at = lambda t, i: t.replace("$i", i)
+    one = f"aggregate(sequence(1, size(r) - 1), 0D, (t, i) -> t + {at(x, 'i - 1')} * {at(y, 'i')} - {at(x, 'i')} * {at(y, 'i - 1')}) / 2"
+    return F.expr(f"aggregate({rings}, 0D, (a, r) -> a + {one})")
 
-@query("G8_load_geo_dataset", "WITH " + BOXES_SQL + "SELECT layer, w AS lon0, n AS lat2 FROM boxes WHERE layer <> 'manual_allow'", False)
+
+@query(
+    "G8_load_geo_dataset",
+    "WITH " + BOXES_SQL + ", " + _UNION_SQL + f""", own AS (SELECT layer, polygon_id, sum({_overlap('b.w', 'b.s', 'b.e', 'b.n')}) AS area FROM boxes b, cell c GROUP BY ALL)
+    SELECT layer, CASE layer WHEN 'land' THEN 'coast' WHEN 'manual_allow' THEN 'manual' ELSE 'water' END AS source_layer, CASE layer WHEN 'manual_allow' THEN 'manual' ELSE 'all' END AS region, round(sum(area), 6) AS area, CAST(NULL AS BIGINT) AS pieces FROM own WHERE area > 0 GROUP BY layer
+    UNION ALL SELECT 'navigable_water', 'waterways', 'inland', NULL, 2 * count(*) FROM supplier WHERE s_suppkey % 3 <> 2""",
+    False,
+)
 def g8(spark, d):
-    source = lambda layer, to: {"name": layer, "type": "geojson", "region": "all", "sourceLayer": layer, "targetTable": to, "geometryOperation": "clip", "path": geojson_folder(spark, d, layer), "includeFclasses": [layer]}
-    manifest = {"version": "boxes", "sources": [source("land", "land_polygons"), source("navigable_water", "navigable_water_polygons")]}
-    _, got = load_geo_dataset(spark, manifest, "20240131000000")
-    return got.select("layer", F.col("rings")[0][0]["lon"].alias("lon0"), F.col("rings")[0][2]["lat"].alias("lat2"))
+    boxes = lambda layer: feature_lines(polygons(spark, d).where(F.col("layer") == layer).select(_polygon_feature().alias("f")), layer)
+    rivers = feature_lines(lines(spark, d).select(_feature("LineString", F.col("path"), fclass=F.col("fclass"), width=F.col("width")).alias("f")), "rivers")
+    source = lambda name, kind, region, to, path, **x: {"name": name, "type": kind, "region": region, "targetTable": to, "path": path, "layout": "lines", "license": "none", "attribution": "none", **x}
+    manifest = {
+        "metadataVersion": "boxes", "description": "boxes of nations and suppliers",
+        "sources": [
+            source("land-boxes", "land", "all", "geo_land_polygons", boxes("land"), sourceLayer="coast"), source("water-boxes", "water", "all", "geo_navigable_water_polygons", boxes("navigable_water"), geometryOperation="polygon"),
+            source("rivers", "navigable_water", "inland", "geo_navigable_water_polygons", rivers, sourceLayer="waterways", geometryOperation="line_buffer", includeFclasses=["river", "canal"], defaultLineBufferMeters=150),
+        ],
+    }
+    _, got = load_geo_dataset(spark, manifest, "20240131000000", override_folder(spark, d), validate.ZONES)
+    river = F.col("source_layer") == "waterways"
+    return got.groupBy("layer", "source_layer", "region").agg(F.round(F.sum(F.when(~river, ring_area())), 6).alias("area"), F.sum(F.when(river, 1)).alias("pieces"))
 
 
 @query("S5_event_log", "SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS received_date, kind, count(*) AS n FROM feed WHERE received_at >= TIMESTAMP '2024-01-10 06:00:00' GROUP BY 1, 2")
@@ -547,10 +595,28 @@ def v4(spark, d):
     return line.select("mmsi", F.size("line").cast("long").alias("n_points"), F.col("line")[0]["lon"].alias("first_lon"), F.element_at("line", -1)["lat"].alias("last_lat"))
 
 
-@query("V5_track_simplify")
+_SIMPLIFY_SQL = HISTORY_SQL + """
+, pt AS (SELECT mmsi, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY mmsi) AS n, lon, lat, radians(lon) * 6378137.0 AS x, ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0 AS y
+  FROM hist WHERE occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-12' WINDOW w AS (PARTITION BY mmsi ORDER BY occurred_at)),
+seg AS (
+  SELECT DISTINCT mmsi, CAST(0 AS BIGINT) AS a, n - 1 AS b FROM pt WHERE n >= 2
+  UNION ALL
+  SELECT mmsi, unnest([a, k]), unnest([k, b]) FROM (
+    SELECT mmsi, a, b, max(d) AS most, arg_max(i, (d, -i)) AS k FROM (
+      SELECT s.mmsi, s.a, s.b, p.i, pow(p.x - q.x - t * (r.x - q.x), 2) + pow(p.y - q.y - t * (r.y - q.y), 2) AS d FROM seg s
+        JOIN pt q ON q.mmsi = s.mmsi AND q.i = s.a JOIN pt r ON r.mmsi = s.mmsi AND r.i = s.b JOIN pt p ON p.mmsi = s.mmsi AND p.i > s.a AND p.i < s.b,
+        LATERAL (SELECT CASE WHEN r.x = q.x AND r.y = q.y THEN 0 ELSE greatest(0, least(1, ((p.x - q.x) * (r.x - q.x) + (p.y - q.y) * (r.y - q.y)) / (pow(r.x - q.x, 2) + pow(r.y - q.y, 2)))) END AS t))
+    GROUP BY mmsi, a, b) WHERE most > 20000.0 * 20000.0),
+kept AS (SELECT mmsi, a AS i FROM seg UNION SELECT mmsi, b FROM seg)
+SELECT mmsi, count(*) AS n_points, round(sum(lon), 6) AS lon_sum, round(sum(lat), 6) AS lat_sum FROM kept JOIN pt USING (mmsi, i) GROUP BY mmsi
+"""
+
+
+@query("V5_track_simplify", recursive(_SIMPLIFY_SQL), False)
 def v5(spark, d):
     line = views.track_line(history_of(spark, d), day("2024-01-05"), day("2024-01-12"))
-    return views.track_simplify(line, 20_000.0).select("mmsi", F.size("line").alias("n_points"))
+    total = lambda c: F.round(F.aggregate("line", F.lit(0.0), lambda t, p: t + p[c]), 6).alias(f"{c}_sum")
+    return views.track_simplify(line, 20_000.0).select("mmsi", F.size("line").cast("long").alias("n_points"), total("lon"), total("lat"))
 
 
 @query("V6_vessel_fingerprint", VESSELS_SQL + "SELECT mmsi, imo, name FROM vessels WHERE mmsi IN (SELECT '2' || lpad(CAST(s_suppkey * 5 AS VARCHAR), 8, '0') FROM supplier WHERE s_suppkey % 2 = 0)")
@@ -622,7 +688,7 @@ def _pairs(spark, d) -> DataFrame:
     own = positions(spark, d).select("seq", "lon", "lat", F.floor("lon").alias("x"), F.floor("lat").alias("y"))
     listed = geo.boxed(polygons(spark, d))
     grid = listed.withColumn("x", F.explode(F.sequence(F.floor(F.col("west") - 1), F.floor(F.col("east") + 1)))).withColumn("y", F.explode(F.sequence(F.floor(F.col("south") - 1), F.floor(F.col("north") + 1))))
-    return own.join(grid, ["x", "y"])
+    return own.join(grid.hint("merge"), ["x", "y"])
 
 
 @query("G2_covers", f", {BOXES_SQL} SELECT seq, polygon_id FROM positions, boxes WHERE {_IN}")
@@ -635,9 +701,27 @@ def g3(spark, d):
     return _pairs(spark, d).where(geo.within_distance(20_000)).select("seq", "polygon_id")
 
 
-@query("G4_clip_polygons")
+def _rects_sql() -> str:
+    return "rect AS (" + " UNION ALL ".join(f"SELECT CAST({w!r} AS DOUBLE) AS w, CAST({s!r} AS DOUBLE) AS s, CAST({e!r} AS DOUBLE) AS e, CAST({n!r} AS DOUBLE) AS n" for w, s, e, n in disjoint(geo.coverage_area(validate.ZONES))) + ")"
+
+
+@query(
+    "G4_clip_polygons",
+    "WITH " + AREAS_SQL + ", " + _UNION_SQL + ", " + _rects_sql() + f""", own AS (SELECT polygon_id, kind, sum({_overlap('a.w', 'a.s', 'a.e', 'a.n')} - {_overlap('a.nw', 'a.ns', 'a.ne', 'a.nn')}) AS area FROM areas a, cell c GROUP BY ALL),
+    parts AS (SELECT polygon_id, bool_or(a.w >= c.w AND a.e <= c.e AND a.s >= c.s AND a.n <= c.n) AS uncut, CAST(sum(CASE WHEN {_overlap('a.w', 'a.s', 'a.e', 'a.n')} - {_overlap('a.nw', 'a.ns', 'a.ne', 'a.nn')} <= 1e-12 THEN 0
+        WHEN kind = 3 AND c.s >= a.ns THEN CAST({_overlap('a.w', 'a.s', 'a.nw', 'a.n')} > 1e-12 AS INTEGER) + CAST({_overlap('a.ne', 'a.s', 'a.e', 'a.n')} > 1e-12 AS INTEGER) ELSE 1 END) AS BIGINT) AS parts FROM areas a, rect c GROUP BY polygon_id)
+    SELECT polygon_id, kind, round(area, 6) AS area, parts, CASE WHEN uncut THEN [5, 7, 10, 9][kind + 1] END AS corners FROM own JOIN parts USING (polygon_id) WHERE area > 1e-12""",
+    False,
+)
 def g4(spark, d):
-    return geo.clip_polygons(polygons(spark, d), geo.coverage_area(validate.ZONES)).select("polygon_id", "layer", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
+    got = geo.clip_polygons(areas(spark, d), geo.coverage_area(validate.ZONES)).groupBy("polygon_id", "kind").agg(F.sum(ring_area()).alias("area"), F.count("*").alias("parts"), F.sum(F.size(F.flatten("rings"))).alias("n"))
+    at = F.col("polygon_id")
+    own = areas(spark, d).select("polygon_id", geo.ring_box().alias("b"))
+    uncut = F.lit(False)
+    for w, s, e, n in disjoint(geo.coverage_area(validate.ZONES)):
+        uncut = uncut | ((F.col("b.west") >= w) & (F.col("b.east") <= e) & (F.col("b.south") >= s) & (F.col("b.north") <= n))
+    both = got.join(own.hint("merge"), "polygon_id")
+    return both.select(at, "kind", F.round("area", 6).alias("area"), "parts", F.when(uncut, F.col("n")).cast("int").alias("corners"))
 
 
 @query("G5_buffer_lines", "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN 'wide' END AS width FROM part) SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND CAST(width AS INTEGER) > 0 THEN CAST(width AS INTEGER) / CAST(2 AS DOUBLE) ELSE CAST(75 AS DOUBLE) END AS radius_m FROM p", False)
@@ -721,12 +805,23 @@ def h3(spark, d):
     return sanctions.upsert_entities(own.where(n % 2 == 0), incoming)
 
 
-@query("H4_import_run", _RUNS_SQL + "SELECT status, count(*) AS n FROM runs GROUP BY status UNION ALL SELECT 'imported', count(*) FROM supplier", False)
+@query("H4_import_run", _RUNS_SQL + "SELECT status, count(*) AS n FROM runs GROUP BY status UNION ALL SELECT 'run completed', count(*) FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT 'run skipped', 0 UNION ALL SELECT 'run failed', 0", False)
 def h4(spark, d):
     runs = import_runs(spark, d).withColumns({"errors": F.array().cast("array<string>")}).select("run_id", "source", "started_at", "finished_at", "status", "records_imported", "errors")
-    done = sanctions.import_run(runs, "ofac", -1, now(), lambda: sanctions.sdn_to_entities(readers.read_sdn_xml(spark, sdn_file(spark, d))), lambda df: df.count(), now())
+    load = lambda: sanctions.sdn_to_entities(readers.read_sdn_xml(spark, sdn_file(spark, d)))
+    folder = readers.shared_path(spark, "entities")
+
+    def save(entities: DataFrame) -> int:
+        entities.write.parquet(folder)
+        return spark.read.parquet(folder).count()
+
+    done = sanctions.import_run(runs, "ofac", -1, now(), load, save, now())
+    busy = done.withColumn("status", F.when(F.col("run_id") == -1, "running").otherwise(F.col("status")))
+    again = sanctions.import_run(busy, "ofac", -2, now(), load, save, now())  # another import of the source is running
+    broken = sanctions.import_run(done, "ofac", -3, now(), load, save, now())  # the folder is there: nothing is saved
     log = done.where("run_id >= 0").groupBy("status").agg(F.count("*").alias("n"))
-    return log.unionAll(entities(spark, d).agg(F.count("*").alias("n")).select(F.lit("imported").alias("status"), "n"))
+    own = done.where("run_id = -1").unionByName(again.where("run_id = -2")).unionByName(broken.where("run_id = -3"))
+    return log.unionAll(own.select(F.concat(F.lit("run "), "status"), F.col("records_imported").cast("long")))
 
 
 _MATCH_SQL = LATEST_SQL + VESSELS_SQL + ", " + ENTITIES_SQL + """
@@ -744,6 +839,26 @@ def m1(spark, d):
     return sanctions.match_sanctions(vessels_of(spark, d), entities(spark, d)).select("mmsi", "entity_id", "method", "position")
 
 
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    "M1_match_normalized",
+    LATEST_SQL + VESSELS_SQL + ", " + ENTITIES_SQL + f"""
+, shown AS (SELECT mmsi, imo, CASE CAST(substr(mmsi, 2, 8) AS BIGINT) % 3 WHEN 0 THEN name WHEN 1 THEN '  ' || upper(replace(name, '#', ' - ')) ELSE '--' END AS name FROM vessels),
+ids AS (SELECT v.mmsi, entity_id, source_entity_id, 0 AS rank FROM shown v JOIN entities e ON e.imo = v.imo UNION ALL SELECT v.mmsi, entity_id, source_entity_id, 1 FROM shown v JOIN entities e ON e.mmsi = v.mmsi),
+named AS (SELECT entity_id, source_entity_id, {_PLAIN.format('k')} AS k FROM (SELECT entity_id, source_entity_id, unnest(list_concat([name], aliases)) AS k FROM entities)),
+found AS (SELECT * FROM ids UNION ALL SELECT DISTINCT v.mmsi, entity_id, source_entity_id, 2 FROM shown v JOIN named ON k = {_PLAIN.format('v.name')} AND k <> '' WHERE v.mmsi NOT IN (SELECT mmsi FROM ids)),
+once2 AS (SELECT mmsi, entity_id, source_entity_id, min(rank) AS rank FROM found GROUP BY ALL)
+SELECT mmsi, entity_id, ['imo', 'mmsi', 'name'][rank + 1] AS method, CAST(row_number() OVER (PARTITION BY mmsi ORDER BY rank, source_entity_id, entity_id) AS INTEGER) AS position FROM once2""",
+)
+def m1_normalized(spark, d):
+    n = F.substring("mmsi", 2, 8).cast("long")
+    spelt = F.when(n % 3 == 0, F.col("name")).when(n % 3 == 1, F.concat(F.lit("  "), F.upper(F.replace("name", F.lit("#"), F.lit(" - "))))).otherwise("--")
+    own = vessels_of(spark, d).withColumn("name", F.when(F.col("name").isNotNull() | (n % 3 == 2), spelt))
+    return sanctions.match_sanctions(own, entities(spark, d), "normalized").select("mmsi", "entity_id", "method", "position")
+
+
 @query("P8_track_params", HISTORY_SQL + "SELECT mmsi, count(*) AS n FROM hist WHERE occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-12' GROUP BY mmsi")
 def p8(spark, d):
     start, end, _ = validate.track_params(datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 12))

@@ -124,14 +124,16 @@ entities AS (
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axis-aligned boxes over the feed's area: layer land, navigable_water or manual_allow by region."""
-    n, r = F.col("n_nationkey"), F.col("n_regionkey")
-    layer = F.when(r % 3 == 0, "land").when(r % 3 == 1, "navigable_water").otherwise("manual_allow")
+    """Axis-aligned boxes over the feed's area, a large one for each nation and a small one for each supplier: layer land, navigable_water or manual_allow."""
+    n, r, s = F.col("n_nationkey"), F.col("n_regionkey"), F.col("s_suppkey")
+    layer = lambda k: F.when(k % 3 == 0, "land").when(k % 3 == 1, "navigable_water").otherwise("manual_allow").alias("layer")
     west, south = (F.lit(-8) + (n * 7 % 25) * F.lit(2.0)), (F.lit(29) + (n * 11 % 25) * F.lit(0.8))
-    box = table(spark, sf_dir, "nation").select(n.cast("long").alias("polygon_id"), layer.alias("layer"), F.lit("v1").alias("version_id"), west.alias("w"), south.alias("s"), (west + 3.0 + r).alias("e"), (south + 2.0 + r / 2).alias("n"))
+    large = table(spark, sf_dir, "nation").select(n.cast("long").alias("polygon_id"), layer(r), west.alias("w"), south.alias("s"), (west + 3.0 + r).alias("e"), (south + 2.0 + r / 2).alias("n"))
+    west, south = F.lit(-8) + (s * 29 % 480) / F.lit(10.0), F.lit(29) + (s * 17 % 190) / F.lit(10.0)
+    small = table(spark, sf_dir, "supplier").select((s + 1000).cast("long").alias("polygon_id"), layer(s), west.alias("w"), south.alias("s"), (west + (3 + s % 4 * 2) / F.lit(10.0)).alias("e"), (south + (2 + s % 3 * 2) / F.lit(10.0)).alias("n"))
     corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     ring = F.array(corner("w", "s"), corner("e", "s"), corner("e", "n"), corner("w", "n"), corner("w", "s"))
-    return box.select("polygon_id", "layer", "version_id", F.array(ring).alias("rings"))
+    return large.unionByName(small).select("polygon_id", "layer", F.lit("v1").alias("version_id"), F.array(ring).alias("rings"))
 
 
 BOXES_SQL = """
@@ -140,10 +142,51 @@ boxes AS (
     -8 + (n_nationkey * 7 % 25) * CAST(2 AS DOUBLE) AS w, 29 + (n_nationkey * 11 % 25) * CAST(0.8 AS DOUBLE) AS s,
     -8 + (n_nationkey * 7 % 25) * CAST(2 AS DOUBLE) + CAST(3 AS DOUBLE) + n_regionkey AS e,
     29 + (n_nationkey * 11 % 25) * CAST(0.8 AS DOUBLE) + CAST(2 AS DOUBLE) + n_regionkey / CAST(2 AS DOUBLE) AS n
-  FROM nation)
+  FROM nation
+  UNION ALL SELECT s_suppkey + 1000, CASE s_suppkey % 3 WHEN 0 THEN 'land' WHEN 1 THEN 'navigable_water' ELSE 'manual_allow' END,
+    -8 + (s_suppkey * 29 % 480) / CAST(10 AS DOUBLE), 29 + (s_suppkey * 17 % 190) / CAST(10 AS DOUBLE),
+    -8 + (s_suppkey * 29 % 480) / CAST(10 AS DOUBLE) + (3 + s_suppkey % 4 * 2) / CAST(10 AS DOUBLE),
+    29 + (s_suppkey * 17 % 190) / CAST(10 AS DOUBLE) + (2 + s_suppkey % 3 * 2) / CAST(10 AS DOUBLE)
+  FROM supplier)
+"""
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon for each customer: a box, or a box without its corner, its middle or the middle of its top."""
+    k = F.col("c_custkey")
+    west, south = F.lit(-10) + (k * 37 % 560) / F.lit(10.0), F.lit(27) + (k * 53 % 240) / F.lit(10.0)
+    own = table(spark, sf_dir, "customer").select(k.cast("long").alias("polygon_id"), (k % 4).alias("kind"), west.alias("w"), south.alias("s"), ((6 + k % 7) / F.lit(10.0)).alias("wd"), ((6 + k % 5) / F.lit(10.0)).alias("ht"))
+    p = lambda x, y: f"struct(w + wd * {x}D as lon, s + ht * {y}D as lat)"
+    ring = lambda *corners: f"array({', '.join(p(x, y) for x, y in corners)})"
+    box = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    shapes = {
+        0: f"array({ring(*box)})", 1: f"array({ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0))})",
+        2: f"array({ring(*box)}, {ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75), (0.25, 0.25))})",
+        3: f"array({ring((0, 0), (1, 0), (1, 1), (0.75, 1), (0.75, 0.5), (0.25, 0.5), (0.25, 1), (0, 1), (0, 0))})",
+    }
+    return own.withColumn("rings", F.expr("case kind " + " ".join(f"when {i} then {x}" for i, x in shapes.items()) + " end")).select("polygon_id", "kind", "rings")
+
+
+#: The same as boxes (w, s, e, n) less a notch (nw, ns, ne, nn), which is empty where there is none.
+AREAS_SQL = """
+plain AS (
+  SELECT c_custkey AS polygon_id, c_custkey % 4 AS kind, -10 + (c_custkey * 37 % 560) / CAST(10 AS DOUBLE) AS w, 27 + (c_custkey * 53 % 240) / CAST(10 AS DOUBLE) AS s,
+    (6 + c_custkey % 7) / CAST(10 AS DOUBLE) AS wd, (6 + c_custkey % 5) / CAST(10 AS DOUBLE) AS ht FROM customer),
+areas AS (
+  SELECT polygon_id, kind, w, s, w + wd AS e, s + ht AS n,
+    w + wd * CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 0.25 END AS nw, s + ht * CASE kind WHEN 0 THEN 0 WHEN 2 THEN 0.25 ELSE 0.5 END AS ns,
+    w + wd * CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.75 END AS ne, s + ht * CASE kind WHEN 0 THEN 0 WHEN 2 THEN 0.75 ELSE 1 END AS nn FROM plain)
 """
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A waterway of two segments for each supplier, some with a width and some of a class that is not taken."""
+    k = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier").select(k, (F.lit(12) + (k * 7 % 60) / F.lit(10.0)).alias("x"), (F.lit(35) + (k * 11 % 80) / F.lit(10.0)).alias("y"))
+    path = F.expr("array(array(x, y), array(x + 0.03D, y), array(x + 0.03D, y + 0.02D))")
+    return own.select(k.alias("line_id"), path.alias("path"), F.when(k % 3 == 0, "river").when(k % 3 == 1, "canal").otherwise("stream").alias("fclass"), F.when(k % 2 == 0, "200").alias("width"))
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as provider frames (seq, event_id, received_at, value): some unsupported, broken, without a valid part or with a short MMSI."""
     f = feed(spark, sf_dir)

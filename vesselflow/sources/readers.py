@@ -82,14 +82,22 @@ def read_sdn_xml(spark: SparkSession, path: str) -> DataFrame:
 _RING = T.ArrayType(T.ArrayType(_D))
 
 
-def read_geojson(spark: SparkSession, path, layer: str, source: str = "geojson") -> DataFrame:
+def read_geojson(spark: SparkSession, path, layer: str, source: str = "geojson", by_line: bool = False) -> DataFrame:
     """Features with a geometry: layer, source, geometry_type, rings (arrays of lon/lat), line, properties.
 
     Multipart polygons and lines give a row for each part. Coordinates are read as text
-    first, since their depth depends on the geometry's type.
+    first, since their depth depends on the geometry's type. With `by_line`, files have a
+    feature to a line, as common exports do, with or without the collection around them:
+    a file of any size is then read by many tasks. Without it, a file is one collection
+    and one task reads it.
     """
     feature = _struct(type=_S, geometry=_struct(type=_S, coordinates=_S), properties=T.MapType(_S, _S))
-    rows = spark.read.schema(_struct(features=T.ArrayType(feature))).option("multiLine", "true").json(path).select(F.explode("features").alias("f")).where("f.geometry.type is not null")
+    if by_line:
+        bare = F.regexp_replace(F.trim("value"), r"^\x1e|[,\s]+$", "")
+        rows = spark.read.text(path).where(F.trim("value").rlike(r'^\x1e?\{')).select(F.from_json(bare, feature).alias("f")).where("f.type = 'Feature'")
+    else:
+        rows = spark.read.schema(_struct(features=T.ArrayType(feature))).option("multiLine", "true").json(path).select(F.explode("features").alias("f"))
+    rows = rows.where("f.geometry.type is not null")
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     one = F.array(F.from_json(text, T.ArrayType(_RING)))
     many = F.from_json(text, T.ArrayType(T.ArrayType(_RING)))
