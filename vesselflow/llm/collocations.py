@@ -8,23 +8,29 @@ starts. An n-gram belongs to that chunk alone: those that start in the overlap
 are left to the next chunk. Where a chunk begins and ends depends on its own
 words, so equal passages give equal chunks whatever stands around them, and a
 passage's thousand copies are counted in one pass over its dictionary entry.
+
+Counts travel packed, a compressed cell for each batch of the dictionary and part
+of the phrases; no part gathers more than its share of distinct phrases.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, small_side, written
-from ._text import LOWER, mix, ranges, slices, text_array, utf8, word_hashes, words
+from ._text import LOWER, mix, ranges, slices, spaced, text_array, utf8, word_hashes, words
 
 MAX_WORDS = 3
 OVERLAP = MAX_WORDS - 1
 #: One pair of neighbouring words in so many is a trigger.
-TRIGGER_EACH = 8
+TRIGGER_EACH = 16
 LEAST_COUNT = 10
 TOP = 2000
 #: A candidate goes if a longer one around it has so many hundredths of its count.
@@ -32,8 +38,10 @@ INSIDE_PERCENT = 50
 UNKNOWN = "und"
 #: Parts of a language's candidates that are ranked by themselves first.
 PARTS = 64
+#: Bytes of text for each part of the counts; 64 parts at least.
+PART_BYTES = 5 << 20
 #: Bytes of chunks whose n-grams are added up before they leave a task.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 
 CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -78,47 +86,118 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_parse, "lang string, chunk string, starts long, times long").groupBy("lang", "chunk", "starts").agg(F.sum("times").alias("times"))
 
 
-def _grams_of(table: pa.Table):
-    """The n-grams that start at the chunks' own words: a batch for each size, counts weighted by the chunks'."""
+def _cells_of(table: pa.Table, parts: int):
+    """The n-grams that start at the chunks' own words, with weighted counts: a packed cell for each part that has any.
+
+    A word is a phrase by itself; besides it, the longest n-gram at a place stands
+    for the shorter ones too. It goes to the part of its first two words, where
+    these are counted over all that may follow them.
+    """
     data, at = utf8(table.column("chunk").combine_chunks())
     start, end, before = words(data, at)
-    word = text_array(data, start, end)
-    ids = word.dictionary_encode().indices.to_numpy().astype(np.int64)
-    langs = table.column("lang").combine_chunks()
+    hashes = word_hashes(data, start, end)
+    ids = text_array(data, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    names = langs.dictionary.to_pylist()
+    salt = np.array([zlib.crc32(x.encode()) for x in names], np.uint64)
     starts, times = table.column("starts").to_numpy(), table.column("times").to_numpy()
     first, row = ranges(before[:-1], starts), np.repeat(np.arange(len(starts)), starts)
-    key = langs.dictionary_encode().indices.to_numpy().astype(np.int64)[row]
+    lang = langs.indices.to_numpy().astype(np.int64)
+    room = before[row + 1] - first
+    key, out = lang[row], []
     for size in range(1, MAX_WORDS + 1):
-        there = first + size <= before[row + 1]
-        first, row, key = first[there], row[there], key[there]
+        there = room >= size
+        first, row, room, key = first[there], row[there], room[there], key[there]
         if not len(first):
-            return
+            break
         # A shorter phrase's number and the next word make the longer one's.
         key = pa.array(key * len(ids) + ids[first + size - 1]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        own = np.flatnonzero((room == size) | (size in (1, MAX_WORDS)))
         total = np.zeros(int(key.max()) + 1, np.int64)
-        np.add.at(total, key, times[row])
+        np.add.at(total, key[own], times[row[own]])
         one = np.zeros(len(total), np.int64)
-        one[key] = np.arange(len(key))
-        phrase = _joined(word, first[one], np.full(len(one), size))
-        yield pa.record_batch([langs.take(pa.array(row[one])), pa.array(np.full(len(one), size, np.int32)), phrase.cast(pa.string()), pa.array(total)], ["lang", "size", "phrase", "f"])
-
-
-def _grams(batches):
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= COUNT_BYTES:
-            yield from _grams_of(pa.Table.from_batches(held))
-            held, size = [], 0
-    if held:
-        yield from _grams_of(pa.Table.from_batches(held))
-
-
-def gram_counts(dictionary: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
+        one[key[own]] = own
+        used = np.flatnonzero(total)
+        out.append((first[one[used]], np.full(len(used), size), lang[row[one[used]]], total[used]))
+    if not out:
+        return
+    first, size, lang, total = (np.concatenate(c) for c in zip(*out))
+    part = mix(hashes[first] * np.uint64(3) + np.where(size > 1, hashes[np.minimum(first + 1, len(hashes) - 1)], np.uint64(0)) + salt[lang]) % np.uint64(parts)
+    order = np.lexsort((lang, part))
+    first, size, lang, total, part = first[order], size[order], lang[order], total[order], part[order]
+    raw, begin, stop = spaced(data, start, end)
+    bytes_ = np.frombuffer(raw, np.uint8)
+    length = stop[first + size - 1] - begin[first]
+    head = np.where(size > 1, stop[np.minimum(first + 1, len(stop) - 1)] - begin[first], 0)
+    text = bytes_[ranges(begin[first], length)].tobytes()
+    at = np.concatenate([[0], np.cumsum(length)])
+    cut = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1, append=-1))
+    pack = zstandard.ZstdCompressor(level=3).compress
+    columns = [(total, np.int64), (lang, np.uint16), (length, np.uint32), (head, np.uint32)]
+    rows = []
+    for i, j in zip(cut[:-1], cut[1:]):
+        rows.append((int(part[i]), names, int(j - i), pack(b"".join(planes(c[i:j].astype(kind)) for c, kind in columns) + text[at[i] : at[j]])))
+    c = list(zip(*rows))
+    yield pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], pa.list_(pa.string())), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["part", "langs", "n", "cell"])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The byte planes of numbers, so that compression finds the empty ones."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unpacked(cell: bytes, n: int, number: np.ndarray):
+    """(size, lang, phrase, count) of a cell's words, pairs and triples; a triple's first two words are a pair as well. `number` renames the cell's langs."""
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8), 0, []
+    for kind in (np.int64, np.uint16, np.uint32, np.uint32):
+        width = np.dtype(kind).itemsize
+        out.append(raw[at : at + n * width].reshape(width, n).T.copy().view(kind)[:, 0].astype(np.int64))
+        at += n * width
+    total, lang, length, head = out
+    begin, lang = at + np.cumsum(length) - length, number[lang]
+    for size, own, upto in ((1, head == 0, length), (2, head > 0, head), (3, (head > 0) & (head < length), length)):
+        yield size, pa.array(lang[own]), text_array(raw, begin[own], (begin + upto)[own]), pa.array(total[own])
+
+
+def _counted(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """All counts of one part: its words, its pairs over what follows them, its triples."""
+        names, got, out = {}, {1: [], 2: [], 3: []}, []
+        for cell, n, langs in zip(table.column("cell"), table.column("n").to_pylist(), table.column("langs").to_pylist()):
+            number = np.array([names.setdefault(x, len(names)) for x in langs], np.int32)
+            for size, *columns in _unpacked(cell.as_py(), n, number):
+                got[size].append(columns)
+        for size in (1, 2, 3):
+            columns = [pa.chunked_array(c) for c in zip(*got.pop(size))]
+            sums = pa.table(dict(zip(("lang", "phrase", "f"), columns))).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            if size > 1:
+                sums = sums.filter(pc.greater_equal(sums["f_sum"], least))
+            lang = pa.array(list(names), pa.string()).take(sums["lang"].combine_chunks())
+            out.append(pa.table({"lang": lang, "size": pa.array(np.full(len(sums), size, np.int32)), "phrase": sums["phrase"].cast(pa.string()), "f": sums["f_sum"]}))
+        return pa.concat_tables(out).combine_chunks()
+
+    return run
+
+
+def _cells(parts: int):
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= COUNT_BYTES:
+                yield from _cells_of(pa.Table.from_batches(held), parts)
+                held, size = [], 0
+        if held:
+            yield from _cells_of(pa.Table.from_batches(held), parts)
+
+    return run
+
+
+def gram_counts(dictionary: DataFrame, least: int = LEAST_COUNT, parts: int = 64) -> DataFrame:
     """lang, size, phrase and f for all words and for the phrases that occur `least` times or more."""
-    each = dictionary.mapInArrow(_grams, "lang string, size int, phrase string, f long")
-    return each.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("size") == 1) | (F.col("f") >= least))
+    cells = dictionary.mapInArrow(_cells(parts), "part int, langs array<string>, n int, cell binary")
+    return cells.groupBy("part").applyInArrow(_counted(least), "lang string, size int, phrase string, f long")
 
 
 def _score(a: str, left: str, right: str):
@@ -139,7 +218,8 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST_COUNT) -> D
     gives no rows.
     """
     arrow_rows(docs.sparkSession)
-    counts = written(gram_counts(chunks(docs), least), "grams")
+    chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    counts = written(gram_counts(chunks(docs), least, max(64, chars // PART_BYTES)), "grams")
     totals = counts.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least)
     parts = lambda size, name: small_side(written(frequent.where(f"size = {size}").select("lang", F.col("phrase").alias(f"{name}_part"), F.col("f").alias(name)), "parts"))
