@@ -948,21 +948,62 @@ def x1(spark, d):
     return fanout.conflate(feed(spark, d), "1 day").select("mmsi", "kind", "seq", "place", F.date_format("slot", "yyyy-MM-dd").alias("slot"))
 
 
-_LIVE_SQL = """
-, g AS (SELECT *, max(occurred_at) OVER (PARTITION BY mmsi, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM feed),
+@query("X1_conflate_capacity")
+def x1_capacity(spark, d):
+    """A queue of 40 entries a day; no SQL: which vessel goes depends on all that came before it."""
+    own = fanout.conflate(feed(spark, d), "1 day", 40)
+    return own.select("mmsi", "kind", "seq", "place", F.date_format("slot", "yyyy-MM-dd").alias("slot"))
+
+
+_MATCHED = "CASE WHEN event_id % 2 = 0 THEN 'e' || event_id || ':ofac:Name ' || event_id % 7 || ':imo:P' || event_id % 3 || '+Q' ELSE '' END"
+_LIVE_SQL = f"""
+, all_events AS (SELECT * REPLACE (CASE WHEN kind = 'static' AND event_id % 2 = 1 THEN 'enriched' ELSE kind END AS kind) FROM feed),
+g AS (SELECT *, max(occurred_at) OVER (PARTITION BY mmsi, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM all_events),
 ok AS (SELECT * FROM g WHERE top IS NULL OR occurred_at >= top),
-live AS (SELECT mmsi, arg_max(lon, seq) FILTER (kind = 'position') AS lon, arg_max(lat, seq) FILTER (kind = 'position') AS lat,
-    arg_max(CASE WHEN sog IS NULL THEN -1 ELSE sog END, seq) FILTER (kind = 'position') AS sog0, max(occurred_at) FILTER (kind = 'position') AS occurred_at, max(received_at) FILTER (kind = 'position') AS last_seen_at,
-    arg_max(ship_name, seq) FILTER (ship_name IS NOT NULL) AS name, arg_max(imo, seq) FILTER (kind = 'static' AND imo IS NOT NULL) AS imo, arg_max(ship_type, seq) FILTER (kind = 'static' AND ship_type IS NOT NULL) AS ship_type,
-    max(occurred_at) FILTER (kind = 'static') AS static_occurred_at FROM ok GROUP BY mmsi)
+live AS (SELECT mmsi, arg_max(lon, seq) FILTER (kind = 'position') AS lon, arg_max(lat, seq) FILTER (kind = 'position') AS lat, arg_max(coalesce(sog, -1), seq) FILTER (kind = 'position') AS sog0,
+    arg_max(cog, seq) FILTER (kind = 'position') AS cog, arg_max(true_heading, seq) FILTER (kind = 'position') AS true_heading, arg_max(coalesce(nav_status, -1), seq) FILTER (kind = 'position') AS nav0,
+    max(occurred_at) FILTER (kind = 'position') AS occurred_at, max(received_at) FILTER (kind = 'position') AS last_seen_at,
+    arg_max(ship_name, seq) FILTER (ship_name IS NOT NULL AND kind <> 'enriched') AS name, arg_max(imo, seq) FILTER (kind = 'static' AND imo IS NOT NULL) AS imo, arg_max(ship_type, seq) FILTER (kind = 'static' AND ship_type IS NOT NULL) AS ship_type,
+    arg_max(call_sign, seq) FILTER (kind = 'static' AND call_sign IS NOT NULL) AS call_sign, arg_max(destination, seq) FILTER (kind = 'static' AND destination IS NOT NULL) AS destination,
+    max(occurred_at) FILTER (kind = 'static') AS static_occurred_at, max(occurred_at) FILTER (kind = 'enriched') AS sanctions_checked_at,
+    arg_max('v' || user_id, seq) FILTER (kind = 'enriched') AS vessel_id, arg_max(['clear', 'candidate', 'sanctioned'][event_id % 3 + 1], seq) FILTER (kind = 'enriched') AS sanctions_status,
+    arg_max({_MATCHED}, seq) FILTER (kind = 'enriched') AS matches FROM ok GROUP BY mmsi)
 """
+_MATCH_FIELDS = ("entity_id", "source", "name", "match_method", "programs")
+
+
+def with_checks(events: DataFrame) -> DataFrame:
+    """Adds what an enriched event has: vessel_id, status, and matches, of a known source for every other event."""
+    i = F.col("event_id")
+    text = i.cast("string")
+    match = F.struct(F.concat(F.lit("e"), text).alias("entity_id"), F.when(i % 2 == 0, "ofac").otherwise("other").alias("source"), F.concat(F.lit("Name "), (i % 7).cast("string")).alias("name"), F.lit("imo").alias("match_method"), F.array(F.concat(F.lit("P"), (i % 3).cast("string")), F.lit("Q")).alias("programs"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("clear", "candidate", "sanctioned")]), (i % 3).cast("int") + 1)
+    return events.withColumns({"status": status, "matches": F.array(match), "vessel_id": F.concat(F.lit("v"), F.col("user_id").cast("string"))})
+
+
+def all_events(spark, d) -> DataFrame:
+    """The feed with every other static event as an enriched one."""
+    kind = F.when((F.col("kind") == "static") & (F.col("event_id") % 2 == 1), "enriched").otherwise(F.col("kind"))
+    return with_checks(feed(spark, d)).withColumns({"kind": kind, "name": F.col("ship_name")})
 
 
 def live_of(spark, d) -> DataFrame:
-    return fanout.live_view(feed(spark, d).withColumn("name", F.col("ship_name")))
+    return fanout.live_view(all_events(spark, d))
+
+
+def matches_text(column: str = "sanctions_matches") -> F.Column:
+    one = lambda m: F.concat_ws(":", m["id"], m["source"], m["entity_name"], m["match_method"], F.array_join(m["programs"], "+"))
+    return F.array_join(F.transform(column, one), ",")
 
 
 _LIVE_COLUMNS = f"mmsi, lon, lat, {sql_t('occurred_at')}, {sql_t('last_seen_at')}"
+_LIVE_ALL_SQL = f"mmsi, vessel_id, lon, lat, nullif(sog0, -1) AS sog, cog, true_heading, nullif(nav0, -1) AS nav_status, {sql_t('occurred_at')}, {sql_t('last_seen_at')}, imo, name, call_sign, ship_type, destination, {sql_t('static_occurred_at')}, sanctions_status, {sql_t('sanctions_checked_at')}, matches"
+
+
+def live_columns(live: DataFrame) -> DataFrame:
+    """All of the live view, times and matches as text."""
+    plain = ["mmsi", "vessel_id", "lon", "lat", "sog", "cog", "true_heading", "nav_status", "imo", "name", "call_sign", "ship_type", "destination", "sanctions_status"]
+    return live.select(*plain, *map(t, ("occurred_at", "last_seen_at", "static_occurred_at", "sanctions_checked_at")), matches_text().alias("matches"))
 
 
 @query("X2_fold_position", _LIVE_SQL + f"SELECT {_LIVE_COLUMNS} FROM live WHERE lon IS NOT NULL")
@@ -973,29 +1014,40 @@ def x2(spark, d):
     return fanout.fold_position(half, own.where(F.col("received_at") >= cut)).select("mmsi", "lon", "lat", t("occurred_at"), t("last_seen_at"))
 
 
-@query("X3_fold_static", _LIVE_SQL + f", st AS (SELECT mmsi, arg_max(ship_name, seq) FILTER (ship_name IS NOT NULL) AS name FROM ok WHERE kind = 'static' GROUP BY mmsi) SELECT mmsi, st.name, l.imo, l.ship_type, {sql_t('static_occurred_at')} FROM live l JOIN st USING (mmsi)")
+@query("X3_fold_static", _LIVE_SQL.replace("event_id % 2 = 1 THEN 'enriched'", "false THEN 'enriched'") + f", st AS (SELECT mmsi, arg_max(ship_name, seq) FILTER (ship_name IS NOT NULL) AS name FROM ok WHERE kind = 'static' GROUP BY mmsi) SELECT mmsi, st.name, l.imo, l.ship_type, l.call_sign, l.destination, {sql_t('static_occurred_at')} FROM live l JOIN st USING (mmsi)")
 def x3(spark, d):
     own, cut = statics(spark, d), day("2024-01-16")
     first = spark.createDataFrame([], "mmsi string, imo string, call_sign string, ship_type int, destination string, name string, static_occurred_at timestamp_ntz")
     half = fanout.fold_static(first, own.where(F.col("received_at") < cut))
-    return fanout.fold_static(half, own.where(F.col("received_at") >= cut)).select("mmsi", "name", "imo", "ship_type", t("static_occurred_at"))
+    return fanout.fold_static(half, own.where(F.col("received_at") >= cut)).select("mmsi", "name", "imo", "ship_type", "call_sign", "destination", t("static_occurred_at"))
 
 
-@query("X4_fold_enriched", """, en AS (SELECT seq, mmsi, occurred_at AS checked_at, ['clear', 'candidate', 'sanctioned'][event_id % 3 + 1] AS status, event_id, max(occurred_at) OVER (PARTITION BY mmsi ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM positions)
-SELECT mmsi, arg_max(status, seq) AS sanctions_status, arg_max(CASE WHEN event_id % 2 = 0 THEN 'e' || event_id ELSE '' END, seq) AS matches FROM en WHERE top IS NULL OR checked_at >= top GROUP BY mmsi""")
+@query("X4_fold_enriched", f""", en AS (SELECT *, max(occurred_at) OVER (PARTITION BY mmsi ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM positions)
+SELECT mmsi, arg_max('v' || user_id, seq) AS vessel_id, arg_max(['clear', 'candidate', 'sanctioned'][event_id % 3 + 1], seq) AS sanctions_status, arg_max({_MATCHED}, seq) AS matches, {TEXT.format('max(occurred_at)')} AS sanctions_checked_at FROM en WHERE top IS NULL OR occurred_at >= top GROUP BY mmsi""")
 def x4(spark, d):
-    i = F.col("event_id")
-    match = F.array(F.struct(F.concat(F.lit("e"), i.cast("string")).alias("entity_id"), F.when(i % 2 == 0, "ofac").otherwise("other").alias("source")))
-    own = positions(spark, d).select("seq", "mmsi", F.col("occurred_at").alias("checked_at"), F.element_at(F.array(*[F.lit(x) for x in ("clear", "candidate", "sanctioned")]), (i % 3).cast("int") + 1).alias("status"), match.alias("matches"))
-    first = spark.createDataFrame([], "mmsi string, sanctions_status string, sanctions_matches array<string>, sanctions_checked_at timestamp_ntz")
-    return fanout.fold_enriched(first, own).select("mmsi", "sanctions_status", F.array_join("sanctions_matches", ",").alias("matches"))
+    own = with_checks(positions(spark, d)).withColumn("checked_at", F.col("occurred_at"))
+    first = spark.createDataFrame([], fanout.LIVE)
+    cut = day("2024-01-16")
+    half = fanout.fold_enriched(first, own.where(F.col("received_at") < cut))
+    return fanout.fold_enriched(half, own.where(F.col("received_at") >= cut)).select("mmsi", "vessel_id", "sanctions_status", matches_text().alias("matches"), t("sanctions_checked_at"))
 
 
-@query("X5_fold_snapshot", LATEST_SQL + f", old AS (SELECT mmsi, arg_max(lon, (occurred_at, seq)) AS lon, max(occurred_at) AS occurred_at FROM positions WHERE seq % 3 = 0 GROUP BY mmsi) SELECT mmsi, CASE WHEN old.occurred_at IS NULL OR l.occurred_at >= old.occurred_at THEN l.lon ELSE old.lon END AS lon, {TEXT.format('greatest(l.occurred_at, old.occurred_at)')} AS occurred_at FROM latest l FULL JOIN old USING (mmsi)")
+@query(
+    "X5_fold_snapshot",
+    _LIVE_SQL + LATEST_SQL.replace("FROM positions", "FROM positions WHERE seq % 3 <> 1") + VESSELS_SQL + f""", snap AS (SELECT l.*, v.imo, v.name, v.call_sign, v.ship_type, 'id' || l.mmsi AS vessel_id, CAST(substr(l.mmsi, 2, 8) AS BIGINT) AS k FROM latest l JOIN vessels v USING (mmsi)),
+    both2 AS (SELECT coalesce(r.mmsi, o.mmsi) AS mmsi, r.mmsi IS NOT NULL AS has, r.occurred_at IS NOT NULL AND (o.occurred_at IS NULL OR r.occurred_at >= o.occurred_at) AS newer,
+      k % 3 <> 0 AND r.last_seen_at IS NOT NULL AND (o.sanctions_checked_at IS NULL OR r.last_seen_at >= o.sanctions_checked_at) AS rechecked, r, o FROM live o FULL JOIN snap r ON r.mmsi = o.mmsi)
+    SELECT mmsi, CASE WHEN has THEN r.vessel_id ELSE o.vessel_id END AS vessel_id, CASE WHEN newer THEN r.lon ELSE o.lon END AS lon, CASE WHEN newer THEN r.lat ELSE o.lat END AS lat, CASE WHEN newer THEN r.sog ELSE nullif(o.sog0, -1) END AS sog, CASE WHEN newer THEN r.cog ELSE o.cog END AS cog,
+      CASE WHEN newer THEN r.true_heading ELSE o.true_heading END AS true_heading, CASE WHEN newer THEN r.nav_status ELSE nullif(o.nav0, -1) END AS nav_status, {TEXT.format('CASE WHEN newer THEN r.occurred_at ELSE o.occurred_at END')} AS occurred_at,
+      {TEXT.format('greatest(r.last_seen_at, o.last_seen_at)')} AS last_seen_at, coalesce(r.imo, o.imo) AS imo, coalesce(r.name, o.name) AS name, coalesce(r.call_sign, o.call_sign) AS call_sign, coalesce(r.ship_type, o.ship_type) AS ship_type, o.destination AS destination,
+      {TEXT.format('o.static_occurred_at')} AS static_occurred_at, CASE WHEN rechecked THEN 'clear' ELSE o.sanctions_status END AS sanctions_status, {TEXT.format('CASE WHEN rechecked THEN r.last_seen_at ELSE o.sanctions_checked_at END')} AS sanctions_checked_at, o.matches AS matches FROM both2""",
+)
 def x5(spark, d):
-    nothing = {"name": F.lit(None).cast("string"), "sanctions_status": F.lit(None).cast("string"), "sanctions_checked_at": F.lit(None).cast("timestamp_ntz")}
-    old = state.upsert_latest(None, positions(spark, d).where("seq % 3 = 0")).withColumns(nothing)
-    return fanout.fold_snapshot(old, latest_of(spark, d).withColumns(nothing)).select("mmsi", "lon", t("occurred_at"))
+    k = F.substring("mmsi", 2, 8).cast("long")
+    checked = {"vessel_id": F.concat(F.lit("id"), "mmsi"), "sanctions_status": F.lit("clear"), "sanctions_checked_at": F.when(k % 3 != 0, F.col("last_seen_at"))}
+    latest = state.upsert_latest(None, positions(spark, d).where("seq % 3 != 1"))
+    rows = latest.join(vessels_of(spark, d).select("mmsi", *fanout.SNAPSHOT_PROFILE), "mmsi").withColumns(checked)
+    return live_columns(fanout.fold_snapshot(live_of(spark, d), rows))
 
 
 _DETAIL_NEWER = "k % 4 <> 0 AND (o.at IS NULL OR d.at >= o.at)"
@@ -1016,9 +1068,9 @@ def x6(spark, d):
     return fanout.prune_stale(live_of(spark, d), now()).select("mmsi")
 
 
-@query("X7_live_view", _LIVE_SQL + f"SELECT {_LIVE_COLUMNS}, name, imo, ship_type FROM live")
+@query("X7_live_view", _LIVE_SQL + f"SELECT {_LIVE_ALL_SQL} FROM live")
 def x7(spark, d):
-    return live_of(spark, d).select("mmsi", "lon", "lat", t("occurred_at"), t("last_seen_at"), "name", "imo", "ship_type")
+    return live_columns(live_of(spark, d))
 
 
 _COLOR_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'ship_type BETWEEN {a} AND {b}' for a, b in r)} THEN '{c}'" for _, c, r in fn.SHIP_CATEGORIES) + f" ELSE '{fn.OTHER_COLOR}' END"
