@@ -198,6 +198,34 @@ def test_conflation_places(spark):
     out = lambda d: [(r.kind, r.mmsi, r.seq) for r in d.orderBy("slot", "group", "place").collect()]
     assert out(fanout.conflate(df)) == [("static", "1", 2), ("position", "1", 3), ("position", "2", 1), ("position", "3", 4)]
     assert out(fanout.conflate(df, max_entries=3)) == [("static", "1", 2), ("position", "2", 1), ("position", "3", 4)]
+    assert out(fanout.conflate(df, max_entries=2)) == [("position", "1", 3), ("position", "3", 4)]  # the static finds the queue full
+
+
+def test_a_bounded_queue_by_its_rule(spark):
+    """Against a queue kept in plain lists: newest position in the first one's place, the oldest place makes room, others are refused."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(s, f"{rng.randrange(12)}", rng.choice(("position", "position", "position", "static", "enriched")), at(s // 60)) for s in range(600)]
+    df = spark.createDataFrame(rows, "seq long, mmsi string, kind string, received_at timestamp_ntz")
+    for most in (1, 4, 9):
+        want = set()
+        for minute in range(10):
+            others, order, newest, first = [], [], {}, {}
+            for seq, mmsi, kind, _ in rows[minute * 60 : minute * 60 + 60]:
+                room = len(others) + len(order) < most
+                if kind != "position":
+                    others += [seq] * room
+                elif mmsi in order:
+                    newest[mmsi] = seq
+                elif room or order:
+                    if not room:
+                        order.pop(0)
+                    order.append(mmsi)
+                    newest[mmsi] = first[mmsi] = seq
+            want |= {(s, s, 0) for s in others} | {(newest[m], first[m], 1) for m in order}
+        got = fanout.conflate(df, "1 second", most)
+        assert {(r.seq, r.place, r.group) for r in got.collect()} == want
 
 
 def test_arrival_order_comes_from_seq_alone(spark):
@@ -222,17 +250,3 @@ def test_streams_equal_batches(spark, tmp_path):
     assert run.awaitTermination(120)
     got = {r.seq for r in spark.read.parquet(str(tmp_path / "sampled")).collect()}
     assert got == {r.seq for r in quality.adaptive_sample(own, how).where("emitted").collect()}
-
-    stateful.persist_stream(read(), str(tmp_path / "store"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
-    latest = readers.current_version(spark, str(tmp_path / "store/latest"))
-    key = lambda df: sorted(tuple(r) for r in df.select("mmsi", "lon", "occurred_at").collect())
-    assert key(latest) == key(state.upsert_latest(None, own))
-    assert spark.read.parquet(str(tmp_path / "store/history")).count() == state.append_history(None, own).count()
-
-    twice = own.union(own)
-    twice.coalesce(1).write.parquet(str(tmp_path / "twice"))
-    again = spark.readStream.schema(own.schema).parquet(str(tmp_path / "twice"))
-    seen = stateful.dedup_within_watermark(again.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), "100000 days")
-    seen.select("mmsi", "occurred_at").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start(str(tmp_path / "dedup")).awaitTermination(120)
-    key = lambda df: sorted((r.mmsi, r.at) for r in df.select("mmsi", F.col("occurred_at").cast("timestamp").cast("string").alias("at")).collect())
-    assert key(spark.read.parquet(str(tmp_path / "dedup"))) == key(quality.dedup(twice, 10**10).where("accepted"))

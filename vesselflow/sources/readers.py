@@ -185,6 +185,50 @@ def current_version(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{version}")
 
 
+BUCKETS = 64
+
+
+def bucket_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """A table kept in key buckets, each as its newest version; none if nothing was written yet."""
+    versions = _bucket_versions(spark, folder)
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/version={v}/bucket={b}" for b, v in sorted(versions.items())]).drop("version", "bucket") if versions else None
+
+
+def _bucket_versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The version of each bucket, as the newest pointer has it: a name for each bucket, no rows of data."""
+    names = _listed(spark, f"{folder}/_versions")
+    return {r.bucket: r.at for r in spark.read.schema("bucket int, at string").json(f"{folder}/_versions/{names[-1]}").collect()} if names else {}
+
+
+def upsert_buckets(changes: DataFrame, folder: str, keys: list[str], merge: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """A keyed upsert into a table of key buckets: only buckets with changed keys are read and written anew.
+
+    The table has the same number of buckets for its life. `merge` is as in
+    `upsert`; changes have one row a key. The new pointer appears in one rename,
+    so that readers see all of the upsert or nothing of it.
+    """
+    spark = changes.sparkSession
+    new = written(changes.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "changes")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    versions = _bucket_versions(spark, folder)
+    paths = [f"{folder}/version={versions[b]}/bucket={b}" for b in touched if b in versions]
+    current = spark.read.option("basePath", folder).parquet(*paths).drop("version", "bucket") if paths else new.drop("bucket").limit(0)
+    both = upsert(current, new.drop("bucket"), keys, merge)
+    version = f"{len(_listed(spark, f'{folder}/_versions')):08d}-{uuid.uuid4().hex}"
+    both.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/version={version}")
+    pointer = spark.createDataFrame([(b, version if b in set(touched) else versions[b]) for b in sorted({*touched, *versions})], "bucket int, at string")
+    pointer.coalesce(1).write.json(f"{folder}/_versions/.{version}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions/.{version}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions/{version}"))
+    return bucket_table(spark, folder)
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if not f.getPath().getName().startswith(".")) if fs.exists(path) else []
+
+
 def export_features(vessels: DataFrame, properties: dict[str, Column]) -> DataFrame:
     """One GeoJSON Feature as text for each vessel with coordinates."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
