@@ -38,6 +38,8 @@ INSIDE_PERCENT = 50
 UNKNOWN = "und"
 #: Parts of a language's candidates that are ranked by themselves first.
 PARTS = 64
+#: Rows of words or pairs that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_PARTS = 200_000
 #: Bytes of text for each part of the counts; 64 parts at least.
 PART_BYTES = 5 << 20
 #: Bytes of chunks whose n-grams are added up before they leave a task.
@@ -222,7 +224,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST_COUNT) -> D
     counts = written(gram_counts(chunks(docs), least, max(64, chars // PART_BYTES)), "grams")
     totals = counts.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least)
-    parts = lambda size, name: small_side(written(frequent.where(f"size = {size}").select("lang", F.col("phrase").alias(f"{name}_part"), F.col("f").alias(name)), "parts"))
+    parts = lambda size, name: small_side(written(frequent.where(f"size = {size}").select("lang", F.col("phrase").alias(f"{name}_part"), F.col("f").alias(name)), "parts"), BROADCAST_PARTS)
     one, two = parts(1, "one"), parts(2, "two")
     cut = lambda k, n: F.array_join(F.slice(F.split("phrase", " "), k, n), " ")
     side = lambda df, name, to: df.withColumnsRenamed({f"{name}_part": f"{to}_part", name: to})
