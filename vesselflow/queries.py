@@ -349,9 +349,9 @@ _NORM_LIST = ", ".join(_NORM_COLUMNS)
 
 
 def frames_of(spark, d) -> DataFrame:
-    """The raw frames, written first as they would arrive."""
+    """The raw frames, written first as they would arrive: in many files, however few the tables have."""
     path = readers.shared_path(spark, "frames")
-    raw_frames(spark, d).write.parquet(path)
+    raw_frames(spark, d).repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.parquet(path)
 
 
