@@ -12,14 +12,23 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; repeated rows share one verdict, null text is scored as empty."""
+    """Documents that the classifier does not reject, with all columns of `docs`, whatever their names.
+
+    Null and empty texts are scored as empty, very long ones whole; repeated rows
+    share one verdict; a row of null doc_id stays; an empty table gives none.
+    """
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = written(scored.where("predicted = 1").select("doc_id").distinct(), "toxic")
     return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of smallest doc_id, and one row of each document."""
+    """One document of each near-duplicate group, the one of smallest doc_id, and one row of each document.
+
+    Null and empty texts have no shingles and stay; very long texts count whole;
+    of repeated rows one stays, any of them; rows of null doc_id stay each; all
+    columns of `docs` stay, whatever their names; an empty table gives none.
+    """
     gone = written(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
     once = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
     ids = once.groupBy("doc_id").count()
