@@ -93,9 +93,11 @@ def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of (doc_id, text).
 
-    Null text is empty. A repeated row gives its result again, not twice the
-    count. Without a match first_word and last_word are null, labels empty and
-    the score 0. An empty table gives no rows.
+    Null text is empty, a very long one is scanned whole. A repeated row gives its
+    result again, not twice the count. Without a match first_word and last_word
+    are null, labels empty and the score 0. Of several matches the best cover is
+    the score; ties change nothing. Other columns, whatever their names, are left
+    out. An empty table gives no rows.
     """
     b = F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

@@ -167,8 +167,10 @@ def take(sized: DataFrame, mix: Mix, seed: int = SEED) -> DataFrame:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of (doc_id, source, text).
 
-    Null text has no words; null is a source of its own, last in order; an empty
-    table gives no rows. Reruns agree: the order is a seeded hash of doc_id.
+    Null text has no words and a very long one all its words; null is a source of
+    its own, last in order; repeated rows count each; ties of the seeded hash of
+    doc_id, which makes reruns agree, go by doc_id. Other columns, whatever their
+    names, are left out. An empty table gives no rows.
     """
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("members", F.array("source")), "sizes")
     own = plan(sized)
@@ -178,7 +180,12 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents: a row for each pass over a document, the last one cut to its words; the columns of `docs` stay."""
+    """The mixed documents: a row for each pass over a document, the last one cut to its words.
+
+    The columns of `docs` stay, whatever their names. Null and empty texts have no
+    words and go; very long texts count whole; repeated rows count each; an empty
+    table gives no rows.
+    """
     columns = docs.columns
     sized = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "text", F.array(F.col("source").cast("string")).alias("members"), word_count(F.col("text")).alias("size"))
     own = plan(written(sized.select("doc_id", "members", "size"), "sizes"))

@@ -112,5 +112,12 @@ def pack(cut: DataFrame, length: int = LENGTH, most: int = OPEN, task_sequences:
 
 
 def best_fit(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, most: int = OPEN) -> DataFrame:
-    """Tokenise whole texts and pack them; see `pieces` and `pack` for nulls, repeats and empty tables."""
+    """Tokenise whole texts and pack them.
+
+    A null or empty text is its end token alone; a very long one is cut into
+    pieces; repeated rows are packed each; of sequences with equally much space one
+    is taken, the same one in a rerun, and ties in hash order go by doc_id, piece
+    and start. Other columns, whatever their names, are left out. An empty table gives
+    no rows.
+    """
     return pack(written(pieces(docs, path, length, end_id), "pieces"), length, most)

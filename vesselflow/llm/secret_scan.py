@@ -136,8 +136,9 @@ def _digest(some: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of (doc_id, text).
 
-    Null text is empty. Spans are in code points, end exclusive, by start and
-    then kind. Without spans the lists are empty strings (base_sha256 is the
+    Null text is empty, a very long one is scanned whole. Spans are in code points,
+    end exclusive, by start and then kind; spans of one start and kind are one.
+    Other columns, whatever their names, are left out. Without spans the lists are empty strings (base_sha256 is the
     digest of one). A repeated row gives its result again. An empty table gives
     no rows.
     """

@@ -214,9 +214,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row.
 
     A word goes if a window over it also starts in a document of smaller doc_id.
-    Null text has no words; repeated rows give the same result each; rows of
-    null doc_id lose nothing and take nothing from others; an empty table gives
-    no rows.
+    Null text has no words; a very long one is judged whole; repeated rows give
+    the same result each; rows of null doc_id lose nothing and take nothing from
+    others; of equal windows the smallest doc_id and then the first place counts.
+    Other columns, whatever their names, are left out. An empty table gives no
+    rows.
     """
     own = written(spans(factors(docs, window)), "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"

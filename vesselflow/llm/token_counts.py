@@ -15,7 +15,12 @@ BLOCK = 4096
 
 
 def encoded_lengths(docs: DataFrame, path: str | None = None, by_word: bool = True) -> DataFrame:
-    """doc_id and n_tokens of every whole text; null text has 0 tokens, a repeated row counts again."""
+    """doc_id and n_tokens of every whole text, very long ones too.
+
+    Null text has 0 tokens, a repeated row counts again, equal lengths are no tie
+    to break. Other columns, whatever their names, are left out; an empty table
+    gives no rows.
+    """
     arrow_rows(docs.sparkSession)
     path = path or tokenizer_path()
 

@@ -140,7 +140,9 @@ def top_k(vectors: DataFrame, k: int = K, query_each: int = QUERY_EACH, block: i
     Queries are the rows whose vec_id is divisible by `query_each`. Vectors that
     are null, empty, or hold null or non-finite components take no part; missing
     components of a shorter vector count as 0. A row that repeats a vec_id is
-    one vector. An empty table gives no rows.
+    one vector, any of its rows. Components beyond 2 ** 63 / 64 in size are beyond
+    what the index holds. Columns other than vec_id and embedding, whatever their
+    names, are left out. An empty table gives no rows.
     """
     whole = written(quantised(vectors).dropDuplicates(["vec_id"]), "vectors")
     asked = whole.where(F.col("vec_id") % query_each == 0)
