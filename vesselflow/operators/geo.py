@@ -47,7 +47,7 @@ def covers(rings: str = "rings", lon: str = "lon", lat: str = "lat") -> Column:
     return F.expr(f"({_on_edge(_edges(rings), lon, lat)}) or ({_crossed(_edges(rings), lon, lat)})")
 
 
-def _meters(lat: str) -> tuple[str, str]:
+def meters_a_degree(lat: str) -> tuple[str, str]:
     """Metres of a degree of longitude and of latitude at a latitude, on WGS84."""
     s = f"(1 - {ECCENTRICITY_2} * pow(sin(radians({lat})), 2))"
     east = f"({SEMI_MAJOR_M} / sqrt({s}) * cos(radians({lat})) * {math.pi / 180!r})"
@@ -56,7 +56,7 @@ def _meters(lat: str) -> tuple[str, str]:
 
 
 def _distance(edges: str, x: str, y: str) -> str:
-    east, north = _meters(y)
+    east, north = meters_a_degree(y)
     local = f"transform({edges}, e -> named_struct('ax', (e.a.lon - {x}) * {east}, 'ay', (e.a.lat - {y}) * {north}, 'dx', (e.b.lon - e.a.lon) * {east}, 'dy', (e.b.lat - e.a.lat) * {north}))"
     along = "if(s.dx = 0 and s.dy = 0, 0D, greatest(0D, least(1D, -(s.ax * s.dx + s.ay * s.dy) / (s.dx * s.dx + s.dy * s.dy))))"
     return f"array_min(transform(transform({local}, s -> named_struct('s', s, 't', {along})), p -> sqrt(pow(p.s.ax + p.t * p.s.dx, 2) + pow(p.s.ay + p.t * p.s.dy, 2))))"
@@ -213,7 +213,7 @@ def line_buffers(lines: DataFrame) -> DataFrame:
     """
     segments = F.expr("if(size(line) = 1, array(named_struct('a', line[0], 'b', line[0])), transform(sequence(1, size(line) - 1), i -> named_struct('a', line[i - 1], 'b', line[i])))")
     own = lines.where("size(line) > 0").withColumn("_seg", F.explode(segments))
-    east, north = _meters("((_seg.a.lat + _seg.b.lat) / 2)")
+    east, north = meters_a_degree("((_seg.a.lat + _seg.b.lat) / 2)")
     own = own.withColumn("_east", F.expr(east)).withColumn("_north", F.expr(north))
     own = own.withColumn("_turn", F.expr("atan2((_seg.b.lat - _seg.a.lat) * _north, (_seg.b.lon - _seg.a.lon) * _east)"))
     half = f"transform(sequence(0, {CHORDS}), i -> named_struct('lon', $p.lon + radius_m * cos(_turn + $f + i * pi() / {CHORDS}) / _east, 'lat', $p.lat + radius_m * sin(_turn + $f + i * pi() / {CHORDS}) / _north))"

@@ -731,6 +731,29 @@ def g5(spark, d):
     return geo.buffer_lines(lines).select("p_partkey", "radius_m")
 
 
+def _metres_sql(lat: str) -> tuple[str, str]:
+    return tuple(x.replace("radians(lat)", f"radians({lat})") for x in (_EAST, _NORTH))
+
+
+def _buffer_area_sql(length: str) -> str:
+    """A rectangle of both sides of a segment and a polygon of 32 corners around its ends, in square metres."""
+    return f"(2 * r * {length} + 16 * r * r * sin(pi() / 16))"
+
+
+@query(
+    "G5_line_buffers",
+    f"""WITH p AS (SELECT s_suppkey AS line_id, 35 + (s_suppkey * 11 % 80) / CAST(10 AS DOUBLE) AS y, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 75 END AS DOUBLE) AS r FROM supplier)
+    SELECT line_id, CAST(2 AS BIGINT) AS polygons, round({_buffer_area_sql('0.03 * ' + _metres_sql('y')[0])} + {_buffer_area_sql('0.02 * ' + _metres_sql('(y + 0.01)')[1])}) AS area_m2 FROM p""",
+    False,
+)
+def g5_polygons(spark, d):
+    line = F.transform("path", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    wide = geo.line_buffers(geo.buffer_lines(lines(spark, d).withColumn("line", line)))
+    own = wide.withColumn("b", geo.ring_box())
+    east, north = (F.expr(x) for x in geo.meters_a_degree("(b.south + b.north) / 2"))
+    return own.groupBy("line_id").agg(F.count("*").alias("polygons"), F.round(F.sum(F.abs(ring_area()) * east * north)).alias("area_m2"))
+
+
 @query("G6_fclass_filter", "SELECT p_partkey, p_type AS fclass FROM part WHERE p_type IN ('ECONOMY', 'STANDARD')", False)
 def g6(spark, d):
     return geo.fclass_filter(table(spark, d, "part").select("p_partkey", F.col("p_type").alias("fclass")), ["ECONOMY", "STANDARD"])
@@ -1194,11 +1217,16 @@ def a8(spark, d):
     return rollups.feed_health(providers, feed(spark, d), day("2024-01-01"), now()).withColumn("last_message_s", F.round("last_message_s", 6))
 
 
-@query("A9_deadletter_rate", _window_sql("(SELECT received_at, 'stream_' || event_id % 3 AS stream, CASE WHEN event_id % 2 = 0 THEN 'invalid-json' ELSE 'failed' END AS reason FROM feed)", "received_at", "stream, reason"))
+_DEAD_SQL = """(SELECT received_at, 'events' AS stream, 'invalid-json' AS reason FROM feed WHERE event_id % 13 <> 0 AND event_id % 8 = 0
+  UNION ALL SELECT max(received_at), 'events', 'failed' FROM feed GROUP BY user_id HAVING count(*) >= 60)"""
+
+
+@query("A9_deadletter_rate", _window_sql(_DEAD_SQL, "received_at", "stream, reason"))
 def a9(spark, d):
-    i = F.col("event_id")
-    rows = feed(spark, d).select("received_at", F.concat(F.lit("stream_"), (i % 3).cast("string")).alias("stream"), F.when(i % 2 == 0, "invalid-json").otherwise("failed").alias("reason"))
-    return _hourly(rows, "stream", "reason")
+    """What malformed records and exhausted attempts put into quarantine, by hour."""
+    malformed = quarantine.split_malformed(log_of(spark, d), "events", "writer")[1].select(F.col("first_failed_at").alias("received_at"), F.col("original_stream").alias("stream"), "reason")
+    given_up = quarantine.account_failures(failures_of(spark, d), 60).where("outcome = 'quarantine'").select(F.col("last_failed_at").alias("received_at"), "stream", F.lit("failed").alias("reason"))
+    return _hourly(malformed.unionAll(given_up), "stream", "reason")
 
 
 _BOUNDS = [60.0, 120.0, 300.0, 600.0, 900.0]
