@@ -103,6 +103,34 @@ def test_near_duplicates_of_edited_copies(spark, with_base):
     expect(neardup.near_duplicates(df), ("doc_id", "n_shingles", "component_id", "kept"), brute_groups(rows))
 
 
+@pytest.mark.parametrize("families", [2, 5])
+def test_pairs_of_families_grow_with_their_members(spark, monkeypatch, families):
+    """Families of near-copies, each just under the threshold to the others: pairs in proportion to documents, none lost."""
+
+    def family_rows(size):
+        rng = np.random.default_rng(size)
+        shared = [f"s{i}" for i in range(190)]
+        rows = []
+        for f in range(families):
+            base = shared + [f"f{f}_{i}" for i in range(32)]
+            for _ in range(size):
+                own = list(base)
+                own[int(rng.integers(0, len(own)))] = f"x{rng.integers(0, 10**9)}"
+                rows.append((len(rows), " ".join(own)))
+        return rows
+
+    confirmed, counts = neardup._confirmed, []
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, involved: counts.append(pairs.count()) or confirmed(pairs, involved))
+    made = []
+    for size in (40, 80):
+        rows = family_rows(size)
+        counts.clear()
+        expect(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), ("doc_id", "n_shingles", "component_id", "kept"), brute_groups(rows))
+        made.append(sum(counts))
+        assert max(counts) <= len(rows), counts
+    assert made[1] <= 2.5 * made[0]
+
+
 def test_near_duplicates_of_rows_without_id(spark):
     df = spark.createDataFrame([(None, PASSAGE), (4, PASSAGE), (None, PASSAGE), (3, PASSAGE + " x")], "doc_id long, text string")
     expect(neardup.near_duplicates(df), ("doc_id", "component_id", "kept"), [(None, None, True)] * 2 + [(4, 3, False), (3, 3, True)])

@@ -6,13 +6,15 @@ SUBKEYS ** 2 tables need 2 * SUBKEYS * ROWS minima. At similarity 0.75 a pair
 meets in no table with probability 0.0009. Candidates are compared on their full
 shingle sets.
 
-Groups of copies are never paired off. Equal sets collapse first. Then each key
-offers its members one hub, and a document meets the best hub of its keys, so
-there are no more pairs than documents. A hub is the member with the most
-key-mates over all its keys: an original has more of them than its edited copies
-have, so this links most of a group. Keys that still hold
-several components leave documents open; of these, pairs that exact bounds on the
-sets cannot rule out are compared.
+Groups of copies are never paired off. Equal sets collapse first. Then rounds of
+at most one pair a document link what is alike. The first round goes by stricter
+keys, of four sub-keys each: these tell families of near-copies apart that share
+table keys, and each document meets the first member of its fullest strict key.
+In later rounds a document meets the best member of another component that its
+table keys offer and that it has not met: the one with the most key-mates over all
+its keys. Rounds end when one links nothing. Keys that still hold several
+components leave documents open; of these, pairs that exact bounds on the sets
+cannot rule out are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SHINGLE = 5
 PERCENT = 75
 SUBKEYS = 14
 ROWS = 3
+#: Rounds by table keys at the most; what they leave goes to the exact bounds.
+ROUNDS = 4
 #: Open documents of one component that have a core of common shingles, at the least.
 CORE_LEAST = 8
 #: A much-wanted hub is copied, so that each copy has about so many pairs.
@@ -165,13 +169,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = _members(reps)
     involved = _involved(rows, members.select(F.col("rep").alias("doc_id")).distinct())
-    tried = written(_proposals(members), "pairs")
+    tried = written(_first_pairs(reps), "pairs")
     links = _confirmed(tried, involved)
     labels = components(links)
+    for _ in range(ROUNDS):
+        pairs = written(_partners(_open(members, labels), tried), "pairs")
+        if not pairs.limit(1).count():
+            break
+        more = _confirmed(pairs, involved)
+        tried = written(tried.union(pairs), "tried")
+        if not more.limit(1).count():
+            break
+        links = written(links.union(more), "links")
+        labels = components(links, labels)
 
-    rest = written(_open(members, labels), "open")
+    rest = written(_open(members, labels).select("rep", "comp").distinct(), "open")
     pairs = written(_across(rest, involved), "pairs")
-    if pairs.count():
+    if pairs.limit(1).count():
         links = written(links.union(_confirmed(pairs, involved)), "links")
         labels = components(links, labels)
 
@@ -197,20 +211,39 @@ def _members(reps: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, comp) of the members of keys that still hold several components."""
-    known = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    """(key, rep, degree, comp) of the members of keys that hold several components."""
+    known = members.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", "degree", F.coalesce("comp", "rep").alias("comp"))
     known = written(known, "known")
     mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
-    return known.join(mixed.hint("merge"), "key").select("rep", "comp").distinct()
+    return known.join(mixed.hint("merge"), "key").select("key", "rep", "degree", "comp")
 
 
-def _proposals(members: DataFrame) -> DataFrame:
-    """One pair (a, b) for each document b that is not itself the best hub of all its keys: with the best one, of ties the smallest."""
-    hubs = written(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"))).alias("x")).select("key", "x"), "hubs")
-    best = members.select("key", "rep").join(hubs.hint("merge"), "key").groupBy("rep").agg(F.max("x").alias("x"))
+def _first_pairs(reps: DataFrame) -> DataFrame:
+    """One pair (a, b) for each document b that shares a strict key: with the smallest member of the fullest one."""
+    k = F.col("keys")
+    at = [(i, (i + 1) % SUBKEYS, SUBKEYS + i, SUBKEYS + (i + 1) % SUBKEYS) for i in range(SUBKEYS)] + [(i, (i + 2) % SUBKEYS, SUBKEYS + (i + 3) % SUBKEYS, SUBKEYS + (i + 5) % SUBKEYS) for i in range(SUBKEYS)]
+    strict = written(reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(n), *[k[i] for i in four]) for n, four in enumerate(at)])).alias("key")), "strict")
+    full = written(strict.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "full")
+    best = strict.join(full.hint("merge"), "key").groupBy("rep").agg(F.max(F.struct("n", (-F.col("low")).alias("back"))).alias("x"))
     return best.select((-F.col("x.back")).alias("a"), F.col("rep").alias("b")).where("a <> b")
 
 
+def _partners(open_: DataFrame, tried: DataFrame) -> DataFrame:
+    """One pair (a, b) for each open document b: with the best member of another component that its keys offer and that it has not met.
+
+    A key offers the best member of all and the best one of another component; of ties the smallest is best.
+    """
+    open_ = written(open_, "mixed")
+    heads = written(open_.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"))).alias("x")), "heads")
+    first = written(heads.groupBy("key").agg(F.max(F.struct("x", "comp")).alias("one")), "first")
+    second = heads.join(first.hint("merge"), "key").where(F.col("comp") != F.col("one.comp")).groupBy("key", "one").agg(F.max(F.struct("x", "comp")).alias("two"))
+    offers = written(second, "offers")
+    met = tried.groupBy(F.col("b").alias("rep")).agg(F.collect_list("a").alias("met"))  # one for each round so far
+    both = open_.join(offers.hint("merge"), "key").select("rep", "comp", F.explode(F.array("one", "two")).alias("offer")).where(F.col("offer.comp") != F.col("comp"))
+    fresh = both.join(met.hint("merge"), "rep", "left").where(F.col("met").isNull() | ~F.array_contains("met", -F.col("offer.x.back")))
+    return fresh.groupBy("rep").agg(F.max("offer.x").alias("x")).select((-F.col("x.back")).alias("a"), F.col("rep").alias("b"))
+
+
 def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of documents in some shared key, written once for all rounds; one text for each id."""
     ids = written(ids, "ids")
