@@ -462,6 +462,44 @@ def test_top_k(spark):
     expect(topk.top_k(df), ("query_id", "rank", "vec_id", "score"), want)
 
 
+@pytest.mark.parametrize("scale", [64, 10**5, 10**8])
+def test_top_k_block_rules_out_rows_by_its_segments(scale):
+    """Small and huge values: what the segments leave holds the best, and most other rows are ruled out before all segments are taken."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 1, (40, 32))
+    x = np.floor(scale * (centre[np.arange(4000) % 40] + rng.normal(0, 0.2, (4000, 32)))).astype(np.int64)
+    x[7] = 0
+    ids = np.arange(4000) * 3
+    index = topk.Block(ids, x)
+    assert len(index.left) == len(index.level) - 1 and index.cut[-1] == len(index.rows) <= np.count_nonzero(x)
+    asked = np.arange(0, 4000, 200)
+    possible = index._possible(ids[asked], x[asked], 20, 500)
+    for i, rows, (got, scores) in zip(asked, possible, index.search(ids[asked], x[asked], 20)):
+        score = x @ x[i]
+        best = [j for j in np.lexsort((ids, -score)) if j != i][:20]
+        assert set(best) <= set(rows.tolist()) and len(rows) <= 500
+        assert (got.tolist(), scores.tolist()) == (ids[best].tolist(), score[best].tolist())
+    taken = []
+
+    class Rows(np.ndarray):
+        def __getitem__(self, at):
+            taken.append(1)
+            return np.asarray(self)[at]
+
+    index.rows = index.rows.view(Rows)
+    list(index.search(ids[asked], x[asked], 20))
+    assert 0 < len(taken) < len(index.dim)
+
+
+def test_top_k_of_equal_and_zero_vectors():
+    x = np.zeros((1000, 4), np.int64)
+    x[500:] = 3
+    index = topk.Block(np.arange(1000), x)
+    (ids, scores), (none, zero) = index.search(np.array([500, 0]), x[[500, 0]], 20)
+    assert ids.tolist() == [*range(501, 521)] and set(scores.tolist()) == {36}
+    assert none.tolist() == [*range(1, 21)] and set(zero.tolist()) == {0}
+
+
 def test_empty_tables(spark, labels):
     none = empty(spark)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")

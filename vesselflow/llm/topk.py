@@ -1,11 +1,13 @@
-"""Exact top-k by inner product over an impact-ordered index, score at a time.
-
-Vectors are cut into index blocks. A block keeps its postings in segments by
-quantised impact: the highest bits of every value first, then the next ones. A
-group of queries takes the segments of all dimensions level by level from the
-highest impact down, adding up quantised scores. A query stops when the impacts
-left prove that all but a few vectors cannot reach the k-th sum so far; those
-few are rescored exactly.
+"""Exact top-k by inner product over an impact-ordered posting index, score at a time.
+
+Vectors are cut into index blocks. A block keeps, for each dimension, postings in
+segments of one quantised impact: the rows whose value there has that size and
+sign. Queries take the segments of all dimensions by descending impact and add up
+impact times query component. A query stops when what its vectors have in segments
+not taken yet, bounded by the norms of query and remainder, proves that all but a
+few vectors cannot reach the k-th sum so far; segments of lower impact are then
+skipped for it, and the few are rescored exactly. Without a proof it goes on to
+the last segment.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ BLOCK = 8192
 GROUP = 4096
 #: Queries of a group that a block scores at once.
 AT_ONCE = 256
-#: How many of a value's highest bits the levels have reached; a last level has the rest.
-LEVEL_BITS = (2, 3, 4, 5)
+#: Impacts are cut to so many bits; what is cut off counts as remainder.
+IMPACT_BITS = 8
+#: A proof is tried when the remainders' mean norm has fallen to this part of its last one.
+TRY_EACH = 0.75
+#: Values of a block; vectors wider than 64 components get blocks of fewer rows.
+BLOCK_VALUES = 64 * BLOCK
 #: The search stops when at most one in so many vectors is left to rescore.
 RESCORE_EACH = 8
 
@@ -44,6 +50,7 @@ def _pack(whole: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        table = table.sort_by("vec_id")
         rows = table.column("q").to_pylist()
         width = max(map(len, rows))
         x = np.zeros((len(rows), width), np.int64)
@@ -61,24 +68,33 @@ def _unpack(vectors: bytes, n: int, width: int) -> np.ndarray:
 
 
 class Block:
-    """One index block: for each impact level, from the highest, the part of every posting's value at that level.
-
-    A dimension's values count from the block's lowest, so all parts are
-    positive. Level l holds the bits of the value from shift l up to the shift
-    of the level before.
-    """
+    """One index block: posting segments by descending impact, and the norm of each vector's remainder below each impact."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.low = x.min(axis=0)
-        whole = x - self.low
-        self.high = whole.max(axis=0)
-        bits = int(self.high.max()).bit_length()
-        self.levels, done = [], np.zeros_like(whole)
-        for shift in sorted({max(0, bits - b) for b in LEVEL_BITS} | {0}, reverse=True):
-            upto = whole >> shift << shift
-            self.levels.append((upto - done, np.minimum(self.high, (1 << shift) - 1)))
-            done = upto
+        size = np.abs(x)
+        self.most = int(size.max(initial=0))
+        shift = max(0, self.most.bit_length() - IMPACT_BITS)
+        row, dim = np.nonzero(size >> shift)
+        value = x[row, dim]
+        impact = np.abs(value) >> shift
+        # Segments: impact from the highest, dimension, sign; rows in order within each.
+        order = np.lexsort((row, value > 0, dim, -impact))
+        row, dim, value, impact = row[order], dim[order], value[order], impact[order]
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (impact[1:] != impact[:-1]) | (dim[1:] != dim[:-1]) | ((value[1:] > 0) != (value[:-1] > 0))
+        cut = np.flatnonzero(new)
+        self.rows, self.cut, self.dim = row, cut, dim[cut[:-1]]
+        self.score = np.where(value[cut[:-1]] > 0, 1, -1) * (impact[cut[:-1]] << shift)
+        # The levels: segments of one impact, and what is left of each vector after them.
+        self.level = np.flatnonzero(np.diff(impact[cut[:-1]], prepend=-1, append=-1)) if len(row) else np.zeros(1, np.int64)
+        left = (x.astype(np.float64) ** 2).sum(axis=1)
+        cut_off = value - np.sign(value) * (impact << shift)
+        saved = value.astype(np.float64) ** 2 - cut_off.astype(np.float64) ** 2
+        self.left = []
+        for a, b in zip(cut[self.level[:-1]], cut[self.level[1:]]):
+            left = left - np.bincount(row[a:b], saved[a:b], len(x))
+            self.left.append(np.sqrt(np.maximum(left, 0)))
 
     def search(self, wanted: np.ndarray, asked: np.ndarray, k: int):
         """For each query id and vector: ids and scores that hold the block's best k, the query's own row left out."""
@@ -87,32 +103,45 @@ class Block:
         common = min(width, asked.shape[1])
         q[:, :common] = asked[:, :common]
         few = max(4 * k, n // RESCORE_EACH)
-        can = np.ones((len(q), n), bool)
-        if n > few:
-            size = np.abs(q).sum(axis=1).max() * max(int(self.high.max()), 1)
-            kind = np.float32 if size < 1 << 24 else np.float64 if size < 1 << 53 else np.int64
-            sums, open_ = np.zeros((len(q), n), kind), np.arange(len(q))
-            own = wanted[:, None] == self.ids[None, :]
-            lowest = np.array(-size - 1).astype(kind)
-            for part, left in self.levels:
-                sums[open_] += q[open_].astype(kind) @ part.T.astype(kind)
-                seen = np.where(own[open_], lowest, sums[open_])
-                # What is left adds to any two vectors' sums within this of each other.
-                apart = (np.abs(q[open_]) * left).sum(axis=1)
-                reach = np.partition(seen, n - k, axis=1)[:, n - k]
-                may = sums[open_] >= (reach - apart)[:, None].astype(kind)
-                proved = (may.sum(axis=1) <= few) & (reach > lowest)
-                can[open_[proved]] = may[proved]
-                open_ = open_[~proved]
-                if not len(open_):
-                    break
-        for i in range(len(q)):
-            rows = np.flatnonzero(can[i])
+        can = self._possible(wanted, q, k, few) if n > few else [np.arange(n)] * len(q)
+        for i, rows in enumerate(can):
             rows = rows[self.ids[rows] != wanted[i]]
             score = self.x[rows] @ q[i]
             best = np.lexsort((self.ids[rows], -score))[:k]
             yield self.ids[rows][best], score[best]
 
+    def _possible(self, wanted: np.ndarray, q: np.ndarray, k: int, few: int) -> list[np.ndarray]:
+        """For each query the rows that its segments taken cannot rule out."""
+        n = len(self.x)
+        norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+        kind = np.float32 if np.abs(q.astype(np.float64)).sum(axis=1).max() * max(self.most, 1) < 1 << 24 else np.float64
+        # A wrong digit of such sums is part of the margin below.
+        sums, open_, can = np.zeros((n, len(q)), kind), np.arange(len(q)), [np.arange(n)] * len(q)
+        weight = q.T.astype(kind)
+        own = np.searchsorted(self.ids, wanted)
+        own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == wanted), own, -1)
+        tried = np.inf
+        for at, left in enumerate(self.left):
+            for s in range(self.level[at], self.level[at + 1]):
+                sums[self.rows[self.cut[s] : self.cut[s + 1]]] += self.score[s] * weight[self.dim[s]]
+            last = at + 1 == len(self.left)
+            if left.mean() > TRY_EACH * tried and not last:
+                continue
+            tried = left.mean()
+            bound = left[:, None] * norm[open_] * (1 + 1e-6) + 1 + 1e-12 * norm[open_] * self.most * self.x.shape[1]
+            least = sums - bound
+            here = np.flatnonzero(own[open_] >= 0)
+            least[own[open_][here], here] = -np.inf
+            may = sums + bound >= np.partition(least, n - k, axis=0)[n - k]
+            proved = (may.sum(axis=0) <= few) | last
+            for j in np.flatnonzero(proved):
+                can[open_[j]] = np.flatnonzero(may[:, j])
+            if proved.any():
+                open_, sums, weight = open_[~proved], np.ascontiguousarray(sums[:, ~proved]), np.ascontiguousarray(weight[:, ~proved])
+            if not len(open_):
+                break
+        return can
+
 
 def _cells(k: int):
     def run(batches):
@@ -141,12 +170,14 @@ def top_k(vectors: DataFrame, k: int = K, query_each: int = QUERY_EACH, block: i
     are null, empty, or hold null or non-finite components take no part; missing
     components of a shorter vector count as 0. A row that repeats a vec_id is
     one vector, any of its rows. Components beyond 2 ** 63 / 64 in size are beyond
-    what the index holds. Columns other than vec_id and embedding, whatever their
+    what the index holds, and scores beyond 64 bits what a score holds. Columns other than vec_id and embedding, whatever their
     names, are left out. An empty table gives no rows.
     """
     whole = written(quantised(vectors).dropDuplicates(["vec_id"]), "vectors")
     asked = whole.where(F.col("vec_id") % query_each == 0)
-    blocks, groups = (max(1, -(-df.count() // size)) for df, size in ((whole, block), (asked, group)))
+    n, width = whole.agg(F.count("*"), F.max(F.size("q"))).first()
+    rows = max(256, min(block, BLOCK_VALUES // (width or 1)))
+    blocks, groups = max(1, -(-n // rows)), max(1, -(-asked.count() // group))
     index = written(_pack(whole, blocks), "index")
     queries = written(_pack(asked, groups), "queries").select(F.col("part").alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("bytes").alias("q_bytes"))
     cells = index.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
