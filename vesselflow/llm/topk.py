@@ -31,6 +31,8 @@ AT_ONCE = 256
 IMPACT_BITS = 8
 #: A proof is tried when the remainders' mean norm has fallen to this part of its last one.
 TRY_EACH = 0.75
+#: Queries for which a proof is tried before the others.
+TRY_FIRST = 16
 #: Values of a block; vectors wider than 64 components get blocks of fewer rows.
 BLOCK_VALUES = 64 * BLOCK
 #: The search stops when at most one in so many vectors is left to rescore.
@@ -110,6 +112,17 @@ class Block:
             best = np.lexsort((self.ids[rows], -score))[:k]
             yield self.ids[rows][best], score[best]
 
+    def _ruled(self, sums: np.ndarray, left: np.ndarray, norm: np.ndarray, own: np.ndarray, k: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the rows that may still be among its best k, and whether they are few."""
+        bound = norm[:, None] * (left * (1 + 1e-6) + 1e-12 * self.most * self.x.shape[1]) + 1
+        got = sums.T.astype(np.float64)
+        least = got - bound
+        here = np.flatnonzero(own >= 0)
+        least[here, own[here]] = -np.inf
+        got += bound
+        may = got >= np.partition(least, len(left) - k, axis=1)[:, len(left) - k, None]
+        return may, may.sum(axis=1) <= few
+
     def _possible(self, wanted: np.ndarray, q: np.ndarray, k: int, few: int) -> list[np.ndarray]:
         """For each query the rows that its segments taken cannot rule out."""
         n = len(self.x)
@@ -128,14 +141,13 @@ class Block:
             if left.mean() > TRY_EACH * tried and not last:
                 continue
             tried = left.mean()
-            bound = left[:, None] * norm[open_] * (1 + 1e-6) + 1 + 1e-12 * norm[open_] * self.most * self.x.shape[1]
-            least = sums - bound
-            here = np.flatnonzero(own[open_] >= 0)
-            least[own[open_][here], here] = -np.inf
-            may = sums + bound >= np.partition(least, n - k, axis=0)[n - k]
-            proved = (may.sum(axis=0) <= few) | last
+            # Where a few queries have no proof, the others wait for the next try.
+            if not last and not self._ruled(sums[:, :TRY_FIRST], left, norm[open_[:TRY_FIRST]], own[open_[:TRY_FIRST]], k, few)[1].any():
+                continue
+            may, proved = self._ruled(sums, left, norm[open_], own[open_], k, few)
+            proved |= last
             for j in np.flatnonzero(proved):
-                can[open_[j]] = np.flatnonzero(may[:, j])
+                can[open_[j]] = np.flatnonzero(may[j])
             if proved.any():
                 open_, sums, weight = open_[~proved], np.ascontiguousarray(sums[:, ~proved]), np.ascontiguousarray(weight[:, ~proved])
             if not len(open_):
