@@ -7,6 +7,7 @@ longer document, which is handled whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers stay for later stages; where the C library can't, what Arrow holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` text bytes; one longer document stands alone."""
     for batch in batches:
@@ -46,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, texts, written
+from ._text import give_back
 from .tokens import encoded, tokenizer_path
 
 LENGTH = 4096
@@ -106,6 +107,7 @@ def pack(cut: DataFrame, length: int = LENGTH, most: int = OPEN, task_sequences:
             own = np.array(placed, np.int64).reshape(-1, 2)
             keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*keep, pa.array(own[:, 0] + base), pa.array(own[:, 1])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        give_back()
 
     spread = cut.repartition(tasks, "mixed").sortWithinPartitions("mixed", "doc_id", "piece", "start")
     return spread.drop("mixed").mapInArrow(run, PACKED)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, texts
-from ._text import mix, ngrams
+from ._text import give_back, mix, ngrams
 
 #: The bound of training: so many labelled rows of each label, the first ones by a hash of their id, with their whole texts.
 SAMPLE_ROWS = 1500
@@ -241,6 +241,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT) ->
                 part = batch.slice(i, 200)
                 score = own.probability(own.features(part.column("text").to_pylist()))
                 yield pa.record_batch([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        give_back()
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
