@@ -67,6 +67,16 @@ def square(low, high):
     return [[(low, low), (high, low), (high, high), (low, high), (low, low)]]
 
 
+POLYGONS = "polygon_id long, layer string, version_id string, rings array<array<struct<lon:double,lat:double>>>"
+
+
+def test_verdict_within_a_rounding_of_a_cells_border(spark):
+    box = lambda w, e: [[(w, 43.3), (e, 43.3), (e, 44.2), (w, 44.2), (w, 43.3)]]
+    df = spark.createDataFrame([(1, 14.0, 43.6)], "seq long, lon double, lat double")
+    reason = lambda rings: geo.geo_verdict(df, spark.createDataFrame([(1, "manual_allow", "v", rings)], POLYGONS), "v").first().reason
+    assert [reason(box(13.1, 14.000000000000002)), reason(box(13.1, 13.999999999999998)), reason(box(14.000000000000002, 15.1))] == ["manual_allow", "not_land", "not_land"]
+
+
 def test_verdict_order_and_holes(spark):
     rings = "polygon_id long, layer string, version_id string, rings array<array<struct<lon:double,lat:double>>>"
     polygons = spark.createDataFrame([(1, "land", "v", square(0.0, 1.0)), (2, "navigable_water", "v", square(0.4, 0.6)), (3, "manual_allow", "v", square(0.45, 0.55)), (4, "land", "v", square(3.0, 4.0) + square(3.2, 3.8))], rings)

@@ -94,3 +94,12 @@ def test_pieces_and_tiles_hold_the_same_places(seed):
         want = np.ones(here.sum(), bool) if own == [] else holds(own or [], points[here])
         assert (want == inside[here]).all()
         assert len(edges) <= sum(map(len, rings))
+
+
+def test_tiles_keep_slivers_and_gaps_at_a_cells_border():
+    """A polygon may end, or begin, a rounding away from a cell's border, on which places lie."""
+    box = lambda w, e: np.array([[w, 43.3], [e, 43.3], [e, 44.0], [w, 44.0]])
+    tiles = {t[:2]: t[2] for t in P.tiles([box(13.1, 14.000000000000002)], 0.5, 0.01, 0.01)}
+    assert holds(tiles[28, 87], np.array([[14.0, 43.6]])).all() and not holds(tiles[28, 87], np.array([[14.000000000000004, 43.6]])).any()
+    tiles = {t[:2]: t[2] for t in P.tiles([box(14.000000000000002, 15.0)], 0.5, 0.01, 0.01)}
+    assert tiles[28, 87] != [] and not holds(tiles[28, 87], np.array([[14.0, 43.6]])).any() and tiles[29, 87] == []
