@@ -77,6 +77,18 @@ def test_verdict_within_a_rounding_of_a_cells_border(spark):
     assert [reason(box(13.1, 14.000000000000002)), reason(box(13.1, 13.999999999999998)), reason(box(14.000000000000002, 15.1))] == ["manual_allow", "not_land", "not_land"]
 
 
+def test_matching_tests_a_place_and_a_shape_once(spark):
+    """Copies of places and shapes all get their pairs, also across cells, on borders and near a hole."""
+    polygons = spark.createDataFrame([(i, "land", "v", square(0.1, 0.3)) for i in range(30)] + [(40, "land", "v", square(0.0, 3.0) + square(1.0, 2.0)), (41, "land", "v", None)], POLYGONS)
+    places = [(0.2, 0.2), (0.2, 0.2), (0.3, 0.1), (1.5, 1.5), (1.0, 1.5), (3.0, 3.0), (3.05, 3.0), (None, 1.0), (float("nan"), 0.2)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "seq long, lon double, lat double")
+    pairs = lambda *near: sorted((r.seq, r.polygon_id) for r in geo.matching(points, polygons, *near).collect())
+    want = [(i, k) for i in range(3) for k in range(30)] + [(i, 40) for i in (0, 1, 2, 4, 5)]
+    assert pairs(geo.covers()) == sorted(want)
+    near = pairs(geo.within_distance(10_000), 10_000 / geo.METERS_A_DEGREE)
+    assert [p for p in near if p[1] == 40] == [(4, 40), (5, 40), (6, 40)] and (2, 7) in near
+
+
 def test_verdict_order_and_holes(spark):
     rings = "polygon_id long, layer string, version_id string, rings array<array<struct<lon:double,lat:double>>>"
     polygons = spark.createDataFrame([(1, "land", "v", square(0.0, 1.0)), (2, "navigable_water", "v", square(0.4, 0.6)), (3, "manual_allow", "v", square(0.45, 0.55)), (4, "land", "v", square(3.0, 4.0) + square(3.2, 3.8))], rings)
