@@ -77,6 +77,17 @@ def test_verdict_within_a_rounding_of_a_cells_border(spark):
     assert [reason(box(13.1, 14.000000000000002)), reason(box(13.1, 13.999999999999998)), reason(box(14.000000000000002, 15.1))] == ["manual_allow", "not_land", "not_land"]
 
 
+def test_index_keeps_no_tile_without_effect(spark):
+    """Equal polygons count once; covered cells keep only what a verdict needs."""
+    rows = [(i, "land", "v", square(0.1, 0.3)) for i in range(50)] + [(60, "manual_allow", "v", square(1.0, 2.0)), (61, "land", "v", square(1.1, 1.9)), (62, "navigable_water", "v", square(1.2, 1.8)), (63, "land", "v", square(3.0, 4.0)), (64, "land", "v", square(3.1, 3.2))]
+    tiles = {(r.cx, r.cy): sorted((t.layer, t.whole) for t in r.tiles) for r in geo.geo_index(spark.createDataFrame(rows, POLYGONS), "v").collect()}
+    assert tiles[0, 0] == [("land", False)] and tiles[2, 2] == tiles[3, 3] == [("manual_allow", True)]
+    assert tiles[6, 6] == [("land", False), ("land", True)] and tiles[7, 7] == [("land", True)]
+    df = spark.createDataFrame([(1, 0.2, 0.2), (2, 1.5, 1.5), (3, 3.15, 3.15), (4, 3.101, 3.15), (5, 3.7, 3.7)], "seq long, lon double, lat double")
+    got = [r.reason for r in geo.geo_verdict(df, spark.createDataFrame(rows, POLYGONS), "v").orderBy("seq").collect()]
+    assert got == ["deep_land", "manual_allow", "deep_land", "coastal_tolerance", "deep_land"]
+
+
 def test_matching_tests_a_place_and_a_shape_once(spark):
     """Copies of places and shapes all get their pairs, also across cells, on borders and near a hole."""
     polygons = spark.createDataFrame([(i, "land", "v", square(0.1, 0.3)) for i in range(30)] + [(40, "land", "v", square(0.0, 3.0) + square(1.0, 2.0)), (41, "land", "v", None)], POLYGONS)
