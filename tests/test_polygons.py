@@ -103,3 +103,19 @@ def test_tiles_keep_slivers_and_gaps_at_a_cells_border():
     assert holds(tiles[28, 87], np.array([[14.0, 43.6]])).all() and not holds(tiles[28, 87], np.array([[14.000000000000004, 43.6]])).any()
     tiles = {t[:2]: t[2] for t in P.tiles([box(14.000000000000002, 15.0)], 0.5, 0.01, 0.01)}
     assert tiles[28, 87] != [] and not holds(tiles[28, 87], np.array([[14.0, 43.6]])).any() and tiles[29, 87] == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_settled_polygons_are_as_cut_one_by_one(seed):
+    """Boxes, notches, holes, crossed and odd rings, at, in and beyond two boxes."""
+    rng = np.random.default_rng(seed)
+    shapes = [[SQUARE(0, 1)], [SQUARE(0, 1)[::-1]], [SQUARE(0, 1), SQUARE(0.25, 0.75)], [SQUARE(0, 1), SQUARE(1, 2)], [np.array([[0, 0], [1, 1], [1, 0], [0, 1]], float)], [np.array([[0, 0], [1, 0], [2, 0]], float)],
+              [np.array([[0, 0], [1, np.nan], [0, 1]])], [], [np.zeros((0, 2))], [np.array([[0, 0], [1, 0], [1, 1], [0.75, 1], [0.75, 0.5], [0.25, 0.5], [0.25, 1], [0, 1]])]]
+    polygons = [[r * rng.choice([0.5, 1.0]) + rng.integers(-4, 9, 2) / 2 for r in shapes[k]] for k in rng.integers(0, len(shapes), 300)]
+    polygons += [[rng.uniform(0, 3, (n, 2))] for n in rng.integers(3, 7, 50)]
+    boxes = [(0.0, 0.0, 2.0, 3.0), (2.0, 1.0, 4.0, 2.5)]
+    done = P.settled(polygons, boxes, 256)
+    assert len(done) > 100
+    for i, got in done.items():
+        want = list(P.pieces(polygons[i], boxes, 256))
+        assert [[r.tolist() for r in p] for p in got] == [[r.tolist() for r in p] for p in want]
