@@ -131,6 +131,13 @@ def test_pairs_of_families_grow_with_their_members(spark, monkeypatch, families)
     assert made[1] <= 2.5 * made[0]
 
 
+def test_partners_come_to_the_best_member(spark):
+    """A key's best member is offered to the other components only: a large one does not go to each small one's."""
+    open_ = spark.createDataFrame([(1, i, 100 - i, 0) for i in range(50)] + [(1, 60, 5, 60), (1, 61, 5, 61)], "key long, rep long, degree long, comp long")
+    tried = spark.createDataFrame([(0, 61)], "a long, b long")
+    assert [tuple(r) for r in neardup._partners(open_, tried).collect()] == [(0, 60)]
+
+
 def test_near_duplicates_of_rows_without_id(spark):
     df = spark.createDataFrame([(None, PASSAGE), (4, PASSAGE), (None, PASSAGE), (3, PASSAGE + " x")], "doc_id long, text string")
     expect(neardup.near_duplicates(df), ("doc_id", "component_id", "kept"), [(None, None, True)] * 2 + [(4, 3, False), (3, 3, True)])

@@ -10,11 +10,11 @@ Groups of copies are never paired off. Equal sets collapse first. Then rounds of
 at most one pair a document link what is alike. The first round goes by stricter
 keys, of four sub-keys each: these tell families of near-copies apart that share
 table keys, and each document meets the first member of its fullest strict key.
-In later rounds a document meets the best member of another component that its
-table keys offer and that it has not met: the one with the most key-mates over all
-its keys. Rounds end when one links nothing. Keys that still hold several
-components leave documents open; of these, pairs that exact bounds on the sets
-cannot rule out are compared.
+In later rounds a key offers its best member, the one with the most key-mates over
+all its keys, to the documents of other components, and each meets the best of those
+that it has not met. A round that links few of its pairs is the last one. Keys that
+still hold several components leave documents open; of these, pairs that exact bounds
+on the sets cannot rule out are compared.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows, small_side, texts, written
+from ._shared import BROADCAST_ROWS, arrow_rows, small_side, texts, written
 from ._text import LOWER, mix, ngrams, slices, utf8, word_hashes, words
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ SUBKEYS = 14
 ROWS = 3
 #: Rounds by table keys at the most; what they leave goes to the exact bounds.
 ROUNDS = 4
+#: A round goes before another one only if it links one in so many of its pairs.
+FRUITFUL = 10
 #: Open documents of one component that have a core of common shingles, at the least.
 CORE_LEAST = 8
 #: A much-wanted hub is copied, so that each copy has about so many pairs.
@@ -129,12 +131,14 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     if first is None:
         labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("comp"))
     else:
-        labels = nodes.join(first.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        labels = nodes.join(small_side(first), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     labels = written(labels, "labels")
+    few = labels.count() <= BROADCAST_ROWS  # so many in all rounds
+    side = lambda df: F.broadcast(df) if few else df.hint("merge")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "comp").hint("merge"), "v").select(F.col("u").alias("node"), "comp", F.lit(None).cast("long").alias("was"))
+        near = both.join(side(labels.select(F.col("node").alias("v"), "comp")), "v").select(F.col("u").alias("node"), "comp", F.lit(None).cast("long").alias("was"))
         low = near.union(labels.select("node", "comp", F.col("comp").alias("was"))).groupBy("node").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
-        jump = low.alias("x").join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")).hint("merge"), "comp", "left")
+        jump = low.alias("x").join(side(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))), "comp", "left")
         new = written(jump.select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "was"), "labels")
         labels = new.select("node", "comp")
         if not new.where("comp <> was").limit(1).count():
@@ -142,11 +146,11 @@ def components(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, involved: DataFrame) -> DataFrame:
-    """The similar ones of distinct pairs (a, b); a much-wanted `a` is copied, its pairs dealt over the copies."""
+    """The similar ones of distinct pairs (a, b), written before; a much-wanted `a` is copied, its pairs dealt over the copies."""
     copies = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")), "copies")
-    dealt = pairs.join(copies.hint("merge"), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")))
-    left = copies.join(involved.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a").select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("copy"))
-    right = dealt.join(involved.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
+    dealt = pairs.join(small_side(copies), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")))
+    left = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).join(small_side(copies), "a").select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("copy"))
+    right = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).join(small_side(dealt), "b")
     return written(right.join(left.hint("merge"), ["a", "copy"]).select("a", "b", "a_text", "b_text").mapInArrow(_similar, "a long, b long"), "links")
 
 
@@ -174,14 +178,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
     for _ in range(ROUNDS):
         pairs = written(_partners(_open(members, labels), tried), "pairs")
-        if not pairs.limit(1).count():
-            break
         more = _confirmed(pairs, involved)
-        tried = written(tried.union(pairs), "tried")
-        if not more.limit(1).count():
+        made, linked = pairs.count(), more.count()
+        if linked:
+            links = written(links.union(more), "links")
+            labels = components(links, labels)
+        if linked * FRUITFUL < made or not made:
             break
-        links = written(links.union(more), "links")
-        labels = components(links, labels)
+        tried = written(tried.union(pairs), "tried")
 
     rest = written(_open(members, labels).select("rep", "comp").distinct(), "open")
     pairs = written(_across(rest, involved), "pairs")
@@ -199,23 +203,23 @@ def _members(reps: DataFrame) -> DataFrame:
     # Sub-keys that no other set has cannot be part of a shared table key.
     sub = reps.select("rep", F.posexplode("keys").alias("slot", "sub"))
     shared = written(sub.groupBy("sub").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sub"), "shared")
-    met = sub.join(shared.hint("merge"), "sub").groupBy("rep").agg(
+    met = sub.join(small_side(shared), "sub").groupBy("rep").agg(
         F.collect_set(F.when(F.col("slot") < SUBKEYS, F.col("sub"))).alias("one"), F.collect_set(F.when(F.col("slot") >= SUBKEYS, F.col("sub"))).alias("two")
     )
     tables = met.select("rep", F.explode("one").alias("i"), "two").select("rep", "i", F.explode("two").alias("j")).select(F.xxhash64("i", "j").alias("key"), "rep")
     tables = written(tables, "keys")
     sizes = written(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = written(tables.join(sizes.hint("merge"), "key"), "members")
+    members = written(tables.join(small_side(sizes), "key"), "members")
     degrees = written(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
-    return written(members.select("key", "rep").join(degrees.hint("merge"), "rep").select("key", "rep", "degree"), "members")
+    return written(members.select("key", "rep").join(small_side(degrees), "rep").select("key", "rep", "degree"), "members")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, rep, degree, comp) of the members of keys that hold several components."""
-    known = members.join(labels.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("key", "rep", "degree", F.coalesce("comp", "rep").alias("comp"))
+    known = members.join(small_side(labels.select(F.col("node").alias("rep"), "comp")), "rep", "left").select("key", "rep", "degree", F.coalesce("comp", "rep").alias("comp"))
     known = written(known, "known")
     mixed = written(known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
-    return known.join(mixed.hint("merge"), "key").select("key", "rep", "degree", "comp")
+    return known.join(small_side(mixed), "key").select("key", "rep", "degree", "comp")
 
 
 def _first_pairs(reps: DataFrame) -> DataFrame:
@@ -229,26 +233,23 @@ def _first_pairs(reps: DataFrame) -> DataFrame:
 
 
 def _partners(open_: DataFrame, tried: DataFrame) -> DataFrame:
-    """One pair (a, b) for each open document b: with the best member of another component that its keys offer and that it has not met.
+    """One pair (a, b) for each open document b that a key offers its best member of another component which b has not met: with the best of these.
 
-    A key offers the best member of all and the best one of another component; of ties the smallest is best.
+    Of ties the smallest is best. Members of the best one's own component wait for the others to come.
     """
     open_ = written(open_, "mixed")
-    heads = written(open_.groupBy("key", "comp").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"))).alias("x")), "heads")
-    first = written(heads.groupBy("key").agg(F.max(F.struct("x", "comp")).alias("one")), "first")
-    second = heads.join(first.hint("merge"), "key").where(F.col("comp") != F.col("one.comp")).groupBy("key", "one").agg(F.max(F.struct("x", "comp")).alias("two"))
-    offers = written(second, "offers")
-    met = tried.groupBy(F.col("b").alias("rep")).agg(F.collect_list("a").alias("met"))  # one for each round so far
-    both = open_.join(offers.hint("merge"), "key").select("rep", "comp", F.explode(F.array("one", "two")).alias("offer")).where(F.col("offer.comp") != F.col("comp"))
-    fresh = both.join(met.hint("merge"), "rep", "left").where(F.col("met").isNull() | ~F.array_contains("met", -F.col("offer.x.back")))
-    return fresh.groupBy("rep").agg(F.max("offer.x").alias("x")).select((-F.col("x.back")).alias("a"), F.col("rep").alias("b"))
+    best = open_.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("back"), "comp")).alias("x"))
+    best = written(best.select("key", (-F.col("x.back")).alias("a"), F.col("x.degree").alias("mates"), F.col("x.comp").alias("most")), "best")
+    offered = open_.join(small_side(best), "key").where("comp <> most").select(F.col("rep").alias("b"), "a", "mates")
+    fresh = offered.join(small_side(tried), ["a", "b"], "left_anti")
+    return fresh.groupBy("b").agg(F.max(F.struct("mates", (-F.col("a")).alias("back"))).alias("x")).select((-F.col("x.back")).alias("a"), "b")
 
 
 def _involved(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of documents in some shared key, written once for all rounds; one text for each id."""
     ids = written(ids, "ids")
     few = rows.join(small_side(ids), "doc_id", "left_semi")
-    return written(few, "involved").dropDuplicates(["doc_id"])
+    return written(few.dropDuplicates(["doc_id"]), "involved")
 
 
 def _shingle_rows(batches):
