@@ -241,6 +241,29 @@ def test_encoding_by_word_equals_whole_texts():
     check()
 
 
+def test_a_full_memo_keeps_the_words_in_use(monkeypatch):
+    """Words of every slice are given to the tokenizer once, whatever else the memo held; rows without words and cut columns too."""
+    import pyarrow as pa
+    from vesselflow.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 200)
+    own, given = tokens.Encoder(packing.tokenizer_path()), Counter()
+    each, letters = own._each, own._letters
+    monkeypatch.setattr(own, "_each", lambda texts: given.update(texts) or each(texts))
+    monkeypatch.setattr(own, "_letters", lambda heads: given.update(heads) or letters(heads))
+    usual = [chr(97 + i) + "élan" for i in range(26)]
+    for k in range(20):
+        new = [f"{''.join(chr(97 + int(c)) for c in str(1000 + 80 * k + i))}x" for i in range(80)]
+        rows = ["cut off", " ".join(usual), None, "", " \n", " ".join(w.title() + "***," for w in usual + new), "3.5 x,y 'll ... É."]
+        ids, at = own.encode(pa.array(rows)[1:])
+        for row, a, b in zip(rows[1:], at[:-1], at[1:]):
+            assert ids[a:b].tolist() == own.tokenizer.encode(row or "", add_special_tokens=False).ids
+    assert {w: given[w] for w in usual if given[w] != 1} == {}
+    for rows in ([], [None], ["", " \t"]):
+        ids, at = own.encode(pa.array(rows, pa.string()))
+        assert len(ids) == 0 and at.tolist() == [0] * (len(rows) + 1)
+
+
 def test_best_fit_bins_close_the_fullest_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 3, 4, 9, 7, 1)] == [(0, 0), (0, 6), (1, 0), (2, 0), (3, 0), (3, 7)]
