@@ -39,3 +39,17 @@ def test_stages_on_an_empty_table(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_mixing_starts_no_python_workers(spark, capsys):
+    """Rows made in the driver are local tables, not Python RDDs, whose workers would stay in memory beside packing's; nulls and no rows too."""
+    import pyarrow as pa
+    from vesselflow.llm._shared import driver_table
+
+    made = driver_table(spark, [("a", 1), (None, 2)], of=pa.string(), size=pa.int64())
+    none = driver_table(spark, [], of=pa.string(), size=pa.int64())
+    assert [tuple(r) for r in made.collect()] == [("a", 1), (None, 2)] and none.collect() == [] and none.dtypes == [("of", "string"), ("size", "bigint")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (made, mixing.mix_sources(docs), mixing.apply_mix(docs)):
+        df.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def driver_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows made in the driver. They go by Arrow: a list of rows would start Python workers of another kind, which stay beside those of later stages."""
+    values = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(v, kind) for v, kind in zip(values, columns.values())], list(columns)))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written narrow table, marked for broadcast if it has few enough rows, else for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_side, written
+from ._shared import driver_table, small_side, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -138,7 +139,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT,
     for p, (name, n) in capacity.items():
         words = sum(routed[p].values())
         rows.append((name, words // n if n else 0, words % n if n else 0))
-    bounds = spark.createDataFrame(rows, "pattern string, passes long, rest long")
+    bounds = driver_table(spark, rows, pattern=pa.string(), passes=pa.int64(), rest=pa.int64())
 
     order, bucket = _bucket(seed)
     dealt = sized.select(_key(F.col("members")).alias("pattern"), "doc_id", "size", order.alias("h"), bucket.alias("bucket"))
@@ -175,7 +176,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("members", F.array("source")), "sizes")
     own = plan(sized)
     spark = docs.sparkSession
-    per = spark.createDataFrame([(s, own.sizes[s], float(own.targets[s])) for s in own.sizes], "of string, source_size long, target double")
+    per = driver_table(spark, [(s, own.sizes[s], float(own.targets[s])) for s in own.sizes], of=pa.string(), source_size=pa.int64(), target=pa.float64())
     return take(sized, own).join(F.broadcast(per), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
