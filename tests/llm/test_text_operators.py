@@ -415,6 +415,12 @@ def test_licenses(docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+def test_licenses_split_each_text_once(docs, capsys):
+    """What is counted and matched later reads the words' written table, not the texts again."""
+    licenses.scan(docs).explain()
+    assert "regexp" not in capsys.readouterr().out
+
+
 def test_licenses_merge_diagonals(spark):
     text = "intro permission is hereby granted free of any charge to any person obtaining one copy of this software and associated documentation files outro"
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

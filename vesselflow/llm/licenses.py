@@ -12,10 +12,11 @@ diagonal has all its 3-grams.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import row_key, written
+from ._shared import driver_table, row_key, written
 
 GRAM = 3
 #: Diagonals this near to the one before belong to one match.
@@ -55,7 +56,7 @@ def template_grams(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
     for i, (phrase, label) in enumerate((*base, *templates)):
         own = phrase.split()
         rows += [(i, k, len(own) - GRAM + 1, len(own), label, i < len(base), *own[k : k + GRAM]) for k in range(len(own) - GRAM + 1)]
-    df = spark.createDataFrame(rows, "template int, place int, grams int, n int, label string, base boolean, a string, b string, c string")
+    df = driver_table(spark, rows, **dict.fromkeys(("template", "place", "grams", "n"), pa.int32()), label=pa.string(), base=pa.bool_(), **dict.fromkeys("abc", pa.string()))
     return df.select(F.xxhash64("a", "b", "c").alias("gram"), F.array("a", "b", "c").alias("said"), "template", "place", "grams", "n", "label", "base")
 
 
@@ -64,15 +65,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
 
 
+def hits(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, key, n_words and hits (at, gram, said: the 3-grams whose hash a template has) of every row, written, so that each text is split once."""
+    split = _keyed(docs).select("doc_id", "key", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
+    own = sorted({r.gram for r in known.select("gram").collect()})  # of the fixed templates
+    hashed = F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> struct(i as at, xxhash64(w[i], w[i + 1], w[i + 2]) as gram))")
+    found = F.transform(F.filter(hashed, lambda x: x["gram"].isin(own)), lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.slice("w", x["at"] + 1, GRAM).alias("said")))
+    return written(split.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.when(F.size("w") >= GRAM, found).alias("hits")), "hits")
+
+
 def spans(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """Verified matches, some inside others: key, label, base, start, end (words), cover (share of the template)."""
-    split = _keyed(docs).select("key", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
     known = template_grams(docs.sparkSession, base, templates)
-    own = sorted({r.gram for r in known.select("gram").collect()})  # of the fixed templates
-    hashed = F.expr(f"transform(sequence(0, size(w) - {GRAM}), i -> struct(i as at, xxhash64(w[i], w[i + 1], w[i + 2]) as gram))")
-    hits = F.transform(F.filter(hashed, lambda x: x["gram"].isin(own)), lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.slice("w", x["at"] + 1, GRAM).alias("said")))
-    # A test of the words' number in where() would be pushed below the split and split each text again.
-    grams = split.select("key", F.inline(F.when(F.size("w") >= GRAM, hits)))
+    return matches(hits(docs, known), known, templates)
+
+
+def matches(split: DataFrame, known: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """The same from the rows of `hits`."""
+    grams = split.select("key", F.inline("hits"))
     same = (F.col("g.gram") == F.col("t.gram")) & (F.col("g.said") == F.col("t.said"))
     found = grams.alias("g").join(F.broadcast(known).alias("t"), same).drop(F.col("t.gram"), F.col("t.said"))
     votes = found.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "grams", "n", "label", "base").agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
@@ -101,7 +111,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     b = F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    per = spans(docs).groupBy("key").agg(
+    known = template_grams(docs.sparkSession)
+    split = hits(docs, known)
+    per = matches(split, known).groupBy("key").agg(
         F.count(F.when(b, 1)).alias("n_base"),
         F.min(F.when(b, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(b, F.col("start"))).cast("long").alias("last_word"),
@@ -109,6 +121,6 @@ def scan(docs: DataFrame) -> DataFrame:
         joined(F.col("label")).alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = _keyed(docs).select("key", "doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    counted = split.select("key", "doc_id", "n_words")
     none = {"n_base": F.lit(0), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return counted.join(per.hint("merge"), "key", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
